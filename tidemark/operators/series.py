@@ -253,17 +253,23 @@ def averages_at_segment_end(segments: DataFrame, averages: DataFrame, column: st
     """Long average in force on a segment's last day: the latest trading day not after it.
 
     Segment ends are marked inside the series itself and the value carried forward, so this
-    as-of lookup needs no range join: both sides are united per code and read in date order.
+    as-of lookup needs neither a range join nor a second pass over the segments: both sides are
+    united per code and read in date order.
     """
-    marks = segments.select("code", F.col("end_date").alias("trade_date"), F.lit(None).cast("decimal(18,2)").alias("_ma"),
-                            F.lit(1).alias("_mark"))
-    known = averages.select("code", "trade_date", F.col(column).cast("decimal(18,2)").alias("_ma"), F.lit(0).alias("_mark"))
+    marks = segments.withColumns(
+        {
+            "trade_date": F.col("end_date"),
+            "_ma": F.lit(None).cast("decimal(18,2)"),
+            "_mark": F.lit(1),
+        }
+    )
+    known = averages.select(
+        "code", "trade_date", F.col(column).cast("decimal(18,2)").alias("_ma"), F.lit(0).alias("_mark")
+    )
     w = Window.partitionBy("code").orderBy("trade_date", "_mark").rowsBetween(Window.unboundedPreceding, 0)
-    looked_up = (
-        known.unionByName(marks)
+    return (
+        marks.unionByName(known, allowMissingColumns=True)
         .withColumn("end_ma", F.last("_ma", ignorenulls=True).over(w))
         .where(F.col("_mark") == 1)
-        .select("code", F.col("trade_date").alias("end_date"), "end_ma")
-        .distinct()
+        .drop("trade_date", "_ma", "_mark")
     )
-    return segments.join(looked_up, ["code", "end_date"], "left")
