@@ -1,0 +1,20 @@
+"""Helpers of the scoring jobs."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def weighted_perplexity(counts: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
+    """Perplexity of a frequency model per key, from counts per symbol.
+
+    With n symbols and total t it is exp(Σ n·−ln(n/t) / t) = exp(ln t − Σ n·ln n / t), so one
+    aggregate over the counts is enough and no total has to be joined back.
+    """
+    n = F.col(weight)
+    return counts.groupBy(*keys).agg(
+        F.exp(F.log(F.sum(n)) - F.sum(n * F.log(n)) / F.sum(n)).alias("perplexity")
+    )

@@ -62,9 +62,10 @@ def _todo(c):
     return present(J.outstanding(grid(c), c.filings(), ["code", "report_time", "report_type"]))
 
 
-@job("unresolved", "SELECT DISTINCT name FROM securities WHERE name NOT IN (SELECT name FROM filings)")
+@job("unresolved", """
+    SELECT DISTINCT name FROM securities WHERE name NOT IN (SELECT name FROM filings WHERE report_time = 1997)""")
 def _unresolved(c):
-    return present(J.unresolved(c.securities(), c.filings(), "name"))
+    return present(J.unresolved(c.securities(), c.filings().where(F.col("report_time") == 1997), "name"))
 
 
 @job("work_grid", "SELECT code, report_time, report_type FROM grid")
