@@ -35,7 +35,8 @@ CTES: dict[str, str] = {
                      CAST(o_orderdate AS DATE) AS publish_date, CAST(o_totalprice AS DECIMAL(18,2)) AS size
               FROM orders)""",
     "ledger": """
-        SELECT * FROM filings WHERE ord % 3 = 0""",
+        SELECT * FROM filings
+        WHERE ord IN (SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))""",
     "statement": """
         SELECT code, year, CAST(sum(revenue) AS DECIMAL(24,6)) AS revenue, CAST(sum(fees) AS DECIMAL(24,6)) AS fees,
                CAST(sum(tax) AS DECIMAL(24,6)) AS tax, CAST(sum(headcount) AS DECIMAL(24,6)) AS headcount,

@@ -122,12 +122,11 @@ def facts_long(c):
 
 
 @job("override_fields", """
-    SELECT ord, field, CASE WHEN field = 'name' AND ord % 10 = 0 THEN '更名' || ord
-                            WHEN field = 'name' THEN value ELSE '0' END AS value
-    FROM facts_long WHERE field = 'name'
-    UNION ALL SELECT ord, 'address', '地址' || ord FROM filings WHERE ord % 10 = 0""")
+    SELECT l.ord, field, CASE WHEN field = 'name' AND day(publish_date) = 1 THEN '更名' || l.ord ELSE value END AS value
+    FROM facts_long l JOIN filings f ON f.ord = l.ord
+    UNION ALL SELECT ord, 'address', '地址' || ord FROM filings WHERE day(publish_date) = 1""")
 def _override_fields(c):
-    repairs = c.filings().where(F.col("ord") % 10 == 0).select(
+    repairs = c.filings().where(F.dayofmonth("publish_date") == 1).select(
         "ord",
         F.explode(
             F.array(
@@ -137,16 +136,16 @@ def _override_fields(c):
             )
         ).alias("p"),
     ).select("ord", "p.field", "p.value")
-    facts = facts_long(c).where(F.col("field") == "name")
-    return present(J.override_fields(facts, repairs, ["ord"], ["name", "address"]))
+    return present(J.override_fields(facts_long(c), repairs, ["ord"], ["name", "address"]))
 
 
 @job("override_table", """
-    SELECT doc_id, row_idx, c0 AS label FROM report_rows WHERE doc_id % 20 <> 0
-    UNION ALL SELECT doc_id, 0, '更正' || doc_id FROM documents WHERE doc_id % 20 = 0""")
+    SELECT doc_id, row_idx, c0 AS label FROM report_rows
+    WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de')
+    UNION ALL SELECT doc_id, 0, '更正' || doc_id FROM documents WHERE lang = 'de'""")
 def _override_table(c):
     rows = c.report_rows().select("doc_id", "row_idx", F.col("cells")[0].alias("label"))
-    repairs = c.table("documents").where(F.col("doc_id") % 20 == 0).select(
+    repairs = c.table("documents").where(F.col("lang") == "de").select(
         "doc_id", F.lit(0).cast("bigint").alias("row_idx"),
         F.concat(F.lit("更正"), F.col("doc_id").cast("string")).alias("label"),
     )

@@ -15,8 +15,10 @@ define("stored_ticks", "SELECT * FROM ticks WHERE ts < TIMESTAMP '2024-01-20 00:
 define("batch_ticks", "SELECT * FROM ticks WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'")
 define("stored_price", "SELECT code, CAST(trade_date AS VARCHAR) AS trade_date, CAST(close AS DOUBLE) AS close, "
                        "0 AS batch_no FROM price WHERE trade_date < DATE '2024-01-20'")
-define("batch_price", "SELECT code, CAST(trade_date AS VARCHAR) AS trade_date, CAST(close AS DOUBLE) AS close, 1 AS batch_no "
-                      "FROM price WHERE trade_date >= DATE '2024-01-15' AND CAST(code AS BIGINT) % 2 = 0")
+define("batch_price", """
+    SELECT CAST(user_id AS VARCHAR) AS code, CAST(CAST(ts AS DATE) AS VARCHAR) AS trade_date, value AS close, 1 AS batch_no
+    FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-15 00:00:00'
+    QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) = 1""")
 
 
 def stored_price(c):
@@ -24,11 +26,9 @@ def stored_price(c):
 
 
 def batch_price(c):
-    return (
-        c.price()
-        .where((F.col("trade_date") >= F.lit("2024-01-15").cast("date")) & (F.col("code").cast("bigint") % 2 == 0))
-        .withColumn("batch_no", F.lit(1))
-    )
+    """Closing purchases of the overlapping second half of the month."""
+    bought = c.price("purchase")
+    return bought.where(F.col("trade_date") >= F.lit("2024-01-15").cast("date")).withColumn("batch_no", F.lit(1))
 
 
 @job("scan_prices", """

@@ -138,13 +138,13 @@ def _pivot_overrides(c):
     SELECT p.code, CAST(p.trade_date AS VARCHAR) AS trade_date, t.trend_name,
            CAST(coalesce(o.min_rate, t.rate) AS DOUBLE) AS min_rate
     FROM px p CROSS JOIN (VALUES ('短期趋势', 3.0), ('中期趋势', 7.3), ('长期趋势', 60.0)) t(trend_name, rate)
-    LEFT JOIN (SELECT DISTINCT '短期趋势' AS trend_name, code, 1.2 AS min_rate FROM ticks WHERE CAST(code AS BIGINT) % 5 = 0) o
+    LEFT JOIN (SELECT DISTINCT '短期趋势' AS trend_name, code, 1.2 AS min_rate FROM ticks WHERE close > 200) o
       ON o.trend_name = t.trend_name AND o.code = p.code""")
 def _min_rate(c):
     levels = F.array(F.lit("短期趋势"), F.lit("中期趋势"), F.lit("长期趋势"))
     series = c.price().select("code", "trade_date", F.explode(levels).alias("trend_name"))
     own = (
-        c.ticks().select("code").distinct().where(F.col("code").cast("bigint") % 5 == 0)
+        c.ticks().where(F.col("close") > 200).select("code").distinct()
         .select(F.lit("短期趋势").alias("trend_name"), "code", F.lit(1.2).alias("min_rate"))
     )
     defaults = {"短期趋势": 3.0, "中期趋势": 7.3, "长期趋势": 60.0}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ordering as O
 from tidemark.registry import job
+from tidemark.registry.ctes import define
 from tidemark.registry.present import present
 
 
@@ -42,17 +43,25 @@ def _topn(c):
     return present(df, "code", "report_type", "report_time", "ord")
 
 
+define("quarter_columns", """
+    SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY row_idx) AS p,
+           bool_or(label = '上期金额') OVER (PARTITION BY doc_id) AS has_prior,
+           bool_or(label = '本报告期金额') OVER (PARTITION BY doc_id) AS has_current
+    FROM (SELECT doc_id, row_idx, CASE c0 WHEN '收入' THEN '上期金额' WHEN '备注' THEN '本报告期金额' ELSE c0 END AS label
+          FROM report_rows)""")
+
+
 @job("third_quarter_columns", """
-    SELECT 'accounting' AS kind, doc_id, row_idx FROM (
-      SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY row_idx) AS p
-      FROM report_rows WHERE row_idx < 5) WHERE n <= 2 OR p <> n - 1
+    SELECT 'accounting' AS kind, doc_id, row_idx FROM quarter_columns
+    WHERE n <= 2 OR NOT CASE WHEN has_prior THEN label = '上期金额' ELSE p = n - 1 END
     UNION ALL
-    SELECT 'profit', doc_id, row_idx FROM (
-      SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY row_idx) AS p
-      FROM report_rows WHERE row_idx < 5) WHERE (n = 5 AND p = 4) OR (n <> 5 AND p = 1)""")
+    SELECT 'profit', doc_id, row_idx FROM quarter_columns
+    WHERE CASE WHEN has_current THEN label = '本报告期金额' WHEN n = 5 THEN p = n - 1 ELSE p = 1 END""")
 def _third_quarter(c):
-    """Value columns of a report (its first five rows stand for them): third-quarter choices."""
-    cols = c.report_rows().where(F.col("row_idx") < 5).select("doc_id", "row_idx", F.col("cells")[0].alias("label"))
+    """Value columns of a report (its rows stand for them): third-quarter choices."""
+    cell = F.col("cells")[0]
+    label = F.when(cell == "收入", F.lit("上期金额")).when(cell == "备注", F.lit("本报告期金额")).otherwise(cell)
+    cols = c.report_rows().select("doc_id", "row_idx", label.alias("label"))
     parts = [
         O.third_quarter_rows(cols, "doc_id", "row_idx", "label", kind).select(F.lit(kind).alias("kind"), "doc_id", "row_idx")
         for kind in ("accounting", "profit")

@@ -45,16 +45,19 @@ class Catalog:
 
     # ---- market data -------------------------------------------------------------------
 
-    def ticks(self) -> DataFrame:
-        """Raw price ticks: (code, ts, event_id, close)."""
-        return self.table("events").select(
+    def ticks(self, kind: str | None = None) -> DataFrame:
+        """Raw price ticks: (code, ts, event_id, close), of one event type or of all."""
+        events = self.table("events")
+        if kind is not None:
+            events = events.where(F.col("event_type") == kind)
+        return events.select(
             F.col("user_id").cast("string").alias("code"),
             "ts",
             "event_id",
             F.col("value").cast("decimal(18,4)").alias("close"),
         )
 
-    def price(self) -> DataFrame:
+    def price(self, kind: str | None = None) -> DataFrame:
         """Daily closes: the last tick of each (code, date).
 
         ``max_by`` combines on the map side, so a code that holds a third of all ticks shuffles
@@ -62,7 +65,7 @@ class Catalog:
         one row per calendar day, which bounds every per-code window and grouped map.
         """
         return (
-            self.ticks()
+            self.ticks(kind)
             .groupBy("code", F.col("ts").cast("date").alias("trade_date"))
             .agg(F.max_by("close", F.struct("ts", "event_id")).alias("close"))
         )
@@ -99,13 +102,16 @@ class Catalog:
             .select(F.concat(F.lit("客户"), code).alias("name"), F.col("n_name").alias("industry"))
         )
 
-    def filings(self) -> DataFrame:
-        """Report announcements: one row per order."""
+    def filings(self, priorities: tuple[str, ...] = ()) -> DataFrame:
+        """Report announcements: one row per order (of the given priorities, if any)."""
+        orders = self.table("orders")
+        if priorities:
+            orders = orders.where(F.col("o_orderpriority").isin(*priorities))
         code = F.lpad(F.col("o_custkey").cast("string"), 6, "0")
         year = F.year("o_orderdate")
         report_type = lookup(REPORT_TYPES, F.col("o_orderstatus"))
         name = F.concat(F.lit("客户"), code)
-        return self.table("orders").select(
+        return orders.select(
             F.col("o_orderkey").alias("ord"),
             year.cast("bigint").alias("report_time"),
             code.alias("code"),
@@ -120,8 +126,8 @@ class Catalog:
         )
 
     def ledger(self) -> DataFrame:
-        """Filings already processed."""
-        return self.filings().where(F.col("ord") % 3 == 0)
+        """Filings already processed: those of urgent and high priority."""
+        return self.filings(("1-URGENT", "2-HIGH"))
 
     # ---- statements --------------------------------------------------------------------
 
