@@ -52,36 +52,36 @@ def preclean(cell: Column) -> Column:
     return F.when(is_valid(cell), apply_rules(head, TAIL_RULES)).otherwise(cell)
 
 
-def preclean_row(cells: Column) -> Column:
-    """``preclean`` over the cells of a row in order.
+def _fill_row(cells: Column, rule, finish) -> Column:
+    """Row with glued cells split: each cell is ``finish``-ed after ``rule`` and the split.
 
-    Where two numbers sit in one cell, the second fills the next 'None' cell of the row; a blank
-    cell in between forgets it.
+    Every cell goes through ``rule`` once, before the fold that carries second numbers along.
     """
+    prepared = F.transform(cells, lambda x: F.struct(x.alias("cell"), F.split(rule(x), GLUE, 2).alias("parts")))
     empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("pending"))
 
-    def step(acc: Column, cell: Column) -> Column:
-        parts = F.split(apply_rules(cell, CELL_RULES), GLUE, 2)
+    def step(acc: Column, item: Column) -> Column:
+        cell, parts = item["cell"], item["parts"]
         filled = F.when((cell == "None") & acc["pending"].isNotNull(), acc["pending"]).otherwise(cell)
-        value = F.when(is_valid(cell), apply_rules(F.element_at(parts, 1), TAIL_RULES)).otherwise(filled)
+        value = F.when(is_valid(cell), finish(F.element_at(parts, 1))).otherwise(filled)
         left = F.when(is_valid(cell), F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(acc["pending"]))
         return F.struct(F.concat(acc["out"], F.array(value)).alias("out"), left.alias("pending"))
 
-    return F.aggregate(cells, empty, step)["out"]
+    return F.aggregate(prepared, empty, step)["out"]
 
 
-def split_glued_row(cells: Column) -> Column:
-    """Only the splitting part of ``preclean_row``."""
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("pending"))
+def preclean_row(cells: Column) -> Column:
+    """``preclean`` over the cells of a row in order.
+
+    Where two numbers sit in one cell, the second fills the next 'None' cell of the row; a blank
+    cell in between forgets it.
+    """
+    return _fill_row(cells, lambda x: apply_rules(x, CELL_RULES), lambda x: apply_rules(x, TAIL_RULES))
 
-    def step(acc: Column, cell: Column) -> Column:
-        parts = F.split(cell, GLUE, 2)
-        filled = F.when((cell == "None") & acc["pending"].isNotNull(), acc["pending"]).otherwise(cell)
-        value = F.when(is_valid(cell), F.element_at(parts, 1)).otherwise(filled)
-        left = F.when(is_valid(cell), F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(acc["pending"]))
-        return F.struct(F.concat(acc["out"], F.array(value)).alias("out"), left.alias("pending"))
 
-    return F.aggregate(cells, empty, step)["out"]
+def split_glued_row(cells: Column) -> Column:
+    """Only the splitting part of ``preclean_row``."""
+    return _fill_row(cells, lambda x: x, lambda x: x)
 
 
 def final_clean(cell: Column) -> Column:

@@ -69,7 +69,7 @@ CTES: dict[str, str] = {
                CASE WHEN row_idx = 0 THEN '项目' WHEN row_idx = 1 THEN '' WHEN row_idx % 40 = 39 THEN '项目'
                     ELSE ['营业','收入','净利润（元）','','一、总资产','其中：研发','备注','负债合计'][row_idx % 8 + 1] END AS c0,
                CASE WHEN row_idx = 0 THEN '2015.12.31' WHEN row_idx = 1 THEN '（调整后）'
-                    WHEN row_idx % 40 = 39 THEN '2015年'
+                    WHEN row_idx % 40 = 39 THEN '2015年' WHEN row_idx % 16 = 11 THEN 'None'
                     WHEN style = 0 THEN '（' || format('{:,}', n1) || '）'
                     WHEN style = 1 THEN '增加' || n1 || '.49个百分点'
                     WHEN style = 2 THEN '减少' || n1 || '.35个'
@@ -80,7 +80,7 @@ CTES: dict[str, str] = {
                     WHEN style = 8 THEN format('{:,}', n1) || '.50元'
                     ELSE format('{:,}', n1) END AS c1,
                CASE WHEN row_idx = 0 THEN '2014' WHEN row_idx = 1 THEN 'None' WHEN row_idx % 40 = 39 THEN '2014年'
-                    WHEN style = 6 THEN 'None' ELSE format('{:,}', n2) END AS c2
+                    WHEN style = 6 OR row_idx % 16 = 11 THEN 'None' ELSE format('{:,}', n2) END AS c2
         FROM report_base""",
     "page_lines": """
         SELECT doc_id, row_idx // 20 AS page, row_idx AS pos,

@@ -134,11 +134,6 @@ def _url_date(c):
     return present(announcements(c).select("ord", D.from_url(F.col("url")).alias("day")))
 
 
-define("type_lists", "SELECT code, list(report_type ORDER BY report_type) AS types, "
-                     "list(y ORDER BY y) AS years FROM (SELECT DISTINCT code, report_type, report_time || '年' AS y "
-                     "FROM filings) GROUP BY code")
-
-
 @job("map_join", """
     SELECT code, string_agg(CASE report_type WHEN '年度报告' THEN 'category_ndbg' WHEN '半年度报告' THEN 'category_bndbg' END, ';'
              ORDER BY report_type) AS joined
@@ -215,10 +210,7 @@ def _wide(c):
     return present(c.filings().select("ord", X.to_full_width(F.col("file_name")).alias("wide")))
 
 
-define("cn_years", "SELECT ord, translate(CAST(report_time AS VARCHAR), '0123456789', '〇一二三四五六七八九') || ' 年' AS cn FROM filings")
-
-
-@job("cn_digits", "SELECT ord, report_time || '年' AS year_label, '一' || ' ' AS kept FROM filings".replace("'一' || ' '", "'三'"))
+@job("cn_digits", "SELECT ord, report_time || '年' AS year_label, '三' AS kept FROM filings")
 def _cn(c):
     cn = F.concat(F.translate(F.col("report_time").cast("string"), "0123456789", "〇一二三四五六七八九"), F.lit(" 年"))
     return present(
@@ -227,11 +219,10 @@ def _cn(c):
 
 
 @job("unit_scale", """
-    SELECT doc_id, pos, u AS unit, CAST(m AS BIGINT) AS multiplier, n * 1.0 AS raw, CAST(n * m AS DOUBLE) AS scaled FROM (
+    SELECT doc_id, pos, u AS unit, CAST(m AS BIGINT) AS multiplier, CAST(n AS DOUBLE) AS raw, CAST(n * m AS DOUBLE) AS scaled FROM (
       SELECT doc_id, pos, u, length(text) AS n,
              CASE u WHEN '元' THEN 1 WHEN '千元' THEN 1000 WHEN '万元' THEN 10000 WHEN '亿元' THEN 100000000 ELSE 1 END AS m
-      FROM (SELECT *, nullif(regexp_extract(text, '单位：([^ ]+) 币种', 1), '') AS u FROM page_lines))""".replace(
-    "n * 1.0 AS raw", "CAST(n AS DOUBLE) AS raw"))
+      FROM (SELECT *, nullif(regexp_extract(text, '单位：([^ ]+) 币种', 1), '') AS u FROM page_lines))""")
 def _unit(c):
     unit = F.nullif(F.regexp_extract("text", "单位：([^ ]+) 币种", 1), F.lit(""))
     table = c.page_lines().select("doc_id", "pos", unit.alias("unit"), F.length("text").cast("double").alias("raw"))
@@ -257,9 +248,9 @@ def _sql_rules(expr: str, rules) -> str:
 define("clean_cells", f"""
     SELECT doc_id, row_idx, c0, c1, c2, CASE WHEN c1 IN ('', 'None') THEN c1
       ELSE regexp_replace(replace(split_part({_sql_rules('c1', _PRE)}, '   ', 1), ' ', ''), '个$', '') END AS p1,
-      CASE WHEN style = 6 AND c2 = 'None' AND row_idx > 1 AND row_idx % 40 <> 39 THEN format('{{:,}}', n2) ELSE
+      CASE WHEN contains(c1, '   ') AND c2 = 'None' THEN split_part(c1, '   ', 2) ELSE
            {_sql_rules('c2', _PRE)} END AS p2
-    FROM report_rows JOIN report_base USING (doc_id, row_idx)""")
+    FROM report_rows""")
 
 
 @job("cell_preclean", "SELECT doc_id, row_idx, p1 AS cleaned FROM clean_cells")

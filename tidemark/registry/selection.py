@@ -36,8 +36,8 @@ def _drop_cols(c):
 
 
 @job("period_backfill", """
-    SELECT ord, i AS col_idx, CASE WHEN i = 2 AND ord % 4 = 0 THEN '2000年' ELSE (report_time - i) || '年' END AS report_time
-    FROM filings, LATERAL (SELECT unnest([0, 1, 2]) AS i)""".replace("i AS col_idx", "CAST(i AS BIGINT) AS col_idx"))
+    SELECT ord, CAST(i AS BIGINT) AS col_idx, CASE WHEN i = 2 AND ord % 4 = 0 THEN '2000年' ELSE (report_time - i) || '年' END AS report_time
+    FROM filings, LATERAL (SELECT unnest([0, 1, 2]) AS i)""")
 def _backfill(c):
     cols = c.filings().select("ord", "report_time", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("col_idx"))
     label = F.when((F.col("col_idx") == 2) & (F.col("ord") % 4 == 0), F.lit("2000年")).otherwise(F.lit("本期"))

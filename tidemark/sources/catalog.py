@@ -208,6 +208,7 @@ class Catalog:
             F.when(row == 0, F.array(F.lit("项目"), F.lit("2015.12.31"), F.lit("2014")))
             .when(row == 1, F.array(F.lit(""), F.lit("（调整后）"), F.lit("None")))
             .when(row % 40 == 39, F.array(F.lit("项目"), F.lit("2015年"), F.lit("2014年")))
+            .when(row % 16 == 11, F.array(F.lit(""), F.lit("None"), F.lit("None")))
             .otherwise(F.array(label, number, second))
         )
         return self.document_lines().select("doc_id", row.cast("bigint").alias("row_idx"), cells.alias("cells"))
