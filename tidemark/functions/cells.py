@@ -45,10 +45,17 @@ CELL_RULES = [
 TAIL_RULES = [(" ", ""), ("个百分点$", ""), ("个百分$", ""), ("个$", "")]
 GLUE = "[ ]{2,}(?=[0-9-])"
 
+PLAIN_NUMBER = "^[0-9,.-]*$"
+
+
+def clean_words(cell: Column) -> Column:
+    """``CELL_RULES`` on a cell; a plain number, which no rule changes, skips them."""
+    return F.when(cell.rlike(PLAIN_NUMBER), cell).otherwise(apply_rules(cell, CELL_RULES))
+
 
 def preclean(cell: Column) -> Column:
     """Notes, percent words and direction words out of a number cell; falls become negative."""
-    head = F.element_at(F.split(apply_rules(cell, CELL_RULES), GLUE, 2), 1)
+    head = F.element_at(F.split(clean_words(cell), GLUE, 2), 1)
     return F.when(is_valid(cell), apply_rules(head, TAIL_RULES)).otherwise(cell)
 
 
@@ -76,7 +83,7 @@ def preclean_row(cells: Column) -> Column:
     Where two numbers sit in one cell, the second fills the next 'None' cell of the row; a blank
     cell in between forgets it.
     """
-    return _fill_row(cells, lambda x: apply_rules(x, CELL_RULES), lambda x: apply_rules(x, TAIL_RULES))
+    return _fill_row(cells, clean_words, lambda x: apply_rules(x, TAIL_RULES))
 
 
 def split_glued_row(cells: Column) -> Column:

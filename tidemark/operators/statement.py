@@ -233,16 +233,23 @@ def merge_labels(rows: DataFrame, labels: Sequence[str], skip_first: bool = Fals
     base = base.withColumn(
         "_at", F.coalesce(F.sum("_len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
     )
-    ordered = F.sort_array(F.collect_list(F.struct("row_idx", "_label")))
-    joined = F.array_join(F.transform(F.filter(ordered, lambda s: X.is_valid(s["_label"])), lambda s: s["_label"]), "")
-    starts = (
-        base.select("doc_id", "row_idx", "_label")
-        .groupBy("doc_id")
-        .agg(joined.alias("_text"))
-        .select("doc_id", F.explode(match_starts(F.col("_text"), alternation(labels))).alias("_at"))
-        .select("doc_id", F.col("_at").cast("bigint").alias("_at"), F.lit(1).alias("_mark"))
+    listed = F.sort_array(F.collect_list(F.struct("row_idx", "_at", "_len", "_label", "cells")))
+    tables = base.groupBy("doc_id").agg(listed.alias("_rows"))
+    valid = F.filter("_rows", lambda r: X.is_valid(r["_label"]))
+    joined = F.array_join(F.transform(valid, lambda r: r["_label"]), "")
+    row_type = tables.schema["_rows"].dataType.elementType.simpleString()
+    row_events = F.transform(
+        "_rows", lambda r: F.struct(r["_at"].alias("_at"), F.lit(None).cast("int").alias("_mark"), r.alias("_row"))
+    )
+    mark_events = F.transform(
+        match_starts(joined, alternation(labels)),
+        lambda at: F.struct(
+            at.cast("bigint").alias("_at"), F.lit(1).alias("_mark"), F.lit(None).cast(row_type).alias("_row")
+        ),
+    )
+    events = tables.select("doc_id", F.explode(F.concat(row_events, mark_events)).alias("_e")).select(
+        "doc_id", "_e._at", "_e._mark", "_e._row.row_idx", "_e._row._len", "_e._row._label", "_e._row.cells"
     )
-    events = base.unionByName(starts, allowMissingColumns=True)
     along = Window.partitionBy("doc_id").orderBy("_at", F.col("_mark").asc_nulls_last(), "row_idx")
     upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     events = events.withColumns(
