@@ -1 +1,140 @@
-"""Queries."""
+"""Ratio queries over proxy measures."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import ratios as R
+from tidemark.plans.ratio_job import build_ratio_tables
+from tidemark.registry import job
+from tidemark.registry.ctes import CTES, define
+from tidemark.registry.present import present
+from tidemark.session import shared_dir
+
+# Stand-ins for statement measures, as shares of the measures the test tables hold.
+STAND_INS = {
+    "pay": "fees * 0.5",
+    "cost": "revenue * 0.6",
+    "selling_fee": "fees * 0.25",
+    "admin_fee": "fees * 0.125",
+    "finance_fee": "fees * 0.0625",
+    "profit_before_tax": "revenue - fees",
+    "net_profit": "revenue - fees - tax",
+    "adjusted_profit": "revenue - fees - tax * 1.5",
+    "operating_profit": "revenue * 0.4 - fees",
+    "operating_cash": "revenue - receivables",
+    "cash_receipts": "revenue - receivables * 0.5",
+    "equity": "total_assets - inventory * 0.25",
+    "dividends": "tax * 0.75",
+    "depreciation": "inventory * 0.0625",
+    "impairment": "receivables * 0.03125",
+    "investment_income": "tax * 0.125",
+    "retained_profit": "revenue - tax",
+    "development": "fees * 0.1",
+    "research": "fees * 0.2",
+    "capitalised": "fees * 0.05",
+    "shares": "headcount * 100",
+    "construction": "inventory * 0.1",
+    "fixed_assets": "total_assets * 0.5",
+    "intangible": "total_assets * 0.05",
+    "goodwill": "total_assets * 0.02",
+    "advance": "receivables * 0.2",
+    "payables": "inventory * 0.3",
+    "prepaid": "inventory * 0.1",
+    "current_assets": "receivables + inventory",
+    "current_liabilities": "inventory * 0.8",
+    "cash": "revenue * 0.1",
+    "short_debt": "total_assets * 0.1",
+    "long_debt": "total_assets * 0.15",
+    "bonds": "total_assets * 0.05",
+    "notes": "receivables * 0.4",
+}
+BASE = ["revenue", "fees", "tax", "headcount", "receivables", "inventory", "total_assets"]
+
+_base_sql = ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in BASE)
+_wide_sql = ", ".join(f"{e} AS {n}" for n, e in STAND_INS.items())
+_prior_sql = ", ".join(f"CASE WHEN lag(year) OVER w = year - 1 THEN lag({m}) OVER w END AS prev_{m}" for m in R.PRIOR_MEASURES)
+
+define("statement_wide", f"SELECT *, {_wide_sql} FROM (SELECT code, year, {_base_sql} FROM statement)")
+define("ratio_base", f"SELECT *, {_prior_sql} FROM statement_wide WINDOW w AS (PARTITION BY code ORDER BY year)")
+define(
+    "statement_typed",
+    CTES["statement"]
+    .replace("SELECT code, year, CAST(sum(revenue)", "SELECT code, report_type, year, CAST(sum(revenue)")
+    .replace("SELECT o_orderkey, lpad", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '年度报告' WHEN 'O' THEN "
+             "'半年度报告' WHEN 'P' THEN '第三季度报告' END AS report_type, lpad")
+    .replace("GROUP BY code, year", "GROUP BY code, report_type, year"),
+)
+define("ratio_base_typed", f"""
+    SELECT *, {_prior_sql} FROM (SELECT *, {_wide_sql} FROM (SELECT code, report_type, year, {_base_sql} FROM statement_typed))
+    WINDOW w AS (PARTITION BY code, report_type ORDER BY year)""")
+
+
+def _sql_ratio(r: R.Ratio) -> str:
+    return f"{r.top} AS {r.name}" if r.bottom is None else f"({r.top}) / nullif({r.bottom}, 0) AS {r.name}"
+
+
+def wide(statement, *keys):
+    doubles = statement.select(*keys, *[F.col(m).cast("double").alias(m) for m in BASE])
+    return doubles.select("*", *[F.expr(e).alias(n) for n, e in STAND_INS.items()])
+
+
+def base(c):
+    return R.with_prior(wide(c.statement(), "code", "year"), ["code"])
+
+
+def _register(group: str) -> None:
+    columns = ", ".join(_sql_ratio(r) for r in R.RATIOS[group])
+
+    @job(group, f"SELECT code, year, {columns} FROM ratio_base")
+    def _run(c, group=group):
+        return present(R.ratios(base(c), [group], ["code", "year"]))
+
+
+for _group in R.RATIOS:
+    _register(_group)
+
+
+@job("annualised_growth", """
+    SELECT n.code, n.year, round(CASE WHEN n.net_profit > 0 AND e.net_profit > 0 THEN pow(n.net_profit / e.net_profit, 1.0 / 3) - 1 END, 9) AS net_profit_growth,
+           round(CASE WHEN n.total_assets > 0 AND e.total_assets > 0 THEN pow(n.total_assets / e.total_assets, 1.0 / 3) - 1 END, 9) AS total_assets_growth
+    FROM statement_wide n JOIN statement_wide e ON e.code = n.code AND e.year = n.year - 3""")
+def _annualised(c):
+    df = R.annualised_growth(wide(c.statement(), "code", "year"), ["code"], ["net_profit", "total_assets"], 3)
+    return present(
+        df.select("code", "year", *[F.round(f"{m}_growth", 9).alias(f"{m}_growth") for m in ("net_profit", "total_assets")])
+    )
+
+
+GROUPS = ["ratio_per_head", "ratio_capital", "ratio_cash", "ratio_margins"]
+_marks = " UNION ALL ".join(
+    "SELECT code, year, '{m}' AS measure, {m} AS value, coalesce({m} {op} {t}, false) AS marked, {p} AS percent FROM marked_ratios".format(
+        m=m, op={"lessThan": "<", "greaterThan": ">", "": "IS NULL AND 1 >"}[o], t=t if o else 2, p=str(p).lower())
+    for m, o, t, p in R.THRESHOLDS
+)
+define("marked_ratios", "SELECT code, year, " + ", ".join(_sql_ratio(r) for g in GROUPS for r in R.RATIOS[g]) + " FROM ratio_base")
+define("marks", _marks)
+
+
+def marks(c):
+    return R.threshold_marks(R.ratios(base(c), GROUPS, ["code", "year"]), ["code", "year"])
+
+
+@job("threshold_marks", "SELECT code, year, measure, value, percent, marked FROM marks")
+def _threshold(c):
+    return present(marks(c), "code", "year", "measure", "value", "percent", "marked")
+
+
+@job("grade_score", "SELECT code, year, count(*) FILTER (marked) AS grade FROM marks GROUP BY 1, 2")
+def _grade(c):
+    return present(R.grade_score(marks(c), ["code", "year"]))
+
+
+@job("ratio_build", "SELECT code, report_type, year, " + ", ".join(
+    _sql_ratio(r) for g in ("ratio_margins", "ratio_growth") for r in R.RATIOS[g]) +
+    " FROM ratio_base_typed WHERE report_type IN ('年度报告', '半年度报告')")
+def _build(c):
+    statement = wide(c.statement(by_type=True), "code", "report_type", "year")
+    path = shared_dir(c.spark, "ratio-tables")
+    table = build_ratio_tables(statement, ["年度报告", "半年度报告"], ["ratio_margins", "ratio_growth"], path)
+    return present(table)

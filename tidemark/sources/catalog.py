@@ -131,8 +131,8 @@ class Catalog:
 
     # ---- statements --------------------------------------------------------------------
 
-    def statement(self) -> DataFrame:
-        """Yearly measures per (code, year), all decimal.
+    def statement(self, by_type: bool = False) -> DataFrame:
+        """Yearly measures per (code, year), or (code, report_type, year), all decimal.
 
         Order totals are summed per order before the join, so no measure is counted per line.
         """
@@ -160,11 +160,13 @@ class Catalog:
             F.lpad(F.col("o_custkey").cast("string"), 6, "0").alias("code"),
             F.year("o_orderdate").cast("bigint").alias("year"),
             F.col("o_totalprice").cast("decimal(12,2)").alias("total"),
+            lookup(REPORT_TYPES, F.col("o_orderstatus")).alias("report_type"),
         )
+        keys = ["code", "report_type", "year"] if by_type else ["code", "year"]
         measures = ["revenue", "fees", "tax", "headcount", "receivables", "inventory"]
         return (
             orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
-            .groupBy("code", "year")
+            .groupBy(*keys)
             .agg(
                 *[F.sum(m).cast("decimal(24,6)").alias(m) for m in measures],
                 F.sum("total").cast("decimal(24,6)").alias("total_assets"),
