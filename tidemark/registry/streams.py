@@ -1 +1,51 @@
-"""Queries."""
+"""Streaming queries: the events table replayed as a file feed."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.registry import job
+from tidemark.registry.present import present
+from tidemark.session import shared_dir
+from tidemark.streaming import incremental as I
+from tidemark.streaming import moving_average as A
+
+
+def feed(c):
+    """Ticks as a stream of files (the pattern takes a single file as well as a folder of them)."""
+    path = f"{c.root}/events.parque[t]"
+    schema = c.table("events").schema
+    raw = c.spark.readStream.schema(schema).parquet(path)
+    return raw.select(
+        F.col("user_id").cast("string").alias("code"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        "event_id",
+        F.col("value").cast("decimal(18,4)").alias("close"),
+    )
+
+
+@job("stream_incremental", """
+    SELECT code, event_id, CAST(close AS DOUBLE) AS close FROM stored_ticks
+    UNION ALL
+    SELECT b.code, b.event_id, CAST(b.close AS DOUBLE) FROM batch_ticks b
+    LEFT JOIN (SELECT code, max(ts) AS mark FROM stored_ticks GROUP BY code) m ON m.code = b.code
+    WHERE mark IS NULL OR b.ts > mark""")
+def _incremental(c):
+    root = shared_dir(c.spark, "tick-store")
+    cut = F.lit("2024-01-20").cast("timestamp_ntz")
+    stored = c.ticks().where(F.col("ts") < cut).withColumn("ts", F.col("ts").cast("timestamp"))
+    I.seed_store(stored, root, "code", "ts")
+    late = feed(c).where(F.col("ts") >= F.lit("2024-01-15").cast("timestamp"))
+    I.run_incremental(late, root, "code", "ts", "event_id").awaitTermination()
+    return present(I.read_store(c.spark, root), "code", "event_id", "close")
+
+
+@job("stream_moving_avg", """
+    SELECT code, CAST(trade_date AS VARCHAR) AS trade_date, CAST(sum(total) OVER w AS DOUBLE) / CAST(sum(n) OVER w AS DOUBLE) AS average,
+           CAST(sum(n) OVER w AS BIGINT) AS n
+    FROM (SELECT code, CAST(ts AS DATE) AS trade_date, sum(close) AS total, count(*) AS n FROM ticks GROUP BY 1, 2)
+    WINDOW w AS (PARTITION BY code ORDER BY trade_date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)""")
+def _moving(c):
+    root = shared_dir(c.spark, "tick-days")
+    A.store_daily(feed(c), root).awaitTermination()
+    return present(A.moving_average(A.current_days(c.spark, root), 7))
