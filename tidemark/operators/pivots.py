@@ -98,7 +98,7 @@ def mark_extremes_of(record: np.ndarray, close: np.ndarray, term: int, min_rate:
             start, end = (bottom, top) if now_rising else (top, bottom)
             if now_rising != rising:
                 marked[start] = True
-            elif start != origin and abs((close[start] - close[origin]) / close[origin]) * 100.0 > min_rate:
+            elif start != origin and abs(close[start] - close[origin]) * 100.0 > min_rate * close[origin]:
                 marked[origin] = marked[start] = True
             rising = now_rising
             at = end
@@ -183,7 +183,8 @@ def fold_recent(rows: list[dict], up: str, down: str) -> list[dict]:
         base["end_close"] = seg["end_close"]
         base["trading_days"] += seg["trading_days"]
         base["calendar_days"] += seg["calendar_days"]
-        base["change_rate"] = round((base["end_close"] - base["close"]) / base["close"], 2)
+        move = base["end_close"] - base["close"]
+        base["change_rate"] = round(move / base["close"], 2) if base["close"] else None
     return out
 
 

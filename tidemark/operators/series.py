@@ -120,20 +120,26 @@ def merge_trends(pivots: DataFrame, order: str = "pivot_seq") -> DataFrame:
 def drop_weak_pivots(pivots: DataFrame, min_rate: Column | float, order: str = "pivot_seq") -> DataFrame:
     """Keep the first and last pivot, marked extremes, and pivots followed by a large move.
 
-    The move is the percentage change to the next pivot, rounded to two decimals.
+    The move is the percentage change to the next pivot, rounded to two decimals; from a close of 0
+    any rise is large.
     """
     limit = min_rate if isinstance(min_rate, Column) else F.lit(min_rate)
     w = _series(order)
     ahead = F.lead("close").over(w)
-    rate = F.abs(F.round((ahead - F.col("close")) / F.col("close") * 100, 2))
+    rate = F.abs(F.round(F.try_divide(ahead - F.col("close"), F.col("close")) * 100, 2))
     first = F.lag(order).over(w).isNull()
     return (
-        pivots.select("*", first.alias("_first"), ahead.isNull().alias("_last"), rate.alias("_rate"))
+        pivots.select("*", first.alias("_first"), ahead.isNull().alias("_last"), rate.alias("_rate"), ahead.alias("_ahead"))
         .where(
-            (F.col("_first") | F.col("_last") | F.col("extreme") | (F.col("_rate") > limit.cast("decimal(18,4)")))
+            (
+                F.col("_first")
+                | F.col("_last")
+                | F.col("extreme")
+                | F.coalesce(F.col("_rate") > limit.cast("decimal(18,4)"), F.col("_ahead") > 0)
+            )
             & ~(F.col("_first") & F.col("_last"))
         )
-        .drop("_first", "_last", "_rate")
+        .drop("_first", "_last", "_rate", "_ahead")
     )
 
 
@@ -163,9 +169,9 @@ def with_min_rate(series: DataFrame, parameters: DataFrame, defaults: Mapping[st
 def trend_segments(pivots: DataFrame, order: str = "record_id") -> DataFrame:
     """Join equal steps into segments.
 
-    A step rises when its change, rounded to two decimals, is not negative.  The segment carries
-    its start and end close, calendar and trading days, total change; the last one of a series is
-    still open (train_flag 0).  All stages reuse the distribution by ``code``.
+    A step rises when its change, rounded to two decimals, is not negative (from a close of 0: when
+    it rises at all).  The segment carries its start and end close, calendar and trading days, total
+    change (unknown from 0); the last one of a series is still open (train_flag 0).  All stages reuse the distribution by ``code``.
     """
     w = _series(order)
     close = F.round("close", 4)
@@ -180,7 +186,8 @@ def trend_segments(pivots: DataFrame, order: str = "record_id") -> DataFrame:
         F.lag("trade_date").over(w).alias("_prev_date"),
         F.lag("record_id").over(w).alias("_prev_id"),
     ).where(F.col("_prev_close").isNotNull())
-    step = step.withColumn("_up", F.round((F.col("close") - F.col("_prev_close")) / F.col("_prev_close"), 2) >= 0)
+    change = F.round(F.try_divide(F.col("close") - F.col("_prev_close"), F.col("_prev_close")), 2)
+    step = step.withColumn("_up", F.coalesce(change >= 0, F.col("close") > 0))
     w2 = Window.partitionBy("code").orderBy("_ord")
     step = step.withColumn("_turn", (~F.col("_up").eqNullSafe(F.lag("_up").over(w2))).cast("int"))
     step = step.withColumn(
@@ -205,7 +212,9 @@ def trend_segments(pivots: DataFrame, order: str = "record_id") -> DataFrame:
         F.when(open_last, 0).otherwise(1).cast("bigint").alias("train_flag"),
         "start_record_id",
         (F.col("_end_id") - F.col("start_record_id")).alias("trading_days"),
-        F.round((F.col("end_close") - F.col("close")) / F.col("close"), 2).cast("decimal(18,2)").alias("change_rate"),
+        F.round(F.try_divide(F.col("end_close") - F.col("close"), F.col("close")), 2)
+        .cast("decimal(18,2)")
+        .alias("change_rate"),
         F.when(F.col("_up"), UP).otherwise(DOWN).alias("direction"),
     )
 

@@ -28,13 +28,13 @@ define("seg_steps", """
     SELECT *, sum(CASE WHEN up IS DISTINCT FROM prev_up THEN 1 ELSE 0 END)
                 OVER (PARTITION BY code ORDER BY record_id) AS island
     FROM (SELECT *, lag(up) OVER (PARTITION BY code ORDER BY record_id) AS prev_up
-          FROM (SELECT *, (cents >= pc OR 200 * (pc - cents) < pc) AS up
+          FROM (SELECT *, CASE WHEN pc = 0 THEN cents > 0 ELSE cents >= pc OR 200 * (pc - cents) < pc END AS up
                 FROM (SELECT *, lag(cents) OVER w AS pc, lag(trade_date) OVER w AS pd, lag(record_id) OVER w AS pid
                       FROM px WINDOW w AS (PARTITION BY code ORDER BY trade_date)) WHERE pc IS NOT NULL))""")
 define("segs", """
     SELECT code, pd AS start_date, date_diff('day', pd, ed) AS calendar_days, pc, ec, pid AS start_record_id,
            eid - pid AS trading_days, island,
-           sign(ec - pc) * ((200 * abs(ec - pc) + pc) // (2 * pc)) / 100.0 AS change_rate,
+           sign(ec - pc) * ((200 * abs(ec - pc) + pc) // nullif(2 * pc, 0)) / 100.0 AS change_rate,
            CASE WHEN up THEN '上升' ELSE '下降' END AS direction, ed
     FROM (SELECT code, island, arg_min(pd, record_id) AS pd, arg_max(trade_date, record_id) AS ed,
                  arg_min(pc, record_id) AS pc, arg_max(cents, record_id) AS ec,
@@ -106,7 +106,7 @@ def _merge_trends(c):
     SELECT code, CAST(trade_date AS VARCHAR) AS trade_date, CAST(record_id AS BIGINT) AS record_id
     FROM (SELECT *, lag(record_id) OVER w AS p, lead(cents) OVER w AS n
           FROM pxl WINDOW w AS (PARTITION BY code ORDER BY record_id))
-    WHERE (p IS NULL OR n IS NULL OR (20000 * abs(n - cents) + cents) // (2 * cents) > 730)
+    WHERE (p IS NULL OR n IS NULL OR CASE WHEN cents = 0 THEN n > 0 ELSE (20000 * abs(n - cents) + cents) // (2 * cents) > 730 END)
       AND NOT (p IS NULL AND n IS NULL)""")
 def _drop_weak(c):
     listed = S.outgoing_direction(c.price_long()).withColumn("extreme", F.lit(False))
