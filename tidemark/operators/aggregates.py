@@ -74,8 +74,8 @@ def dedupe(table: DataFrame) -> DataFrame:
 
 
 def code_points(text: str | Column) -> Column:
-    """Characters of a text, one array element per code point."""
-    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    """Characters of a text, one array element per code point ('' for an empty text)."""
+    return F.split(text, "")
 
 
 def char_vocabulary(table: DataFrame, text: str = "text") -> DataFrame:
@@ -86,7 +86,7 @@ def char_vocabulary(table: DataFrame, text: str = "text") -> DataFrame:
     """
     from pyspark.sql import Window
 
-    chars = table.select(F.explode(F.array_distinct(code_points(text))).alias("ch")).distinct()
+    chars = table.select(F.explode(F.array_distinct(code_points(text))).alias("ch")).where(F.col("ch") != "").distinct()
     point = F.ascii("ch")
     return chars.select("ch", (F.row_number().over(Window.orderBy(point)) - 1).cast("bigint").alias("char_id"))
 

@@ -94,52 +94,85 @@ def assign_folds(table: DataFrame, number: str, folds: int, validation: int) ->
 
 
 # ---- windows over a corpus -------------------------------------------------------------
+#
+# The corpus is all texts run together in id order.  It is never built: each text knows its offset
+# and cuts the windows it holds itself.
 
 
-def _pieces(texts: DataFrame, starts: Column, steps: int) -> DataFrame:
-    """Parts of windows found in one text: (window, start, offset, piece).
+def corpus(table: DataFrame, number: str = "doc_id", text: str = "text") -> DataFrame:
+    """Texts with their place in the corpus: (number, text, chars, offset, total)."""
+    sized = table.select(number, F.col(text).alias("text"), F.length(text).cast("bigint").alias("chars"))
+    total = sized.agg(F.sum("chars")).scalar()
+    return with_offset(sized, number, "chars", bits=8).where(F.col("chars") > 0).withColumn("total", total)
+
 
-    ``starts`` is an array of struct(window, start); a window covers ``steps`` + 1 characters.
+def _lane_parts(texts: DataFrame, steps: int, lanes: int) -> DataFrame:
+    """Each text's share of each lane it meets.
+
+    A lane is an equal run of the corpus; window ``step`` of a lane covers ``steps`` characters from
+    its ``step``-th multiple and the character after them.  Adds ``low`` and ``high`` (first and last
+    corpus place used), ``first_step`` (first window starting in the share), ``first`` (where it
+    starts), ``inside`` (windows that lie in the share completely) and ``epochs``.
     """
-    cut = texts.select("offset", "text", "chars", F.explode(starts).alias("w"))
-    left = F.greatest(F.col("w.start"), F.col("offset"))
-    right = F.least(F.col("w.start") + steps + 1, F.col("offset") + F.col("chars"))
-    piece = F.substring(
-        F.col("text"), (left - F.col("offset") + 1).cast("int"), (right - left).cast("int")
+    size = F.floor(F.col("total") / lanes)
+    end = F.col("offset") + F.col("chars") - 1
+    met = F.sequence(F.floor(F.col("offset") / F.col("size")), F.least(F.floor(end / F.col("size")), F.lit(lanes - 1)))
+    parts = texts.withColumn("size", size).where(F.floor(F.col("offset") / F.col("size")) < lanes).withColumn("lane", F.explode(met))
+    base = F.col("lane") * F.col("size")
+    parts = parts.withColumn("epochs", F.floor((F.col("size") - 1) / steps)).withColumns(
+        {"low": F.greatest(F.col("offset"), base), "high": F.least(end, base + F.col("epochs") * steps)}
     )
-    return cut.where(right > left).select(F.col("w.window").alias("window"), F.col("w.start").alias("start"), "offset", piece.alias("piece"))
+    parts = parts.where(F.col("low") <= F.col("high")).withColumn("first_step", F.ceil((F.col("low") - base) / steps))
+    parts = parts.withColumn("first", base + F.col("first_step") * steps)
+    return parts.withColumn("inside", F.greatest(F.floor((F.col("high") - F.col("first")) / steps), F.lit(0)))
 
 
-def _assemble(texts: DataFrame, starts: Column, steps: int) -> DataFrame:
-    """Whole windows: (window, start, window text of ``steps`` + 1 characters).
+def _cut(start: Column, stop: Column) -> Column:
+    """Characters of the text between two corpus places, both included."""
+    return F.substring(F.col("text"), (start - F.col("offset") + 1).cast("int"), (stop - start + 1).cast("int"))
 
-    A window inside one text is finished where it is cut.  Only windows across a text border are
-    shuffled; there are at most a few per text, and a window meets at most ``steps`` + 1 texts.
-    """
-    inside = lambda w: (w["start"] >= F.col("offset")) & (w["start"] + steps + 1 <= F.col("offset") + F.col("chars"))
-    whole = _pieces(texts, F.filter(starts, inside), steps).select("window", "start", F.col("piece").alias("text"))
-    border = _pieces(texts, F.filter(starts, lambda w: ~inside(w)), steps)
-    parts = F.sort_array(F.collect_list(F.struct("offset", "piece")))
-    joined = border.groupBy("window", "start").agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("text"))
-    return whole.unionByName(joined)
 
+def corpus_windows(texts: DataFrame, steps: int, lanes: int) -> DataFrame:
+    """Windows of ``steps`` + 1 characters: (lane, step, text).
 
-def corpus(table: DataFrame, number: str = "doc_id", text: str = "text") -> DataFrame:
-    """Texts with their place in the run-together corpus: (text, chars, offset)."""
-    sized = table.select(number, F.col(text).alias("text"), F.length(text).alias("chars"))
-    return with_offset(sized, number, "chars")
-
-
-def _example_windows(texts: DataFrame, steps: int) -> DataFrame:
-    """Example j covers characters j·steps to j·steps + steps, the last one being the next target."""
-    count = F.floor((F.col("total") - 1) / steps)
-    first = F.greatest(F.ceil((F.col("offset") - steps) / steps), F.lit(0))
-    last = F.least(F.floor((F.col("offset") + F.col("chars") - 1) / steps), count - 1)
-    starts = F.when(
-        last >= first,
-        F.transform(F.sequence(first, last), lambda j: F.struct(j.alias("window"), (j * steps).alias("start"))),
+    Windows inside one text are cut there, all in one pass over it.  Only the beginnings and ends
+    of texts, two short pieces per text and lane, are shuffled to join windows across borders; a
+    window meets at most ``steps`` + 1 texts.
+    """
+    parts = _lane_parts(texts, steps, lanes)
+    first, inside = F.col("first"), F.col("inside")
+    run = _cut(first, first + inside * steps)
+    chunks = F.regexp_extract_all(run, F.lit("(?s).{1,%d}" % steps), F.lit(0))
+    count = inside.cast("int")
+    whole = (
+        parts.where(inside > 0)
+        .select("lane", "first_step", "inside", chunks.alias("chunks"))
+        .select(
+            "lane",
+            "first_step",
+            F.posexplode(
+                F.zip_with(
+                    F.slice("chunks", 1, count), F.slice("chunks", 2, count), lambda a, b: F.concat(a, F.substring(b, 1, 1))
+                )
+            ).alias("k", "text"),
+        )
+        .select("lane", (F.col("first_step") + F.col("k")).alias("step"), "text")
     )
-    return _assemble(texts.where(F.col("chars") > 0), starts, steps)
+    tail = first + inside * steps
+    head_piece = F.when(
+        F.col("first_step") > 0,
+        F.struct((F.col("first_step") - 1).alias("step"), _cut(F.col("low"), F.least(first, F.col("high"))).alias("piece")),
+    )
+    tail_piece = F.when(
+        (first <= F.col("high")) & (F.col("first_step") + inside < F.col("epochs")),
+        F.struct((F.col("first_step") + inside).alias("step"), _cut(tail, F.col("high")).alias("piece")),
+    )
+    pieces = parts.select("lane", "offset", F.explode(F.array(head_piece, tail_piece)).alias("p")).where(F.col("p").isNotNull())
+    ordered = F.sort_array(F.collect_list(F.struct("offset", "p.piece")))
+    joined = pieces.groupBy("lane", F.col("p.step").alias("step")).agg(
+        F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("text")
+    )
+    return whole.unionByName(joined)
 
 
 def _targets(windows: DataFrame, steps: int, *keys: str) -> DataFrame:
@@ -151,10 +184,14 @@ def random_windows(table: DataFrame, steps: int, batch_size: int, seed: int, num
 
     (batch, slot, x, y); windows beyond the last full batch are left out.
     """
-    sized = table.select(number, "text")
-    total = sized.agg(F.sum(F.length("text"))).scalar()
-    examples = _example_windows(corpus(sized, number).withColumn("total", total), steps)
-    ranked = with_shuffled_rank(examples, "window", seed)
+    texts = corpus(table.select(number, "text"), number)
+    examples = corpus_windows(texts, steps, 1)
+    # window ids follow from offsets alone: each belongs to the text its first character is in
+    last = F.least(F.floor((F.col("offset") + F.col("chars") - 1) / steps), F.floor((F.col("total") - 1) / steps) - 1)
+    from_, to = F.ceil(F.col("offset") / steps), last
+    ids = texts.where(to >= from_).select(F.explode(F.sequence(from_, to)).alias("step"))
+    ranked = with_shuffled_rank(examples, "step", seed, keys=ids)
+    total = table.agg(F.sum(F.length("text"))).scalar()
     batches = F.floor(F.floor((total - 1) / steps) / batch_size)
     return _targets(
         ranked.withColumn("batch", F.floor(F.col("rank") / batch_size))
@@ -166,32 +203,7 @@ def random_windows(table: DataFrame, steps: int, batch_size: int, seed: int, num
 
 def consecutive_windows(table: DataFrame, steps: int, lanes: int, number: str = "doc_id") -> DataFrame:
     """Windows of ``lanes`` parallel lanes of the corpus, step after step: (step, lane, x, y)."""
-    sized = table.select(number, "text")
-    total = sized.agg(F.sum(F.length("text"))).scalar()
-    texts = corpus(sized, number).where(F.col("chars") > 0).withColumn("lane_chars", F.floor(total / lanes))
-    length = F.col("lane_chars")
-    epochs = F.floor((length - 1) / steps)
-    offset, end = F.col("offset"), F.col("offset") + F.col("chars") - 1
-    first_lane = F.greatest(F.floor((offset - steps) / length), F.lit(0))
-    last_lane = F.least(F.floor(end / length), F.lit(lanes - 1))
-
-    def of_lane(lane: Column) -> Column:
-        low = F.greatest(F.ceil((offset - steps - lane * length) / steps), F.lit(0))
-        high = F.least(F.floor((end - lane * length) / steps), epochs - 1)
-        return F.when(
-            high >= low,
-            F.transform(
-                F.sequence(low, high),
-                lambda s: F.struct(F.struct(s.alias("step"), lane.alias("lane")).alias("window"), (lane * length + s * steps).alias("start")),
-            ),
-        )
-
-    starts = F.when(
-        last_lane >= first_lane,
-        F.flatten(F.filter(F.transform(F.sequence(first_lane, last_lane), of_lane), lambda x: x.isNotNull())),
-    )
-    windows = _assemble(texts, starts, steps)
-    return _targets(windows.select("window.step", "window.lane", "text"), steps, "step", "lane")
+    return _targets(corpus_windows(corpus(table, number), steps, lanes), steps, "step", "lane")
 
 
 def encode_chars(table: DataFrame, number: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,5 +216,5 @@ def encode_chars(table: DataFrame, number: str = "doc_id", text: str = "text") -
     known = vocabulary.agg(F.map_from_entries(F.collect_list(F.struct("point", "char_id"))).alias("m"), F.max("point").alias("top"))
     dense = known.select(F.transform(F.sequence(F.lit(0), F.col("top")), lambda p: F.col("m")[p]).alias("ids"))
     encoded = table.select(number, text).withColumn("_ids", dense.scalar())
-    ids = F.transform(code_points(F.col(text)), lambda ch: F.element_at(F.col("_ids"), F.ascii(ch) + 1))
+    ids = F.transform(F.filter(code_points(F.col(text)), lambda ch: ch != ""), lambda ch: F.element_at(F.col("_ids"), F.ascii(ch) + 1))
     return encoded.select(number, ids.alias("char_ids"))

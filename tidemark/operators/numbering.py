@@ -39,15 +39,22 @@ def with_position(table: DataFrame, key: str, name: str = "position", bits: int
     return with_offset(table, key, F.lit(1), name, bits)
 
 
-def with_shuffled_rank(table: DataFrame, key: str, seed: int, name: str = "rank") -> DataFrame:
+def with_shuffled_rank(
+    table: DataFrame, key: str, seed: int, name: str = "rank", keys: DataFrame | None = None
+) -> DataFrame:
     """Adds the position of each row in a seeded random order.
 
     The order is that of a digest of seed and key.  Its first three hex digits cut 4096 even
-    buckets, whose counts (4096 rows at most) give each bucket its start.
+    buckets, whose counts (4096 rows at most) give each bucket its start.  ``keys`` may hold the
+    same keys in a form that is cheaper to read than the table.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    rows = table.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, 3))
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+        return df.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, 3))
+
+    rows = bucketed(table)
+    counts = bucketed(table if keys is None else keys).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", key)) - 1

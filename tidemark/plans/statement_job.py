@@ -22,7 +22,7 @@ def clean_statement(rows: DataFrame, spec: T.TableSpec, year: Column) -> DataFra
     ``year`` is the report year, an expression over ``doc_id``.
     """
     merged = T.drop_body_headers(T.label_years(T.merge_headers(T.preclean(rows, spec), spec)), spec)
-    labelled = T.merge_labels(usable(merged), [*spec.labels, *spec.label_aliases, *spec.header_words])
+    labelled = T.merge_labels(usable(merged), [*spec.labels, *spec.label_aliases, *spec.discard, *spec.header_words])
     facts = T.tidy(usable(labelled))
     known = T.alias_labels(T.discard_labels(facts, spec.discard), spec.label_pattern, spec.label_aliases)
     numbered = S.occurrence_suffix(known, ["doc_id", "period_idx"], "label", "row_idx")

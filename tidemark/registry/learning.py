@@ -119,9 +119,9 @@ def _consecutive(c):
     JOIN (SELECT ch, row_number() OVER (ORDER BY ord(ch)) - 1 AS char_id
           FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '') USING (ch) GROUP BY doc_id""")
 def _encode(c):
-    coded = M.encode_chars(c.table("documents"))
+    coded = M.encode_chars(c.table("documents").where(F.length("text") > 0))
     text = F.array_join(F.col("char_ids").cast("array<string>"), ",")
-    return present(coded.select("doc_id", text.alias("char_ids")).where(F.col("char_ids") != ""))
+    return present(coded.select("doc_id", text.alias("char_ids")))
 
 
 define("lagged", """

@@ -17,7 +17,7 @@ SPEC = T.TableSpec(
     labels=["营业收入", "净利润（元）", "一、总资产", "其中：研发", "备注", "负债合计"],
     label_pattern="[\\u4E00-\\u9FA5].*",
     label_aliases={"净利润（元）": "净利润", "一、总资产": "总资产"},
-    discard=["^备注"],
+    discard=["备注"],
 )
 
 define("row_flags", """
