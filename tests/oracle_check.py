@@ -35,9 +35,11 @@ def _norm(v):
     return (4, f"{type(v).__name__}:{v}")
 
 
-def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str):
-    """Returns (rows, error text or None)."""
+def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str, inspect=None):
+    """Returns (rows, error text or None); ``inspect`` is called with the frame before it runs."""
     df = fn(spark, sf_dir)
+    if inspect is not None:
+        inspect(df)
     cols = sorted(df.columns)
     got = sorted(tuple(_norm(v) for v in r) for r in df.select(*[f"`{c}`" for c in cols]).collect())
     if sql is None:

@@ -10,31 +10,23 @@ from tidemark import registry
 
 registry.load_all()
 
-# Queries that run a job while they are being built (writers, model fits, streams).
-EAGER = {
-    "scan_prices", "write_replace", "write_append", "ratio_build", "growth_regression", "score_batch", "trend_direction",
-    "stream_incremental", "stream_moving_avg",
-}
-
-
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     return connect(sf_dir)
 
 
+def no_product(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan)
+
+
 @pytest.mark.parametrize("name", sorted(registry.JOBS))
 def test_matches_sql(spark, duck, sf_dir, name):
-    rows, error = compare(spark, duck, name, registry.JOBS[name], registry.ORACLES.get(name), sf_dir)
+    rows, error = compare(spark, duck, name, registry.JOBS[name], registry.ORACLES.get(name), sf_dir, no_product)
     assert error is None, error
     assert rows > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.JOBS) - EAGER))
-def test_plan_has_no_product(spark, sf_dir, name):
-    plan = registry.JOBS[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan)
-
-
 def test_entry(spark):
     assert entry_point.entry(spark).limit(1).count() == 1
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())

@@ -99,24 +99,23 @@ def column_widths(table: DataFrame, columns: Sequence[str], margin: int, low: in
     return cells.select("column_name", width.cast("bigint").alias("width"))
 
 
-def regression_loss(scored: DataFrame, outputs: Sequence[tuple[str, str]], weights: Sequence[float]) -> DataFrame:
-    """Mean squared error per output and their weighted sum."""
-    errors = [
-        F.avg((F.col(p).cast("double") - F.col(y).cast("double")) * (F.col(p).cast("double") - F.col(y).cast("double")))
-        .alias(f"mse_{i}")
-        for i, (p, y) in enumerate(outputs)
-    ]
-    out = scored.agg(*errors)
-    total = sum((F.col(f"mse_{i}") * F.lit(w) for i, w in enumerate(weights)), F.lit(0.0))
-    return out.withColumn("loss", total)
+def evaluate(
+    scored: DataFrame, outputs: Sequence[tuple[str, str]], weights: Sequence[float], predicted: str, actual: str
+) -> DataFrame:
+    """Mean squared error per output, their weighted sum, and the share of rows with the right class.
 
+    All of it comes out of one pass over the scored rows.
+    """
 
-def accuracy(scored: DataFrame, predicted: str, actual: str) -> DataFrame:
-    """Share of rows whose predicted class is the actual one."""
-    return scored.agg(
-        (F.count_if(F.col(predicted).eqNullSafe(F.col(actual))) / F.count(F.lit(1))).alias("accuracy"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    def error(p: str, y: str) -> Column:
+        gap = F.col(p).cast("double") - F.col(y).cast("double")
+        return F.avg(gap * gap)
+
+    errors = [error(p, y).alias(f"mse_{i}") for i, (p, y) in enumerate(outputs)]
+    hits = F.count_if(F.col(predicted).eqNullSafe(F.col(actual))) / F.count(F.lit(1))
+    out = scored.agg(*errors, hits.alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    total = sum((F.col(f"mse_{i}") * F.lit(w) for i, w in enumerate(weights)), F.lit(0.0))
+    return out.withColumn("loss", total)
 
 
 def perplexity(scored: DataFrame, probability: str, *keys: str) -> DataFrame:

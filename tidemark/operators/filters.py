@@ -48,6 +48,11 @@ def has_rows(table: DataFrame) -> bool:
     return not table.isEmpty()
 
 
+def table_exists(table: DataFrame, name: str) -> bool:
+    """Whether the catalog of the table's session knows ``name``."""
+    return table.sparkSession.catalog.tableExists(name)
+
+
 def name_matches_all(table: DataFrame, name: str, pattern_groups: Sequence[Sequence[str]]) -> DataFrame:
     """Names in which every group of alternatives is found; an empty group asks nothing."""
     out = table
@@ -91,15 +96,13 @@ def violations(
     members: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Values failing a full-match pattern or missing from a dimension: (key, column, value, reason)."""
-    structs = [
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"), F.lit(p).alias("pattern"))
-        for c, p in checks.items()
-    ]
-    cells = table.select(key, F.explode(F.array(*structs)).alias("x")).select(key, "x.*")
-    bad = (
-        cells.where(~F.coalesce(F.regexp_like("value", F.concat(F.lit("^(?:"), "pattern", F.lit(")$"))), F.lit(False)))
-        .select(key, "column_name", "value", F.lit("pattern").alias("reason"))
-    )
+    found = []
+    for column, pattern in checks.items():
+        value = F.col(column).cast("string")
+        fails = ~F.coalesce(value.rlike(f"^(?:{pattern})$"), F.lit(False))
+        cell = F.struct(F.lit(column).alias("column_name"), value.alias("value"), F.lit("pattern").alias("reason"))
+        found.append(F.when(fails, cell))
+    bad = table.select(key, F.explode(F.array_compact(F.array(*found))).alias("x")).select(key, "x.*")
     for column, dim in (members or {}).items():
         missing = table.join(dim.select(F.col(dim.columns[0]).alias(column)), column, "left_anti").select(
             key, F.lit(column).alias("column_name"), F.col(column).cast("string").alias("value"),

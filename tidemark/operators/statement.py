@@ -20,7 +20,7 @@ from tidemark.functions import text as X
 
 @dataclass(frozen=True)
 class TableSpec:
-    """Configuration of one report table."""
+    """Configuration of one report table; ``discard`` holds label words to be found and dropped."""
 
     header_words: Sequence[str]
     header_pattern: str
@@ -28,7 +28,6 @@ class TableSpec:
     label_pattern: str = ""
     label_aliases: Mapping[str, str] = field(default_factory=dict)
     discard: Sequence[str] = ()
-    keep_first_column: bool = False
 
 
 def rows_from_nested(tables: DataFrame, table: str = "table") -> DataFrame:
@@ -281,6 +280,11 @@ def merge_labels(rows: DataFrame, labels: Sequence[str], skip_first: bool = Fals
     )
 
 
+def merge_header_labels(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Header labels broken over several columns become one: ``merge_labels`` on the transposed table."""
+    return transpose(merge_labels(transpose(rows), labels))
+
+
 # ---- tidy facts ------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel, Pipeline, Transformer
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import series as S
+from tidemark.session import materialise
 
 
 def lag_features(series: DataFrame, lags: int, value: str = "close", order: str = "trade_date") -> DataFrame:
@@ -53,13 +54,15 @@ DIRECTION_INPUTS = ["prev_calendar_days", "prev_trading_days", "prev_change_rate
 def trend_direction(segments: DataFrame, weights: Sequence[float] = (1.0, 5.0, 1.0)) -> DataFrame:
     """Forecast of every segment's days, change and direction, with its weighted loss.
 
-    Finished segments (train_flag 1) train the models, all are scored.  The loss is the weighted
+    Finished segments (train_flag 1) train the models, all are scored.  The features are stored
+    first, since three fits and the scoring read them.  The loss is the weighted
     sum of both squared errors and the log loss of the direction.
     """
     table = direction_table(segments).select(
         "code", "start_record_id", "train_flag", F.col("trading_days").cast("double").alias("days"),
         F.col("change_rate").cast("double").alias("change"), "rising", *DIRECTION_INPUTS,
     )
+    table = materialise(table, "direction-features")
     train = table.where(F.col("train_flag") == 1)
     stages = [
         VectorAssembler(inputCols=DIRECTION_INPUTS, outputCol="features"),

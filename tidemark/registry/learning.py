@@ -12,7 +12,7 @@ from tidemark.plans import trend_job
 from tidemark.registry import job
 from tidemark.registry.ctes import define
 from tidemark.registry.present import present
-from tidemark.session import shared_dir
+from tidemark.session import materialise, shared_dir
 from tidemark.sources import sinks
 
 define("scalable", """
@@ -137,7 +137,7 @@ define("fitted", """
     SELECT code, CAST(trade_date AS VARCHAR) AS trade_date, round(my + wa * (a - ma) + wb * (b - mb), 2) AS predicted
     FROM lagged, fitted WHERE b IS NOT NULL""")
 def _growth(c):
-    features = P.lag_features(c.price_long(), 2)
+    features = materialise(P.lag_features(c.price_long(), 2), "growth-features")
     model = P.fit_growth(features, ["lag_1", "lag_2"], "close")
     scored = P.score(model, features, ["code", "trade_date"], ["predicted"])
     return present(scored.withColumn("predicted", F.round("predicted", 2)))
@@ -145,8 +145,8 @@ def _growth(c):
 
 @job("score_batch")
 def _score_batch(c):
-    """Model fitted on finished reports' series, applied to all, stored with its keys."""
-    features = P.lag_features(c.price(), 3)
+    """Growth model applied to every series, its predictions stored with their keys."""
+    features = materialise(P.lag_features(c.price(), 3), "score-features")
     model = P.fit_growth(features, ["lag_1", "lag_2", "lag_3"], "close")
     path = shared_dir(c.spark, "scores")
     sinks.replace_table(P.score(model, features, ["code", "trade_date", "close"], ["predicted"]), path)

@@ -142,10 +142,8 @@ def _metrics(c):
     scored = naive_scores(c).select(
         "close", "p1", "p2", (F.col("p1") >= F.col("p2")).alias("guess"), (F.col("close") >= F.col("p1")).alias("truth")
     )
-    loss = A.regression_loss(scored, [("p1", "close"), ("p2", "close")], [1.0, 5.0])
-    hits = A.accuracy(scored, "guess", "truth")
-    both = loss.withColumn("k", F.lit(1)).join(hits.withColumn("k", F.lit(1)), "k").drop("k")
-    return present(both.select(*[F.round(x, 6).alias(x) for x in ("mse_0", "mse_1", "loss")], "accuracy", "n"))
+    out = A.evaluate(scored, [("p1", "close"), ("p2", "close")], [1.0, 5.0], "guess", "truth")
+    return present(out.select(*[F.round(x, 6).alias(x) for x in ("mse_0", "mse_1", "loss")], "accuracy", "n"))
 
 
 @job("perplexity", """

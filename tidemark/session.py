@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -44,3 +44,14 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """The frame stored as a table in the shared folder and read back.
+
+    Cuts the lineage of a frame that several passes read, model fits above all, with something that
+    outlives the executors it was computed on.
+    """
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
