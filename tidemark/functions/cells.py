@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import apply_rules, is_valid
 
-NUMERALS = "一二三四五六七八九十〇"
-
 # Cell rules, applied in this order.
 CELL_RULES = [
     ("不适用$", ""),
-    (f"^附\\s*注[{NUMERALS}]*", ""),
-    (f"^[{NUMERALS}、]+附\\s*注", ""),
+    ("^附\\s*注[一二三四五六七八九十〇]*", ""),
+    ("^[一二三四五六七八九十〇、]+附\\s*注", ""),
     ("元$", ""),
     ("^上升了", ""),
     ("^上升", ""),
@@ -38,9 +36,9 @@ CELL_RULES = [
     ("^货币单位：人民币$", ""),
     ("^去年同期为负$", ""),
     ("[0-9]、$", ""),
-    (f"^\\s*[（(]*[{NUMERALS}、]{{1,4}}[)）]*(?=[^\\u4E00-\\u9FA5])", ""),
-    (f"[（(]*[{NUMERALS}、]{{1,4}}[)）]*(?=[^\\u4E00-\\u9FA5])", ""),
-    (f"[{NUMERALS}、]{{1,4}}", ""),
+    ("^\\s*[（(]*[一二三四五六七八九十〇、]{1,4}[)）]*(?=[^\\u4E00-\\u9FA5])", ""),
+    ("[（(]*[一二三四五六七八九十〇、]{1,4}[)）]*(?=[^\\u4E00-\\u9FA5])", ""),
+    ("[一二三四五六七八九十〇、]{1,4}", ""),
 ]
 TAIL_RULES = [(" ", ""), ("个百分点$", ""), ("个百分$", ""), ("个$", "")]
 GLUE = "[ ]{2,}(?=[0-9-])"

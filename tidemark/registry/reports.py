@@ -181,6 +181,50 @@ def _transpose(c):
     return joined(T.transpose(c.report_rows()))
 
 
-@job("statement_clean")
+_VALID = "CASE WHEN {0} IN ('', 'None') THEN '' ELSE {0} END"
+define("st_rows", f"""
+    SELECT doc_id, row_idx, c0, c1, c2, length(c0) AS n,
+           coalesce(sum(length(c0)) OVER (PARTITION BY doc_id ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_
+    FROM (SELECT c.doc_id, c.row_idx, c.c0, CASE WHEN row_idx = 0 THEN '2015年（调整后）' ELSE replace(p1, ' ', '') END AS c1,
+                 CASE WHEN row_idx = 0 THEN '2014年' ELSE replace(p2, ' ', '') END AS c2,
+                 count(*) OVER (PARTITION BY c.doc_id) AS total, is_header
+          FROM clean_cells c JOIN row_flags f USING (doc_id, row_idx))
+    WHERE total > 2 AND (row_idx = 0 OR NOT is_header)""")
+define("st_starts", """
+    SELECT doc_id, list_sum(gaps[1:i]) + coalesce(list_sum(lens[1:i - 1]), 0) AS s
+    FROM (SELECT doc_id, list_transform(string_split_regex(t, r), lambda x: length(x)) AS gaps,
+                 list_transform(regexp_extract_all(t, r), lambda x: length(x)) AS lens
+          FROM (SELECT doc_id, string_agg(c0, '' ORDER BY row_idx) AS t,
+                       '净利润（元）|其中：研发|一、总资产|营业收入|负债合计|备注|项目' AS r FROM st_rows GROUP BY doc_id)),
+         LATERAL (SELECT unnest(range(1, len(lens) + 1)) AS i)""")
+define("st_groups", """
+    SELECT *, sum(CASE WHEN (opens AND NOT coalesce(opened, false)) OR coalesce(below > upto_prev, false) THEN 1 ELSE 0 END)
+                OVER (PARTITION BY doc_id ORDER BY row_idx) AS g
+    FROM (SELECT *, bool_or(opens) OVER (PARTITION BY doc_id, at_ ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened,
+                 lag(upto) OVER (PARTITION BY doc_id ORDER BY row_idx) AS upto_prev
+          FROM (SELECT r.*, hit AND (n > 0 OR (c1 <> 'None' AND c2 <> 'None')) AS opens, upto, below
+                FROM st_rows r JOIN (
+                  SELECT r.doc_id, r.row_idx, count(s) FILTER (s <= at_) AS upto, count(s) FILTER (s < at_) AS below,
+                         coalesce(bool_or(s = at_), false) AS hit
+                  FROM st_rows r LEFT JOIN st_starts l ON l.doc_id = r.doc_id GROUP BY 1, 2) x
+                  ON x.doc_id = r.doc_id AND x.row_idx = r.row_idx))""")
+define("st_merged", f"""
+    SELECT doc_id, min(row_idx) AS row_idx, string_agg(c0, '' ORDER BY row_idx) AS label,
+           CASE WHEN count(*) = 1 THEN any_value(c1) ELSE string_agg({_VALID.format('c1')}, '' ORDER BY row_idx) END AS v1,
+           CASE WHEN count(*) = 1 THEN any_value(c2) ELSE string_agg({_VALID.format('c2')}, '' ORDER BY row_idx) END AS v2
+    FROM st_groups GROUP BY doc_id, g""")
+define("st_facts", """
+    SELECT *, row_number() OVER (PARTITION BY doc_id, period, label ORDER BY row_idx) AS k FROM (
+      SELECT doc_id, row_idx, CASE l WHEN '净利润（元）' THEN '净利润' WHEN '一、总资产' THEN '总资产' ELSE l END AS label,
+             unnest(['2015年（调整后）', '2014年']) AS period, unnest([2015, 2014]) AS report_time, unnest([v1, v2]) AS v
+      FROM (SELECT *, nullif(regexp_extract(label, '[\\x{4E00}-\\x{9FA5}].*'), '') AS l, min(row_idx) OVER (PARTITION BY doc_id) AS f FROM st_merged)
+      WHERE row_idx > f AND l IS NOT NULL AND NOT contains(label, '备注'))""")
+
+
+@job("statement_clean", """
+    SELECT doc_id, row_idx, CASE WHEN k > 1 THEN label || (k - 1) ELSE label END AS label, CAST(report_time AS BIGINT) AS report_time, period,
+           r AS raw, CAST(TRY_CAST(replace(r, ',', '') AS DECIMAL(38,4)) AS DOUBLE) AS value
+    FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(replace(v, 'None', ''), '/', ''), '（([0-9.,]+)）', '-\\1', 'g'),
+                                   '[（）]', '', 'g'), '.*-$', '') AS r FROM st_facts)""")
 def _statement(c):
     return present(clean_statement(c.report_rows(), SPEC, F.lit(2015)))
