@@ -41,4 +41,3 @@ def test_filters_reach_the_files(spark, sf_dir):
 def test_series_share_one_shuffle_by_code(spark, sf_dir):
     plan = registry.JOBS["trend_segments"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2  # daily closes, then the series
-    assert "SortAggregate" not in plan
