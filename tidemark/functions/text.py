@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -44,6 +44,15 @@ def apply_rules(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda col, rule: F.regexp_replace(col, rule[0], rule[1]), rules, text)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once.
+
+    A filter pushed below the projection that builds a column repeats the column's expression for
+    every mention of it; bound as a lambda variable it is mentioned once.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def is_valid(text: Column) -> Column:
     return text.isNotNull() & ~text.isin(*INVALID)
 

@@ -71,24 +71,31 @@ def rest(cells: Column) -> Column:
 
 def is_header(cells: Column, spec: TableSpec) -> Column:
     """First cell is a header word, or the rest run together matches the header pattern."""
-    word = first_cell(cells).isin(*spec.header_words) & (first_cell(cells) != "")
-    return (F.size(cells) > 1) & (word | X.contains_match(X.merge_all(rest(cells)), spec.header_pattern))
+
+    def test(row: Column) -> Column:
+        word = first_cell(row).isin(*spec.header_words) & (first_cell(row) != "")
+        return (F.size(row) > 1) & (word | X.contains_match(X.merge_all(rest(row)), spec.header_pattern))
+
+    return X.bind(cells, test)
 
 
 def all_invalid(cells: Column) -> Column:
     """More than one cell, none of them valid."""
-    return (F.size(cells) > 1) & (X.merge_all(cells) == "")
+    return X.bind(cells, lambda row: (F.size(row) > 1) & (X.merge_all(row) == ""))
 
 
 def all_invalid_not_blank(cells: Column) -> Column:
     """No valid cell, but not a wholly blank row (blank rows drive merges)."""
-    return (X.merge_all(cells) == "") & ~F.forall(cells, lambda x: x == "")
+    return X.bind(cells, lambda row: (X.merge_all(row) == "") & ~F.forall(row, lambda x: x == ""))
 
 
 def no_none(cells: Column, skip_first: bool = False) -> Column:
     """No cell reads 'None'; the first is left out for the equity table."""
-    tested = rest(cells) if skip_first else cells
-    return (F.size(cells) > 1) & F.forall(tested, lambda x: x != "None")
+
+    def test(row: Column) -> Column:
+        return (F.size(row) > 1) & F.forall(rest(row) if skip_first else row, lambda x: x != "None")
+
+    return X.bind(cells, test)
 
 
 # ---- steps along one table -------------------------------------------------------------
