@@ -113,15 +113,14 @@ def _consecutive(c):
 
 
 @job("encode_chars", """
-    SELECT doc_id, string_agg(char_id, ',' ORDER BY i) AS char_ids FROM (
+    SELECT doc_id, '[' || string_agg(char_id, ',' ORDER BY i) || ']' AS char_ids FROM (
       SELECT doc_id, generate_subscripts(chars, 1) AS i, unnest(chars) AS ch
       FROM (SELECT doc_id, string_split(text, '') AS chars FROM documents WHERE length(text) > 0))
     JOIN (SELECT ch, row_number() OVER (ORDER BY ord(ch)) - 1 AS char_id
           FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '') USING (ch) GROUP BY doc_id""")
 def _encode(c):
     coded = M.encode_chars(c.table("documents").where(F.length("text") > 0))
-    text = F.array_join(F.col("char_ids").cast("array<string>"), ",")
-    return present(coded.select("doc_id", text.alias("char_ids")))
+    return present(coded.select("doc_id", F.to_json("char_ids").alias("char_ids")))
 
 
 define("lagged", """
