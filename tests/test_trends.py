@@ -210,3 +210,17 @@ def test_as_of_average_on_missing_day(spark):
     )
     got = {r["end_date"].day: r["end_ma"] for r in S.averages_at_segment_end(ends, averages).collect()}
     assert float(got[5]) == 1.0 and float(got[6]) == 2.0 and got[1] is None
+
+
+def test_grouped_maps_travel_by_value():
+    """Workers must not need the package: the pickled function names no module of it."""
+    import pickletools
+
+    from pyspark import cloudpickle
+
+    sent = cloudpickle.dumps(lambda close: P.scan_pivots(close, 14))
+    modules = [arg for op, arg, _ in pickletools.genops(sent) if isinstance(arg, str)]
+    assert "scan_pivots" in modules
+    restored = cloudpickle.loads(cloudpickle.dumps(P.scan_pivots))
+    assert restored(np.array([1.0, 2.0]), 3) == [(0, True), (1, None)]
+    assert restored is not P.scan_pivots

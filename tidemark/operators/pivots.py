@@ -7,11 +7,17 @@ a group stays small whatever the number of ticks behind it.  Work is parallel ac
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The functions of this module travel with the task, so workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PIVOT_SCHEMA = "code string, pivot_seq long, record_id long, trade_date date, close double, ascending boolean"
 MARK_SCHEMA = PIVOT_SCHEMA + ", extreme boolean"
 
