@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import pii
+from tidemark.llm import pii, quality
 
 
-def _read(name: str, job):
-    return lambda spark, sf_dir: job(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+def _over(job, *tables: str):
+    """A query that applies ``job`` to whole tables."""
+    return lambda spark, sf_dir: job(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
 
 
 JOBS = {
-    "op5_pii": _read("documents", pii.report),
+    "op5_pii": _over(pii.report, "documents"),
+    "op10_quality": _over(quality.report, "documents", "labels"),
 }
 
 ORACLES: dict[str, str] = {}
