@@ -59,8 +59,8 @@ def test_random(spark, seed):
 
 
 def test_score_and_threshold(spark):
-    good = [f"alpha beta gamma g{i} " * 10 + " ".join(f"t{i}x{k}" for k in range(20)) for i in range(12)]
-    poor = [f"zzz### qqq$$$ p{i} " * 10 + " ".join(f"u{i}x{k}" for k in range(20)) for i in range(12)]
+    good = [f"alpha beta gamma g{i} " * 10 + " ".join(f"t{i}x{k}" for k in range(3)) for i in range(12)]
+    poor = [f"zzz### qqq$$$ p{i} " * 10 + " ".join(f"u{i}x{k}" for k in range(3)) for i in range(12)]
     texts = good + poor
     docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA)
     labels = spark.createDataFrame([(i, int(i < 12), 0) for i in range(24) if i % 2 == 0] + [(None, 1, 0), (0, None, None)][:1], LABELS)

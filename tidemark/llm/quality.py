@@ -1,7 +1,7 @@
 """Quality rules: a log-likelihood ratio of hashed n-grams between trusted documents and the raw corpus.
 
 Features are the words of a text and their adjacent pairs, hashed into ``buckets``.  Two multinomials are counted over
-them: the *target* from the trusted documents (label ``quality`` 1 and ``toxic`` 0) and the *raw* one from every document.  A
+them: the *target* from the trusted documents (label ``quality`` 1 and ``toxic`` 0; at most ``labelled`` labels take part) and the *raw* one from every document.  A
 document's score is the mean over its features of ``log(target / raw)``; it is kept from ``threshold`` on.  Counting is one pass
 that combines before the shuffle (at most ``buckets`` rows per task), scoring reads a table of ``buckets`` numbers, the only
 thing that passes through the driver; its size is a parameter and does not depend on the corpus.
@@ -29,6 +29,7 @@ WINDOW = 8
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
+LABELLED = 50_000
 MARGIN = 1 / 3
 SPREAD = 8.0
 
@@ -127,11 +128,15 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS,
-        margin: float = MARGIN, spread: float = SPREAD) -> Model:
-    """Counts over all documents, target counts over all trusted ones, threshold from the trusted scores."""
+        margin: float = MARGIN, spread: float = SPREAD, labelled: int = LABELLED) -> Model:
+    """Raw counts over all documents, target counts and threshold from at most ``labelled`` labelled ones.
+
+    The labels that take part, those with the smallest hash of their id, are broadcast; their number is the bound.
+    """
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
         (F.min(F.coalesce("quality", F.lit(0))) >= 1).alias("_good"), F.max(F.coalesce("toxic", F.lit(0))).alias("_toxic")
     ).select("_id", (F.col("_good") & (F.col("_toxic") == 0)).alias("_trusted"), (~F.col("_good")).alias("_poor"))
+    marks = F.broadcast(marks.orderBy(F.xxhash64("_id"), "_id").limit(labelled))
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     marked = texts.join(marks, "_id", "left")
     counts = (
@@ -151,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         log((t + SMOOTHING) / (n_target + size)) - log((r + SMOOTHING) / (n_raw + size)) for t, r in zip(target, raw)
     )
     model = Model(buckets, ratios, float("-inf"))
-    scored = marked.where((F.col("_trusted") | F.col("_poor")) & (F.col("_text") != ""))
+    scored = texts.join(marks, "_id").where((F.col("_trusted") | F.col("_poor")) & (F.col("_text") != ""))
     scored = with_hashes(scored).select("_trusted", model.score().alias("_s"))
     by = {r["_trusted"]: r for r in scored.groupBy("_trusted").agg(F.avg("_s").alias("mean"), F.stddev_pop("_s").alias("sd")).collect()}
     good, poor = by[True], by.get(False)
