@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.spans import located
+
 # Each pattern matches the same spans as its plain form. A match can only begin at the start of a run (or where the last match
 # ended) and takes its runs whole, so a text without a match is still read once, and no repeated group recurses.
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -44,25 +46,6 @@ CONTEXT = {
 }
 DOUBT = r"\bversion|\bserial|\border (?:no|number)|\bisbn|\bsha-?1\b|\bcommit\b"
 
-_SPAN = "array<struct<start:int,stop:int,value:string>>"
-
-
-def located(text: Column, pattern: str) -> Column:
-    """All matches of ``pattern`` with their positions: the text between matches, split off, says where each one starts."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        stop = start + F.length(x["m"])
-        one = F.array(F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("value")))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], one).alias("out"))
-
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.aggregate(pairs, nothing, step, lambda acc: acc["out"])
-
-
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
