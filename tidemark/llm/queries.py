@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import licenses, pii, quality
+from tidemark.llm import bpe, licenses, pii, quality
 
 
 def _over(job, *tables: str):
@@ -12,6 +12,7 @@ def _over(job, *tables: str):
 
 JOBS = {
     "op5_pii": _over(pii.report, "documents"),
+    "op6_bpe": _over(bpe.report, "documents"),
     "op9_licenses": _over(licenses.report, "documents"),
     "op10_quality": _over(quality.report, "documents", "labels"),
 }
