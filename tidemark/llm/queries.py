@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, licenses, pii, quality
+from tidemark.llm import bpe, licenses, pii, quality, warc
 
 
 def _over(job, *tables: str):
@@ -11,10 +11,20 @@ def _over(job, *tables: str):
 
 
 JOBS = {
+    "op4_warc": _over(warc.report, "pages"),
     "op5_pii": _over(pii.report, "documents"),
     "op6_bpe": _over(bpe.report, "documents"),
     "op9_licenses": _over(licenses.report, "documents"),
     "op10_quality": _over(quality.report, "documents", "labels"),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, url, octet_length(body) AS n, sha1(body) AS digest FROM p),
+        f AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM d)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to, coalesce(url, '') AS url
+        FROM f""",
+}
