@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, licenses, pii, quality, warc
+from tidemark.llm import bpe, html_main, licenses, pii, quality, warc
 
 
 def _over(job, *tables: str):
@@ -11,6 +11,7 @@ def _over(job, *tables: str):
 
 
 JOBS = {
+    "op2_html": _over(html_main.report, "pages"),
     "op4_warc": _over(warc.report, "pages"),
     "op5_pii": _over(pii.report, "documents"),
     "op6_bpe": _over(bpe.report, "documents"),
