@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontam, html_main, licenses, pii, quality, warc
+from tidemark.llm import bpe, decontam, html_main, licenses, line_dedup, pii, quality, warc
 
 
 def _over(job, *tables: str):
@@ -16,6 +16,7 @@ JOBS = {
     "op4_warc": _over(warc.report, "pages"),
     "op5_pii": _over(pii.report, "documents"),
     "op6_bpe": _over(bpe.report, "documents"),
+    "op8_line_dedup": _over(line_dedup.report, "documents"),
     "op9_licenses": _over(licenses.report, "documents"),
     "op10_quality": _over(quality.report, "documents", "labels"),
 }
@@ -48,4 +49,18 @@ ORACLES: dict[str, str] = {
                CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to, coalesce(url, '') AS url
         FROM f""",
+    "op8_line_dedup": """
+        WITH s AS (SELECT doc_id, text, CASE WHEN text IS NULL OR text = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
+        l AS (SELECT doc_id, unnest(range(len(lines))) AS pos, unnest(lines) AS raw FROM s),
+        c AS (SELECT doc_id, pos, coalesce(CAST(doc_id AS HUGEINT), 99999999999999999999) * 2147483648 + pos AS o,
+                     string_split(trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)), ' ') AS w FROM l),
+        e AS (SELECT *, len(w) AS n FROM c WHERE len(w) >= 8),
+        v AS (SELECT o, j, hash(array_to_string(list_concat(w[1:j], w[j + 2:]), ' ')) AS k FROM e, unnest(range(0, n)) t(j)
+              UNION ALL SELECT o, j, hash(array_to_string(w, ' ')) FROM e, unnest(range(0, n + 1)) t(j)),
+        f AS (SELECT j, k, min(o) AS first FROM v GROUP BY j, k),
+        g AS (SELECT DISTINCT o FROM v JOIN f USING (j, k) WHERE o > first),
+        r AS (SELECT l.doc_id, count(*) FILTER (g.o IS NOT NULL) AS n_removed, string_agg(raw, chr(10) ORDER BY l.pos) FILTER (g.o IS NULL) AS kept
+              FROM l LEFT JOIN g ON g.o = coalesce(CAST(l.doc_id AS HUGEINT), 99999999999999999999) * 2147483648 + l.pos GROUP BY l.doc_id)
+        SELECT s.doc_id, len(lines) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM s LEFT JOIN r ON r.doc_id IS NOT DISTINCT FROM s.doc_id""",
 }
