@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontam, html_main, licenses, line_dedup, pii, quality, warc
+from tidemark.llm import bpe, decontam, html_main, licenses, line_dedup, minhash, pii, quality, warc
 
 
 def _over(job, *tables: str):
@@ -11,6 +11,7 @@ def _over(job, *tables: str):
 
 
 JOBS = {
+    "op1_minhash": _over(minhash.report, "documents"),
     "op2_html": _over(html_main.report, "pages"),
     "op3_decontam": _over(decontam.report, "documents", "benchmark"),
     "op4_warc": _over(warc.report, "pages"),
