@@ -69,7 +69,8 @@ def test_lookahead_is_sufficient_for_random_lists():
         ids = {t: i for i, t in enumerate(tokens)}
         c = bpe.Codec.__new__(bpe.Codec)
         c.single = [ids.get(bytes([b]), 0) for b in range(256)]
-        c.merge = {(ids[a], ids[b]): (k, ids[a + b]) for k, (a, b) in enumerate(merges)}
+        c.rank_of = {(ids[a], ids[b]): k for k, (a, b) in enumerate(merges)}
+        c.product = [ids[a + b] for a, b in merges]
         look = bpe.sufficient_lookahead(merges)
         for _ in range(60):
             head = bytes(r.choices(b"abc", k=look + r.randint(1, 12)))

@@ -167,15 +167,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(buckets, ratios, threshold)
 
 
-def assess(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Base measures, score and verdict of every document; ``carry`` keeps input columns as they are."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c).alias(f"_in_{c}") for c in carry])
+def _assessed(rows: DataFrame, model: Model) -> DataFrame:
+    """``_text`` and what stands beside it, with the base measures, ``_score``, ``base_failed`` and ``kept``."""
     out = measures(with_hashes(rows)).withColumn("_score", model.score()).withColumn("base_failed", base_failed())
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("_score") >= model.threshold))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("_score") >= model.threshold))
+
+
+def assess(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Base measures, score and verdict of every document."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return out.select(
-        F.col("_id").alias(id_col), *names, F.col("_score").alias("score"), *[F.col(f"_in_{c}").alias(f"in_{c}") for c in carry]
-    )
+    return _assessed(rows, model).select(F.col("_id").alias(id_col), *names, F.col("_score").alias("score"))
+
+
+def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents the verdict rejects; all columns as they are."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return _assessed(rows, model).where("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
