@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontam, html_main, licenses, line_dedup, minhash, pii, quality, warc
+from tidemark.llm import bpe, decontam, html_main, licenses, line_dedup, minhash, pii, quality, substrings, warc
 
 
 def _over(job, *tables: str):
@@ -17,6 +17,7 @@ JOBS = {
     "op4_warc": _over(warc.report, "pages"),
     "op5_pii": _over(pii.report, "documents"),
     "op6_bpe": _over(bpe.report, "documents"),
+    "op7_substrings": _over(substrings.report, "documents"),
     "op8_line_dedup": _over(line_dedup.report, "documents"),
     "op9_licenses": _over(licenses.report, "documents"),
     "op10_quality": _over(quality.report, "documents", "labels"),
@@ -50,6 +51,7 @@ ORACLES: dict[str, str] = {
                CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to, coalesce(url, '') AS url
         FROM f""",
+    "op7_substrings": _over(substrings.report, "documents"),
     "op8_line_dedup": """
         WITH s AS (SELECT doc_id, text, CASE WHEN text IS NULL OR text = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
         l AS (SELECT doc_id, unnest(range(len(lines))) AS pos, unnest(lines) AS raw FROM s),
