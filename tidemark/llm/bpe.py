@@ -39,7 +39,8 @@ WINDOW = 1 << 16
 #: A piece can depend on up to three characters after it, and every piece has one at least.
 GUARD = 4
 CHUNK = 512
-CACHE = 100_000
+CACHE = 300_000
+NONE = 1 << 60
 ROWS = 128
 
 
@@ -90,47 +91,46 @@ class Codec:
             if len(b) == 1:
                 self.single[b[0]] = i
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.merge = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.rank_of = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.product = [vocab[a + b] for a, b in pairs]
         self.lookahead = sufficient_lookahead([(raw(a), raw(b)) for a, b in pairs])
         self.longest = max(map(len, self.bytes_of.values()))
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of a short run of bytes: always the pair of lowest rank, leftmost first."""
         ids = [self.single[b] for b in data]
-        if len(ids) > 48:
+        if len(ids) > 64:
             return self._merged_by_heap(ids)
-        merge = self.merge
-        while len(ids) > 1:
-            best, at, new = 1 << 60, -1, 0
-            left = ids[0]
-            for i in range(1, len(ids)):
-                found = merge.get((left, ids[i]))
-                left = ids[i]
-                if found is not None and found[0] < best:
-                    best, new, at = found[0], found[1], i
-            if at < 0:
-                break
-            ids[at - 1:at + 1] = [new]
+        rank_of, product = self.rank_of, self.product
+        ranks = [rank_of.get(pair, NONE) for pair in zip(ids, ids[1:])]
+        while ranks and (rank := min(ranks)) < NONE:
+            i = ranks.index(rank)
+            ids[i:i + 2] = [product[rank]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of.get((ids[i - 1], ids[i]), NONE)
+            if i < len(ranks):
+                ranks[i] = rank_of.get((ids[i], ids[i + 1]), NONE)
         return ids
 
     def _merged_by_heap(self, ids: list[int]) -> list[int]:
-        n, merge = len(ids), self.merge
+        n, rank_of, product = len(ids), self.rank_of, self.product
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (found := merge.get((ids[i], ids[j]))) is not None:
-                heapq.heappush(heap, (found[0], i, ids[i], ids[j], found[1]))
+            if j < n and (rank := rank_of.get((ids[i], ids[j]))) is not None:
+                heapq.heappush(heap, (rank, i, ids[i], ids[j]))
 
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, left, right, new = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             j = after[i]
             if ids[i] != left or j >= n or ids[j] != right:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = product[rank], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -171,26 +171,35 @@ def pieces(text: str, split: regex.Pattern) -> Iterator[list[str]]:
 
 
 class _Known(dict):
-    """Ids by piece; starts anew when full, so memory stays bounded. Long pieces are streamed and not kept."""
+    """Ids by piece. When full, it becomes the old generation, from which pieces still in use come back; so memory stays bounded.
+
+    Long pieces are streamed and not kept.
+    """
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        ids = tuple(chain.from_iterable(self.codec.stream(data)))
-        if len(data) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            data = piece.encode()
+            ids = tuple(chain.from_iterable(self.codec.stream(data)))
+            if len(data) > 64:
+                return ids
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
 class Encoder:
     def __init__(self, codec: Codec):
         self.special = codec.special
-        self.known = _Known(codec)
+        # kept with the tables, which a worker keeps between tasks
+        self.known = codec.__dict__.setdefault("known", _Known(codec))
         self.split = regex.compile(PIECE)
         words = sorted(map(regex.escape, codec.special), key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(words) + ")") if words else None
