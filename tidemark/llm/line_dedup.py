@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import filters
+
 MIN_WORDS = 8
 #: Bits of the filter; 2^23 are one megabyte. Each half sets two.
 FILTER_BITS = 1 << 23
@@ -54,42 +56,18 @@ def _first_words(line: Column, count: Column) -> Column:
     return F.call_function("substring_index", line, F.lit(" "), count)
 
 
-def _bits(key: Column) -> list[Column]:
-    mask = F.lit(FILTER_BITS - 1).cast("long")
-    return [key.bitwiseAND(mask), F.shiftrightunsigned(key, 32).bitwiseAND(mask)]
-
-
-def shared_halves(lines: DataFrame) -> Column | None:
-    """Filter over the halves that two different lines share, as one literal; None if there are none.
-
-    What comes to the driver is at most ``FILTER_BITS`` / 64 numbers, whatever the input.
-    """
+def shared_halves(lines: DataFrame) -> Column:
+    """Filter over the halves that two different lines share."""
     keys = lines.select("a", F.explode(F.array(*_halves(F.col("n"), F.col("line")))).alias("key"))
     shared = keys.groupBy("key").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least <> most")
-    bits = shared.select(F.explode(F.array(*_bits(F.col("key")))).alias("bit"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))
-    words = bits.groupBy(F.shiftrightunsigned("bit", 6).cast("int").alias("word")).agg(F.bit_or(one).alias("set")).collect()
-    if not words:
-        return None
-    table = [0] * (FILTER_BITS // 64)
-    for r in words:
-        table[r["word"]] = r["set"]
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
-
-
-def _in_filter(table: Column, key: Column) -> Column:
-    test = F.lit(True)
-    for bit in _bits(key):
-        word = F.get(table, F.shiftrightunsigned(bit, 6).cast("int"))
-        test = test & (F.call_function("getbit", word, F.pmod(bit, F.lit(64)).cast("int")) == 1)
-    return test
+    return filters.build(shared, "key", FILTER_BITS)
 
 
 def candidates(lines: DataFrame, table: Column) -> DataFrame:
     """Lines that may have a neighbour, with ``tail`` and ``head``: whether their last or first half may differ from it."""
     front, front_less, back, back_less = _halves(F.col("n"), F.col("line"))
-    rows = lines.withColumn("tail", _in_filter(table, front) | _in_filter(table, front_less))
-    rows = rows.withColumn("head", _in_filter(table, back) | _in_filter(table, back_less))
+    known = lambda key: filters.holds(table, key, FILTER_BITS)
+    rows = lines.withColumn("tail", known(front) | known(front_less)).withColumn("head", known(back) | known(back_less))
     return rows.where("tail OR head")
 
 
@@ -120,12 +98,9 @@ def one_edit_apart(x: Column, y: Column) -> Column:
     return (F.abs(F.size(x) - F.size(y)) <= 1) & (common(x, y) + common(F.reverse(x), F.reverse(y)) >= longest - 1)
 
 
-def near_lines(lines: DataFrame) -> DataFrame | None:
+def near_lines(lines: DataFrame) -> DataFrame:
     """Hashes (a, b) of the lines that have a near line before their first occurrence."""
-    table = shared_halves(lines)
-    if table is None:
-        return None
-    rows = candidates(lines, table)
+    rows = candidates(lines, shared_halves(lines))
     variants = neighbourhood(rows).groupBy("key", "a").agg(F.min("o").alias("o"))
     earliest = variants.groupBy("key").agg(F.min("o").alias("first"), F.min("a").alias("_least"), F.max("a").alias("_most"))
     earliest = earliest.where("_least <> _most").select("key", "first")
@@ -139,10 +114,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Lines to remove, per document: ``doc`` and ``gone``, a list of (pos, a)."""
     lines = _lines(docs, id_col, text_col)
     repeated = lines.groupBy("a", "b").agg(F.min("o").alias("first"), F.max("o").alias("_last")).where("_last > first").drop("_last")
-    near = near_lines(lines)
-    if near is not None:
-        repeated = repeated.unionByName(near.withColumn("first", F.lit(-1).cast("decimal(34,0)")).select("a", "b", "first"))
-        repeated = repeated.groupBy("a", "b").agg(F.min("first").alias("first"))
+    near = near_lines(lines).withColumn("first", F.lit(-1).cast("decimal(34,0)"))
+    repeated = repeated.unionByName(near.select("a", "b", "first")).groupBy("a", "b").agg(F.min("first").alias("first"))
     gone = lines.drop("line", "n").join(repeated, ["a", "b"]).where(F.col("o") > F.col("first"))
     return gone.groupBy("doc").agg(F.collect_set(F.struct("pos", "a")).alias("gone"))
 
