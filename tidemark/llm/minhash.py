@@ -30,6 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import filters
 from tidemark.llm.components import components
 from tidemark.session import materialise
 
@@ -46,6 +47,8 @@ ROUNDS = 2
 LEAST_ESTIMATE = 0.70
 CHUNK = 1 << 17
 KNOWN_WORDS = 400_000
+#: Of the filter that keeps texts without a candidate from being shuffled; 2^22 bits are half a megabyte.
+FILTER_BITS = 1 << 22
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -217,12 +220,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     """The pairs whose full sets overlap by ``percent``; ``texts`` is (rep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, set] = (None, set())
+        last: tuple[str | None, set] = (None, set())
         for batch in batches:
             good = []
-            for y, tx, ty in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                if y != last[0]:
-                    last = (y, shingles(ty.as_py()))
+            for tx, ty in zip(batch.column(2), batch.column(3)):
+                text = ty.as_py()
+                if text != last[0]:
+                    last = (text, shingles(text))
                 one, other = shingles(tx.as_py()), last[1]
                 common = len(one & other)
                 good.append(100 * common >= percent * (len(one) + len(other) - common))
@@ -242,10 +246,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialise(classes, "classes")
     pairs = candidates(classes).where((F.col("estimate") >= LEAST_ESTIMATE) & (F.col("x") != F.col("y"))).select("x", "y")
     pairs = materialise(pairs, "pairs")
-    needed = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "rep")
+    needed = filters.build(pairs.select(F.explode(F.array(F.xxhash64("x"), F.xxhash64("y"))).alias("key")), "key", FILTER_BITS)
     # a representative's text: among rows of one id, that of the class; rows of one id are one document, so any may speak for it
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    texts = texts.join(needed, "rep", "left_semi")
+    texts = texts.where(filters.holds(needed, F.xxhash64("rep"), FILTER_BITS))
     links = confirmed(pairs, texts, percent).select(F.col("x").alias("u"), F.col("y").alias("v"))
     # rows of one id with different words: their classes share the document
     ids = every.where("key IS NOT NULL AND id IS NOT NULL").select("id", "key").distinct()
