@@ -242,3 +242,24 @@ def test_prior_year_needs_no_gap(spark):
 
     df = spark.createDataFrame([("a", 2017, 1.0), ("a", 2019, 2.0), ("a", 2020, 3.0)], "code string, year int, x double")
     assert [r["prev_x"] for r in prior_period(df, ["code"], "year", ["x"]).orderBy("year").collect()] == [None, None, 2.0]
+
+
+def test_padding_keeps_all_steps(spark):
+    df = spark.createDataFrame([(1, [float(i) for i in range(30)]), (2, [1.0])], "n long, steps array<double>")
+    got = {r["n"]: r for r in M.pad_sequences(df, "n", 2).collect()}
+    assert got[1]["length"] == 30 and got[1]["steps"] == [float(i) for i in range(30)] and len(got[2]["steps"]) == 30
+
+
+def test_empty_texts_are_encoded_too(spark):
+    got = {r["doc_id"]: r["char_ids"] for r in M.encode_chars(spark.createDataFrame([(1, "ba"), (2, "")], "doc_id long, text string")).collect()}
+    assert got == {1: [1, 0], 2: []}
+
+
+def test_positions_of_sparse_and_negative_keys(spark):
+    from tidemark.operators.numbering import with_position, with_shuffled_rank
+
+    keys = [hash((i, "x")) for i in range(500)] + [-(2**63), 2**63 - 1, 0, -1]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = {r["k"]: r["position"] for r in with_position(df, "k").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
+    assert sorted(r["rank"] for r in with_shuffled_rank(df, "k", 3).collect()) == list(range(len(keys)))

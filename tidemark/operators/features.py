@@ -61,15 +61,16 @@ def one_hot(table: DataFrame, column: str, levels: Sequence[str], at: int) -> Da
 
 
 def pad_sequences(
-    sequences: DataFrame, number: str, batch_size: int, max_steps: int, values: str = "steps"
+    sequences: DataFrame, number: str, batch_size: int, max_steps: int | None = None, values: str = "steps"
 ) -> DataFrame:
-    """Sequences cut to their latest steps and padded with 0 to the longest of their batch.
+    """Sequences padded with 0 to the longest of their batch; ``max_steps``, where given, keeps only the latest steps.
 
     Batches are runs of ``batch_size`` sequences in order of the unique number.  True lengths stay.
     """
-    last = F.least(F.size(values), F.lit(max_steps))
-    cut = F.slice(values, F.size(values) - last + 1, last)
-    placed = with_position(sequences.withColumn(values, cut), number, "_pos").withColumn(
+    if max_steps is not None:
+        last = F.least(F.size(values), F.lit(max_steps))
+        sequences = sequences.withColumn(values, F.slice(values, F.size(values) - last + 1, last))
+    placed = with_position(sequences, number, "_pos").withColumn(
         "batch", F.floor(F.col("_pos") / batch_size)
     )
     longest = placed.groupBy("batch").agg(F.max(F.size(values)).alias("_longest"))
@@ -213,8 +214,10 @@ def encode_chars(table: DataFrame, number: str = "doc_id", text: str = "text") -
     by every row as a scalar, so texts are encoded in place without a shuffle.
     """
     vocabulary = char_vocabulary(table, text).select(F.ascii("ch").alias("point"), "char_id")
-    known = vocabulary.agg(F.map_from_entries(F.collect_list(F.struct("point", "char_id"))).alias("m"), F.max("point").alias("top"))
-    dense = known.select(F.transform(F.sequence(F.lit(0), F.col("top")), lambda p: F.col("m")[p]).alias("ids"))
+    top = vocabulary.agg(F.max("point").alias("top"))
+    points = top.select(F.explode(F.sequence(F.lit(0), F.coalesce("top", F.lit(0)))).alias("point"))
+    entries = points.join(vocabulary, "point", "left").agg(F.array_sort(F.collect_list(F.struct("point", F.col("char_id").cast("int").alias("id")))).alias("e"))
+    dense = entries.select(F.transform("e", lambda e: e["id"]).alias("ids"))
     encoded = table.select(number, text).withColumn("_ids", dense.scalar())
     ids = F.transform(F.filter(code_points(F.col(text)), lambda ch: ch != ""), lambda ch: F.element_at(F.col("_ids"), F.ascii(ch) + 1))
     return encoded.select(number, ids.alias("char_ids"))

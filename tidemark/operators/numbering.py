@@ -5,30 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BITS = 12
+BITS = 16
 
 
-def with_offset(table: DataFrame, key: str, weight: Column | str, name: str = "offset", bits: int = BITS) -> DataFrame:
-    """Adds the sum of ``weight`` over all rows with a smaller ``key`` (a unique whole number).
+def _starts(rows: DataFrame, levels: list[str], weight: str, start: str) -> DataFrame:
+    """Sum of ``weight`` before each group of the finest of ``levels`` (finest first, each decided by the one before).
 
-    Two levels of key ranges carry the totals: a range of the first level holds at most 2^bits
-    rows, and only the second level, one row per 2^(2·bits) keys, is read in one ordered pass.
-    Ranges are cut by key value, so a task run again after a loss finds the same ranges.
+    Totals go up level by level and offsets come down again, so a window holds the children of one group; only the groups of the coarsest
+    level, few by construction, are read in one ordered pass.
     """
-    amount = F.expr(weight) if isinstance(weight, str) else weight
-    low, high = F.shiftright(F.col(key), bits), F.shiftright(F.col(key), 2 * bits)
-    rows = table.withColumns({"_w": amount.cast("bigint"), "_b1": low, "_b2": high})
     before = (Window.unboundedPreceding, -1)
+    totals = [rows.groupBy(*levels).agg(F.sum(weight).alias("_t"))]
+    for k in range(1, len(levels)):
+        totals.append(totals[-1].groupBy(*levels[k:]).agg(F.sum("_t").alias("_t")))
+    top = levels[-1]
+    offsets = totals[-1].select(top, F.coalesce(F.sum("_t").over(Window.orderBy(top).rowsBetween(*before)), F.lit(0)).alias(start))
+    for k in range(len(levels) - 2, -1, -1):
+        inner = F.sum("_t").over(Window.partitionBy(levels[k + 1]).orderBy(levels[k]).rowsBetween(*before))
+        offsets = totals[k].join(offsets, levels[k + 1]).select(*levels[k:k + 1], (F.col(start) + F.coalesce(inner, F.lit(0))).alias(start))
+    return offsets
 
-    level1 = rows.groupBy("_b2", "_b1").agg(F.sum("_w").alias("_t1"))
-    level2 = level1.groupBy("_b2").agg(F.sum("_t1").alias("_t2"))
-    top = level2.select("_b2", F.coalesce(F.sum("_t2").over(Window.orderBy("_b2").rowsBetween(*before)), F.lit(0)).alias("_o2"))
-    inner = F.sum("_t1").over(Window.partitionBy("_b2").orderBy("_b1").rowsBetween(*before))
-    starts = level1.join(top, "_b2").select("_b1", (F.col("_o2") + F.coalesce(inner, F.lit(0))).alias("_o1"))
-    own = F.sum("_w").over(Window.partitionBy("_b1").orderBy(key).rowsBetween(*before))
+
+def with_offset(table: DataFrame, key: str, weight: Column | str, name: str = "offset", bits: int = BITS) -> DataFrame:
+    """Adds the sum of ``weight`` over all rows with a smaller ``key`` (a unique whole number of up to 64 bits).
+
+    Key ranges of 2^bits keys carry the totals, ranges of ranges above them up to the full width of a key, so the coarsest level is small
+    however sparse the keys are.  Ranges are cut by key value, so a task run again after a loss finds the same ranges.
+    """
+    amount = F.expr(weight) if isinstance(weight, str) else weight
+    shifts = range(bits, 64, bits)
+    levels = [f"_b{i}" for i in range(1, len(shifts) + 1)]
+    key_long = F.col(key).cast("bigint")
+    rows = table.withColumns({"_w": amount.cast("bigint")} | {b: F.shiftright(key_long, s) for b, s in zip(levels, shifts)})
+    own = F.sum("_w").over(Window.partitionBy("_b1").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
     return (
-        rows.drop("_b2")
-        .join(starts, "_b1")
+        rows.drop(*levels[1:])
+        .join(_starts(rows, levels, "_w", "_o1"), "_b1")
         .withColumn(name, (F.col("_o1") + F.coalesce(own, F.lit(0))).cast("bigint"))
         .drop("_w", "_b1", "_o1")
     )
@@ -44,22 +56,19 @@ def with_shuffled_rank(
 ) -> DataFrame:
     """Adds the position of each row in a seeded random order.
 
-    The order is that of a digest of seed and key.  Its first three hex digits cut 4096 even
-    buckets, whose counts (4096 rows at most) give each bucket its start.  ``keys`` may hold the
-    same keys in a form that is cheaper to read than the table.
+    The order is that of a digest of seed and key.  Its first eight hex digits cut even buckets, a few hundred rows each at 10^12 rows; its
+    first four cut 65,536 groups of these.  ``keys`` may hold the same keys in a form that is cheaper to read than the table.
     """
 
     def bucketed(df: DataFrame) -> DataFrame:
         digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-        return df.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, 3))
+        return df.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, 8))
 
     rows = bucketed(table)
-    counts = bucketed(table if keys is None else keys).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    counts = bucketed(table if keys is None else keys).select("_bucket", F.substring("_bucket", 1, 4).alias("_group"), F.lit(1).alias("_w"))
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", key)) - 1
     return (
-        rows.join(starts, "_bucket")
+        rows.join(_starts(counts, ["_bucket", "_group"], "_w", "_start"), "_bucket")
         .withColumn(name, (F.col("_start") + inside).cast("bigint"))
         .drop("_digest", "_bucket", "_start")
     )

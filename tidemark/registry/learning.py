@@ -60,13 +60,12 @@ def _one_hot(c):
     SELECT code, CAST(batch AS BIGINT) AS batch, CAST(n AS BIGINT) AS length, array_to_string(list_concat(list_transform(v, lambda x: CAST(x AS VARCHAR)),
            list_transform(range(max(n) OVER (PARTITION BY batch) - n), lambda x: '0.0')), ',') AS steps
     FROM (SELECT *, (row_number() OVER (ORDER BY CAST(code AS BIGINT)) - 1) // 8 AS batch, len(v) AS n FROM (
-      SELECT code, list(CAST(close AS DOUBLE) ORDER BY trade_date) AS v FROM (
-        SELECT * FROM price QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) <= 25) GROUP BY code))""")
+      SELECT code, list(CAST(close AS DOUBLE) ORDER BY trade_date) AS v FROM price GROUP BY code))""")
 def _pad(c):
     sequences = O.ordered_sequences(c.price(), ["close"]).select(
         "code", F.col("code").cast("bigint").alias("number"), F.transform("steps", lambda s: s["close"].cast("double")).alias("steps")
     )
-    padded = M.pad_sequences(sequences, "number", batch_size=8, max_steps=25)
+    padded = M.pad_sequences(sequences, "number", batch_size=8)
     return present(padded.select("code", "batch", "length", F.array_join(F.col("steps").cast("array<string>"), ",").alias("steps")))
 
 
@@ -113,13 +112,14 @@ def _consecutive(c):
 
 
 @job("encode_chars", """
+    SELECT doc_id, coalesce(char_ids, '[]') AS char_ids FROM documents LEFT JOIN (
     SELECT doc_id, '[' || string_agg(char_id, ',' ORDER BY i) || ']' AS char_ids FROM (
       SELECT doc_id, generate_subscripts(chars, 1) AS i, unnest(chars) AS ch
       FROM (SELECT doc_id, string_split(text, '') AS chars FROM documents WHERE length(text) > 0))
     JOIN (SELECT ch, row_number() OVER (ORDER BY ord(ch)) - 1 AS char_id
-          FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '') USING (ch) GROUP BY doc_id""")
+          FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '') USING (ch) GROUP BY doc_id) USING (doc_id)""")
 def _encode(c):
-    coded = M.encode_chars(c.table("documents").where(F.length("text") > 0))
+    coded = M.encode_chars(c.table("documents"))
     return present(coded.select("doc_id", F.to_json("char_ids").alias("char_ids")))
 
 
