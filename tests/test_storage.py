@@ -176,3 +176,40 @@ def test_sliding_average_in_append_mode(spark, tmp_path):
     run()
     got = {r["as_of"].day: r["average"] for r in spark.read.parquet(out).collect()}
     assert got[2] == 2.0 and got[3] == 3.0 and got[4] == 4.0
+
+
+def test_empty_announcement_page_is_counted(spark):
+    raw = spark.createDataFrame([('{"query": "q", "page": 1, "total": 5, "announcements": []}',)], "payload string")
+    got = R.landing_counts(R.flatten_announcements(raw)).first()
+    assert (got["query"], got["landed"], got["declared"], got["complete"]) == ("q", 0, 5, False)
+
+
+def test_links_in_any_spelling(spark):
+    html = "<A class=x href='/a'>one <b>two</b></A> <a href=/b>c</a><a title=\"t\" HREF = \"/d\" id=1>e\nf</a><a name=x>no</a><abbr href='/z'>q</abbr>"
+    got = R.page_links(spark.createDataFrame([(1, html)], "page_id long, html string"), "^/").collect()
+    assert [(r["href"], r["label"]) for r in got] == [("/a", "one two"), ("/b", "c"), ("/d", "e\nf")]
+
+
+def test_a_lagging_key_keeps_its_rows_and_marks_must_be_there(spark, tmp_path):
+    root = str(tmp_path / "store")
+    schema = "code string, ts timestamp, event_id long"
+    rows = lambda *r: spark.createDataFrame([(c, __import__("datetime").datetime(2024, 1, d), i) for c, d, i in r], schema)
+    I.seed_store(rows(("a", 1, 1), ("b", 1, 2)), root, "code", "ts")
+    write = I.append_batch(root, "code", "ts", "event_id")
+    write(rows(("a", 20, 3)), 0)
+    write(rows(("b", 5, 4), ("b", 5, 4)), 1)
+    assert sorted(r["event_id"] for r in I.read_store(spark, root).collect()) == [1, 2, 3, 4]
+    with pytest.raises(FileNotFoundError):
+        write(rows(("a", 21, 5)), 5)
+
+
+def test_no_private_folder_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session(), "x")

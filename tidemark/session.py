@@ -42,6 +42,9 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share (master {master})")
         root = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

@@ -133,15 +133,24 @@ def clean_replacements(table: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame, pattern: str, html: str = "html") -> DataFrame:
-    """Links whose target matches ``pattern``: (page_id, ord, href, label)."""
-    anchor = r'<a href="([^"]*)"[^>]*>([^<]*)</a>'
+    """Links whose target matches ``pattern``: (page_id, ord, href, label); ``ord`` counts all anchors of the page.
+
+    The whole tag is matched, its target taken from any place among the attributes, quoted either way or not at all; tags inside the
+    label are stripped.
+    """
+    anchor = r"(?is)<a(\s[^>]*)>(.*?)</a\s*>"
     pairs = F.arrays_zip(
-        F.regexp_extract_all(html, F.lit(anchor), F.lit(1)).alias("href"),
+        F.regexp_extract_all(html, F.lit(anchor), F.lit(1)).alias("attrs"),
         F.regexp_extract_all(html, F.lit(anchor), F.lit(2)).alias("label"),
     )
+    href = r"""(?is)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
     return (
         pages.select("page_id", F.posexplode(pairs).alias("ord", "link"))
-        .select("page_id", "ord", F.col("link.href").alias("href"), F.col("link.label").alias("label"))
+        .select(
+            "page_id", "ord",
+            F.regexp_replace(F.regexp_extract("link.attrs", href, 1), "^[\"']|[\"']$", "").alias("href"),
+            F.regexp_replace("link.label", "<[^>]*>", "").alias("label"),
+        )
         .where(F.col("href").rlike(pattern))
     )
 
@@ -151,17 +160,20 @@ ANNOUNCEMENT_PAGE = f"struct<query: string, page: bigint, total: bigint, announc
 
 
 def flatten_announcements(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    """Landed JSON responses to one row per announcement, with the total its query declared."""
+    """Landed JSON responses to one row per announcement, with the total its query declared.
+
+    A page without announcements gives one row with nothing but its query and total.
+    """
     parsed = raw.select(F.from_json(payload, ANNOUNCEMENT_PAGE).alias("r"))
     return parsed.select(
         F.col("r.query").alias("query"),
         F.col("r.total").alias("declared"),
-        F.explode("r.announcements").alias("a"),
+        F.explode_outer("r.announcements").alias("a"),
     ).select("query", "declared", "a.code", "a.title", "a.size")
 
 
 def landing_counts(announcements: DataFrame) -> DataFrame:
     """Landed against declared row count per query."""
     return announcements.groupBy("query").agg(
-        F.count(F.lit(1)).alias("landed"), F.max("declared").alias("declared")
+        F.count(F.coalesce("code", "title", F.col("size").cast("string"))).alias("landed"), F.max("declared").alias("declared")
     ).withColumn("complete", F.col("landed") == F.col("declared"))

@@ -30,13 +30,19 @@ def _marks_before(spark: SparkSession, root: str, batch_id: int) -> str:
     return f"{root}/marks/batch={name}"
 
 
-def append_batch(root: str, key: str, stamp: str):
-    """``foreachBatch`` writer for the feed."""
+def append_batch(root: str, key: str, stamp: str, unique: str | None = None):
+    """``foreachBatch`` writer for the feed.
+
+    Rows repeated within a batch are dropped here; one repeated in a later batch is not newer than the mark of its key.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = _marks_before(spark, root, batch_id)
         known = existing_paths(spark, [before])
+        if batch_id > 0 and not known:
+            raise FileNotFoundError(f"marks of the batch before {batch_id} are missing: {before}")
+        batch = batch.dropDuplicates([unique]) if unique else batch
         rows = f"{root}/rows/batch={batch_id}"
         if known:
             marks = spark.read.parquet(before)
@@ -52,12 +58,18 @@ def append_batch(root: str, key: str, stamp: str):
 
 
 def run_incremental(
-    feed: DataFrame, root: str, key: str, stamp: str, unique: str, delay: str = "1 day", event_time: str | None = None
+    feed: DataFrame, root: str, key: str, stamp: str, unique: str, delay: str | None = None, event_time: str | None = None
 ) -> StreamingQuery:
-    """Starts the feed; repeated rows within the watermark are dropped before the batch writer."""
-    clean = feed.withWatermark(event_time or stamp, delay).dropDuplicatesWithinWatermark([unique])
+    """Starts the feed.
+
+    Only the mark of a row's own key decides whether it is late.  A ``delay`` sets a watermark over all keys besides; what lags the newest
+    row by more is then lost, whatever its key.
+    """
+    clean = feed
+    if delay is not None:
+        clean = feed.withWatermark(event_time or stamp, delay).dropDuplicatesWithinWatermark([unique])
     return (
-        clean.writeStream.foreachBatch(append_batch(root, key, stamp))
+        clean.writeStream.foreachBatch(append_batch(root, key, stamp, unique))
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()
