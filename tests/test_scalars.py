@@ -137,7 +137,9 @@ def test_page_snippets(spark):
     words = {
         "在职员工的数量合计": ("staff", "number"), "研发投入金额": ("research", "number"), "注册地址": ("address", "place"),
     }
-    facts = {r["fact"]: r["value"] for r in K.settle_facts(K.keyword_hits(page, words)).collect()}
+    first = {r["fact"]: r["value"] for r in K.settle_facts(K.keyword_hits(page, words)).collect()}
+    assert first["research"] == "1,000.00"
+    facts = {r["fact"]: r["value"] for r in K.settle_facts(K.keyword_hits(page, words), unit_overrides=True).collect()}
     assert facts == {"staff": "21,056", "research": "8,555,951,000.00", "address": "江苏连云港市"}
     assert tuple(K.reference_pairs(page).first()) == (1, "603027", "千禾味业")
 

@@ -180,9 +180,11 @@ def keyword_hits(lines: DataFrame, keywords: Mapping[str, tuple[str, str]]) -> D
     return hits.select("doc_id", "page", "pos", "ord", "h.fact", "h.value", F.nullif(F.col("h.unit"), F.lit("")).alias("unit"))
 
 
-def settle_facts(hits: DataFrame) -> DataFrame:
-    """One value per fact: the last hit qualified by a unit, else the first hit."""
+def settle_facts(hits: DataFrame, unit_overrides: bool = False) -> DataFrame:
+    """One value per fact: the first hit; with ``unit_overrides``, the last hit qualified by a unit, else the first hit."""
     place = F.struct("page", "pos", "ord")
+    if not unit_overrides:
+        return hits.groupBy("doc_id", "fact").agg(F.min_by("value", place).alias("value"))
     qualified = F.col("unit").isNotNull()
     return hits.groupBy("doc_id", "fact").agg(
         F.coalesce(

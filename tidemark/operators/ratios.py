@@ -42,7 +42,7 @@ RATIOS: dict[str, list[Ratio]] = {
     ],
     "ratio_capital": [
         Ratio("net_assets_ratio", "equity", "total_assets"),
-        Ratio("return_on_assets", "profit_before_tax", "total_assets"),
+        Ratio("return_on_assets", "net_profit", "total_assets"),
         Ratio("dividend_payout", "dividends", "net_profit"),
     ],
     "ratio_cash": [
@@ -55,6 +55,7 @@ RATIOS: dict[str, list[Ratio]] = {
         Ratio("adjusted_growth", "adjusted_profit - prev_adjusted_profit", "prev_adjusted_profit"),
         Ratio("cash_growth", "operating_cash - prev_operating_cash", "prev_operating_cash"),
         Ratio("equity_growth", "equity - prev_equity", "prev_equity"),
+        Ratio("market_value_growth", "market_value - prev_market_value", "prev_market_value"),
     ],
     "ratio_fees": [
         Ratio("three_fees", "selling_fee + admin_fee + finance_fee"),
@@ -62,7 +63,10 @@ RATIOS: dict[str, list[Ratio]] = {
         Ratio("all_fees_to_revenue", "fees", "revenue"),
         Ratio("wear_to_revenue", "depreciation + impairment", "revenue"),
     ],
-    "ratio_tax": [Ratio("tax_rate", "tax", "profit_before_tax - investment_income")],
+    "ratio_tax": [
+        Ratio("tax_rate", "tax", "profit_before_tax - investment_income"),
+        Ratio("plain_tax_rate", "tax", "profit_before_tax"),
+    ],
     "ratio_margins": [
         Ratio("operating_margin", "operating_profit", "revenue"),
         Ratio("gross_margin", "revenue - cost", "revenue"),
@@ -82,8 +86,8 @@ RATIOS: dict[str, list[Ratio]] = {
     "ratio_per_share": [Ratio("profit_per_share", "net_profit", "shares"), Ratio("assets_per_share", "equity", "shares")],
     "ratio_assets": [
         Ratio("construction_to_fixed", "construction", "fixed_assets"),
-        Ratio("production_capital", "fixed_assets + construction + intangible"),
-        Ratio("profit_to_production", "profit_before_tax", "fixed_assets + construction + intangible"),
+        Ratio("production_capital", "fixed_assets + construction + intangible + investment_property"),
+        Ratio("profit_to_production", "profit_before_tax", "fixed_assets + construction + intangible + investment_property"),
         Ratio("goodwill_to_revenue", "goodwill", "revenue"),
     ],
     "ratio_receivables": [
@@ -95,8 +99,9 @@ RATIOS: dict[str, list[Ratio]] = {
     "ratio_liquidity": [
         Ratio("current_ratio", "current_assets", "current_liabilities"),
         Ratio("quick_ratio", "current_assets - inventory", "current_liabilities"),
-        Ratio("cash_to_debt", "cash", "short_debt + long_debt + bonds"),
-        Ratio("interest_debt", "short_debt + long_debt + bonds"),
+        Ratio("current_assets_to_liabilities", "current_assets", "total_liabilities"),
+        Ratio("cash_to_debt", "cash", "short_debt + due_within_year"),
+        Ratio("interest_debt", "short_debt + due_within_year"),
         Ratio("notes_increase", "notes - prev_notes"),
     ],
     "ratio_turnover": [
@@ -110,21 +115,26 @@ RATIOS: dict[str, list[Ratio]] = {
     "ratio_residual": [
         Ratio("restored_return", "operating_profit", "total_assets - current_liabilities"),
         Ratio("required_return", f"prev_equity * {REQUIRED_RETURN}"),
-        Ratio("residual_income", f"net_profit - prev_equity * {REQUIRED_RETURN}"),
-        Ratio("residual_growth", "net_profit - prev_net_profit", f"net_profit - prev_equity * {REQUIRED_RETURN}"),
-        Ratio("perpetual_value", f"net_profit - prev_equity * {REQUIRED_RETURN}", f"{REQUIRED_RETURN}"),
+        Ratio("residual_income", "excess_profit"),
+        Ratio("residual_growth", "excess_profit - prev_excess_profit", "prev_excess_profit"),
+        Ratio("perpetual_value", "excess_profit", f"{REQUIRED_RETURN}"),
     ],
 }
 
 PRIOR_MEASURES = [
     "revenue", "net_profit", "adjusted_profit", "operating_cash", "equity", "total_assets", "receivables", "inventory",
-    "capitalised", "notes",
+    "capitalised", "notes", "market_value",
 ]
 
 
 def with_prior(statement: DataFrame, keys: Sequence[str], period: str = "year") -> DataFrame:
-    """Statement with last year's value of every measure some ratio compares with."""
-    return prior_period(statement, keys, period, PRIOR_MEASURES)
+    """Statement with last year's value of every measure some ratio compares with.
+
+    ``excess_profit`` is what the profit leaves of the return required on last year's equity; it has a prior value of its own.
+    """
+    known = prior_period(statement, keys, period, PRIOR_MEASURES)
+    known = known.withColumn("excess_profit", F.expr(f"net_profit - prev_equity * {REQUIRED_RETURN}"))
+    return prior_period(known, keys, period, ["excess_profit"])
 
 
 def ratios(statement: DataFrame, groups: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -133,12 +143,12 @@ def ratios(statement: DataFrame, groups: Sequence[str], keys: Sequence[str]) ->
 
 
 def annualised_growth(statement: DataFrame, keys: Sequence[str], measures: Sequence[str], span: int) -> DataFrame:
-    """Compound yearly growth over ``span`` years, where both ends exist and are positive.
+    """Compound yearly growth over ``span`` years, where both ends exist and are positive, else NULL.
 
     The earlier end is found by an equi join on the shifted year.
     """
     earlier = statement.select(*keys, (F.col("year") + span).alias("year"), *[F.col(m).alias(f"_{m}") for m in measures])
-    both = statement.join(earlier, [*keys, "year"])
+    both = statement.join(earlier, [*keys, "year"], "left")
     columns = []
     for m in measures:
         now, then = F.col(m).cast("double"), F.col(f"_{m}").cast("double")

@@ -15,6 +15,8 @@ from tidemark.operators import series as S
 from tidemark.session import materialise
 
 
+MAX_ITERATIONS = 1000
+
 def lag_features(series: DataFrame, lags: int, value: str = "close", order: str = "trade_date") -> DataFrame:
     """The last ``lags`` values of each series next to its current one; the first rows drop out."""
     w = Window.partitionBy("code").orderBy(order)
@@ -68,11 +70,14 @@ def trend_direction(segments: DataFrame, weights: Sequence[float] = (1.0, 5.0, 1
         VectorAssembler(inputCols=DIRECTION_INPUTS, outputCol="features"),
         LinearRegression(labelCol="days", predictionCol="days_hat", solver="normal"),
         LinearRegression(labelCol="change", predictionCol="change_hat", solver="normal"),
-        LogisticRegression(labelCol="rising", predictionCol="rising_hat", probabilityCol="p", rawPredictionCol="raw", maxIter=20),
+        LogisticRegression(labelCol="rising", predictionCol="rising_hat", probabilityCol="p", rawPredictionCol="raw", maxIter=MAX_ITERATIONS, tol=1e-9),
     ]
     from pyspark.ml.functions import vector_to_array
 
-    scored = Pipeline(stages=stages).fit(train).transform(table).withColumn("p_up", vector_to_array("p")[1])
+    fitted = Pipeline(stages=stages).fit(train)
+    if fitted.stages[-1].summary.totalIterations >= MAX_ITERATIONS:
+        raise RuntimeError("the direction model did not converge")
+    scored = fitted.transform(table).withColumn("p_up", vector_to_array("p")[1])
     chance = F.when(F.col("rising") == 1, F.col("p_up")).otherwise(1 - F.col("p_up"))
     loss = (
         weights[0] * (F.col("days") - F.col("days_hat")) ** 2

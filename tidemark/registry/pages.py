@@ -124,13 +124,13 @@ define("hits", """
 
 
 @job("keyword_facts", """
-    SELECT doc_id, fact, CASE WHEN bool_or(q) THEN arg_max(value, pos) ELSE arg_min(value, pos) END AS value FROM hits GROUP BY doc_id, fact""")
+    SELECT doc_id, fact, arg_min(value, pos) AS value FROM hits GROUP BY doc_id, fact""")
 def _keyword(c):
     return present(K.settle_facts(K.keyword_hits(c.page_lines(), KEYWORDS)))
 
 
 @job("fact_invalidate", """
-    SELECT doc_id, fact, CASE WHEN bool_or(q) THEN arg_max(value, pos) ELSE arg_min(value, pos) END AS value
+    SELECT doc_id, fact, arg_min(value, pos) AS value
     FROM hits LEFT JOIN (SELECT doc_id, min(pos) AS tp FROM page_lines WHERE contains(text, '股份有限公司') GROUP BY doc_id) t USING (doc_id)
     WHERE NOT (fact IN ('staff', 'research') AND tp IS NOT NULL AND pos <= tp) GROUP BY doc_id, fact""")
 def _invalidate(c):

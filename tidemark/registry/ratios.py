@@ -47,6 +47,10 @@ STAND_INS = {
     "short_debt": "total_assets * 0.1",
     "long_debt": "total_assets * 0.15",
     "bonds": "total_assets * 0.05",
+    "due_within_year": "long_debt * 0.2",
+    "total_liabilities": "total_assets - equity",
+    "investment_property": "total_assets * 0.03",
+    "market_value": "shares * (net_profit * 0.001)",
     "notes": "receivables * 0.4",
 }
 BASE = ["revenue", "fees", "tax", "headcount", "receivables", "inventory", "total_assets"]
@@ -56,7 +60,10 @@ _wide_sql = ", ".join(f"{e} AS {n}" for n, e in STAND_INS.items())
 _prior_sql = ", ".join(f"CASE WHEN lag(year) OVER w = year - 1 THEN lag({m}) OVER w END AS prev_{m}" for m in R.PRIOR_MEASURES)
 
 define("statement_wide", f"SELECT *, {_wide_sql} FROM (SELECT code, year, {_base_sql} FROM statement)")
-define("ratio_base", f"SELECT *, {_prior_sql} FROM statement_wide WINDOW w AS (PARTITION BY code ORDER BY year)")
+_excess_sql = """
+    SELECT *, CASE WHEN lag(year) OVER v = year - 1 THEN lag(excess_profit) OVER v END AS prev_excess_profit
+    FROM (SELECT *, net_profit - 0.08 * prev_equity AS excess_profit FROM ({inner})) WINDOW v AS (PARTITION BY {keys} ORDER BY year)"""
+define("ratio_base", _excess_sql.format(keys="code", inner=f"SELECT *, {_prior_sql} FROM statement_wide WINDOW w AS (PARTITION BY code ORDER BY year)"))
 define(
     "statement_typed",
     CTES["statement"]
@@ -70,8 +77,63 @@ define("ratio_base_typed", f"""
     WINDOW w AS (PARTITION BY code, report_type ORDER BY year)""")
 
 
-def _sql_ratio(r: R.Ratio) -> str:
-    return f"{r.top} AS {r.name}" if r.bottom is None else f"({r.top}) / nullif({r.bottom}, 0) AS {r.name}"
+# The same measures in SQL, written from their names and not from the formulas of the library.
+HAND_SQL = {
+    "ratio_per_head": """
+        pay / nullif(10000 * headcount, 0) AS pay_per_head, pay / nullif(revenue, 0) AS pay_to_revenue,
+        revenue / nullif(10000 * headcount, 0) AS revenue_per_head, net_profit / nullif(10000 * headcount, 0) AS profit_per_head""",
+    "ratio_capital": """
+        equity / nullif(total_assets, 0) AS net_assets_ratio, net_profit / nullif(total_assets, 0) AS return_on_assets,
+        dividends / nullif(net_profit, 0) AS dividend_payout""",
+    "ratio_cash": "operating_cash / nullif(net_profit, 0) AS cash_to_profit, cash_receipts / nullif(revenue, 0) AS receipts_to_revenue",
+    "ratio_growth": """
+        (revenue - prev_revenue) / nullif(prev_revenue, 0) AS revenue_growth,
+        (net_profit - prev_net_profit) / nullif(prev_net_profit, 0) AS profit_growth,
+        (adjusted_profit - prev_adjusted_profit) / nullif(prev_adjusted_profit, 0) AS adjusted_growth,
+        (operating_cash - prev_operating_cash) / nullif(prev_operating_cash, 0) AS cash_growth,
+        (equity - prev_equity) / nullif(prev_equity, 0) AS equity_growth,
+        (market_value - prev_market_value) / nullif(prev_market_value, 0) AS market_value_growth""",
+    "ratio_fees": """
+        selling_fee + admin_fee + finance_fee AS three_fees, (selling_fee + admin_fee + finance_fee) / nullif(revenue, 0) AS fees_to_revenue,
+        fees / nullif(revenue, 0) AS all_fees_to_revenue, (depreciation + impairment) / nullif(revenue, 0) AS wear_to_revenue""",
+    "ratio_tax": """
+        tax / nullif(profit_before_tax - investment_income, 0) AS tax_rate, tax / nullif(profit_before_tax, 0) AS plain_tax_rate""",
+    "ratio_margins": """
+        operating_profit / nullif(revenue, 0) AS operating_margin, (revenue - cost) / nullif(revenue, 0) AS gross_margin,
+        net_profit / nullif(revenue, 0) AS net_margin""",
+    "ratio_dupont": """
+        net_profit / nullif((equity + prev_equity) / 2, 0) AS return_on_equity,
+        revenue / nullif((total_assets + prev_total_assets) / 2, 0) AS asset_turnover,
+        (total_assets + prev_total_assets) / nullif(equity + prev_equity, 0) AS equity_multiplier""",
+    "ratio_retained": "(net_profit - prev_net_profit) / nullif(retained_profit, 0) AS retained_return",
+    "ratio_rnd": """
+        (development + research) / nullif(revenue, 0) AS rnd_to_revenue, capitalised / nullif(development + research, 0) AS capitalised_share,
+        capitalised - prev_capitalised AS capitalised_change""",
+    "ratio_per_share": "net_profit / nullif(shares, 0) AS profit_per_share, equity / nullif(shares, 0) AS assets_per_share",
+    "ratio_assets": """
+        construction / nullif(fixed_assets, 0) AS construction_to_fixed,
+        fixed_assets + construction + intangible + investment_property AS production_capital,
+        profit_before_tax / nullif(fixed_assets + construction + intangible + investment_property, 0) AS profit_to_production,
+        goodwill / nullif(revenue, 0) AS goodwill_to_revenue""",
+    "ratio_receivables": """
+        receivables / nullif(total_assets, 0) AS receivables_to_assets, receivables / nullif(revenue, 0) AS receivables_to_revenue,
+        (advance + payables) / nullif(prepaid + receivables, 0) AS credit_position, advance / nullif(receivables, 0) AS advance_to_receivables""",
+    "ratio_liquidity": """
+        current_assets / nullif(current_liabilities, 0) AS current_ratio, (current_assets - inventory) / nullif(current_liabilities, 0) AS quick_ratio,
+        current_assets / nullif(total_liabilities, 0) AS current_assets_to_liabilities,
+        cash / nullif(short_debt + due_within_year, 0) AS cash_to_debt, short_debt + due_within_year AS interest_debt,
+        notes - prev_notes AS notes_increase""",
+    "ratio_turnover": """
+        revenue / nullif((receivables + prev_receivables) / 2, 0) AS receivable_turnover,
+        cost / nullif((inventory + prev_inventory) / 2, 0) AS inventory_turnover""",
+    "ratio_working": """
+        operating_profit / nullif(receivables + inventory + prepaid - advance - payables, 0) AS profit_to_working,
+        revenue / nullif(receivables + inventory + prepaid - advance - payables, 0) AS revenue_to_working""",
+    "ratio_residual": """
+        operating_profit / nullif(total_assets - current_liabilities, 0) AS restored_return, 0.08 * prev_equity AS required_return,
+        net_profit - 0.08 * prev_equity AS residual_income,
+        (excess_profit - prev_excess_profit) / nullif(prev_excess_profit, 0) AS residual_growth, (net_profit - 0.08 * prev_equity) / 0.08 AS perpetual_value""",
+}
 
 
 def wide(statement, *keys):
@@ -84,9 +146,7 @@ def base(c):
 
 
 def _register(group: str) -> None:
-    columns = ", ".join(_sql_ratio(r) for r in R.RATIOS[group])
-
-    @job(group, f"SELECT code, year, {columns} FROM ratio_base")
+    @job(group, f"SELECT code, year, {HAND_SQL[group]} FROM ratio_base")
     def _run(c, group=group):
         return present(R.ratios(base(c), [group], ["code", "year"]))
 
@@ -98,7 +158,7 @@ for _group in R.RATIOS:
 @job("annualised_growth", """
     SELECT n.code, n.year, round(CASE WHEN n.net_profit > 0 AND e.net_profit > 0 THEN pow(n.net_profit / e.net_profit, 1.0 / 3) - 1 END, 9) AS net_profit_growth,
            round(CASE WHEN n.total_assets > 0 AND e.total_assets > 0 THEN pow(n.total_assets / e.total_assets, 1.0 / 3) - 1 END, 9) AS total_assets_growth
-    FROM statement_wide n JOIN statement_wide e ON e.code = n.code AND e.year = n.year - 3""")
+    FROM statement_wide n LEFT JOIN statement_wide e ON e.code = n.code AND e.year = n.year - 3""")
 def _annualised(c):
     df = R.annualised_growth(wide(c.statement(), "code", "year"), ["code"], ["net_profit", "total_assets"], 3)
     return present(
@@ -107,13 +167,17 @@ def _annualised(c):
 
 
 GROUPS = ["ratio_per_head", "ratio_capital", "ratio_cash", "ratio_margins"]
-_marks = " UNION ALL ".join(
-    "SELECT code, year, '{m}' AS measure, {m} AS value, coalesce({m} {op} {t}, false) AS marked, {p} AS percent FROM marked_ratios".format(
-        m=m, op={"lessThan": "<", "greaterThan": ">", "": "IS NULL AND 1 >"}[o], t=t if o else 2, p=str(p).lower())
-    for m, o, t, p in R.THRESHOLDS
-)
-define("marked_ratios", "SELECT code, year, " + ", ".join(_sql_ratio(r) for g in GROUPS for r in R.RATIOS[g]) + " FROM ratio_base")
-define("marks", _marks)
+define("marked_ratios", "SELECT code, year, " + ", ".join(HAND_SQL[g] for g in GROUPS) + " FROM ratio_base")
+define("marks", """
+    SELECT code, year, measure, value, percent, coalesce(passed, false) AS marked FROM (
+        SELECT code, year, 'pay_to_revenue' AS measure, pay_to_revenue AS value, pay_to_revenue < 0.15 AS passed, true AS percent FROM marked_ratios UNION ALL
+        SELECT code, year, 'net_assets_ratio', net_assets_ratio, net_assets_ratio > 0.5, true FROM marked_ratios UNION ALL
+        SELECT code, year, 'return_on_assets', return_on_assets, return_on_assets > 0.1, true FROM marked_ratios UNION ALL
+        SELECT code, year, 'dividend_payout', dividend_payout, dividend_payout > 0.3, true FROM marked_ratios UNION ALL
+        SELECT code, year, 'revenue_per_head', revenue_per_head, revenue_per_head > 100, false FROM marked_ratios UNION ALL
+        SELECT code, year, 'profit_per_head', profit_per_head, profit_per_head > 15, false FROM marked_ratios UNION ALL
+        SELECT code, year, 'cash_to_profit', cash_to_profit, cash_to_profit > 1, false FROM marked_ratios UNION ALL
+        SELECT code, year, 'gross_margin', gross_margin, false, true FROM marked_ratios)""")
 
 
 def marks(c):
@@ -130,9 +194,9 @@ def _grade(c):
     return present(R.grade_score(marks(c), ["code", "year"]))
 
 
-@job("ratio_build", "SELECT code, report_type, year, " + ", ".join(
-    _sql_ratio(r) for g in ("ratio_margins", "ratio_growth") for r in R.RATIOS[g]) +
-    " FROM ratio_base_typed WHERE report_type IN ('年度报告', '半年度报告')")
+@job("ratio_build", f"""
+    SELECT code, report_type, year, {HAND_SQL["ratio_margins"]}, {HAND_SQL["ratio_growth"]}
+    FROM ratio_base_typed WHERE report_type IN ('年度报告', '半年度报告')""")
 def _build(c):
     statement = wide(c.statement(by_type=True), "code", "report_type", "year")
     path = shared_dir(c.spark, "ratio-tables")

@@ -135,15 +135,14 @@ def _url_date(c):
 
 
 @job("map_join", """
-    SELECT code, string_agg(CASE report_type WHEN '年度报告' THEN 'category_ndbg' WHEN '半年度报告' THEN 'category_bndbg' END, ';'
-             ORDER BY report_type) AS joined
-    FROM (SELECT DISTINCT code, report_type FROM filings) GROUP BY code
-    HAVING count(*) FILTER (report_type <> '第三季度报告') > 0""")
+    SELECT code, coalesce(string_agg(CASE report_type WHEN '年度报告' THEN 'category_ndbg' WHEN '半年度报告' THEN 'category_bndbg' END, ';'
+             ORDER BY report_type), '') AS joined
+    FROM (SELECT DISTINCT code, report_type FROM filings) GROUP BY code""")
 def _map_join(c):
     codes = {"年度报告": "category_ndbg", "半年度报告": "category_bndbg"}
     lists = c.filings().groupBy("code").agg(F.sort_array(F.collect_set("report_type")).alias("types"))
     out = lists.select("code", X.map_join(F.col("types"), codes).alias("joined"))
-    return present(out.where(F.col("joined") != ""))
+    return present(out)
 
 
 @job("code_prefix", """
