@@ -76,39 +76,30 @@ def scan_pivots(close: np.ndarray, term: int) -> list[tuple[int, bool | None]]:
 
 
 def mark_extremes_of(record: np.ndarray, close: np.ndarray, term: int, min_rate: float) -> np.ndarray:
-    """Flags the reversal points of a pivot list within ``term`` records of look-ahead.
+    """Flags the reversal points of a pivot list.
 
-    A continuation that leaves a gap above ``min_rate`` percent marks both ends of the gap.
+    From a pivot the list is read up to the first one more than ``term`` records past its successor.  The lowest and the highest of that
+    stretch, in their order, are a move.  A move against the one before marks where it begins; one that goes on after a gap above
+    ``min_rate`` percent marks both ends of the gap.  The next stretch begins where the move ends.  Both ends of the list are marked.
     """
-    m = len(close)
-    marked = np.zeros(m, dtype=bool)
-    if m < 2:
+    marked = np.zeros(len(close), dtype=bool)
+    if len(close) < 2:
         return marked
-    marked[0] = marked[m - 1] = True
-    rising = bool(close[1] >= close[0])
-    at = 0
-    while at < m:
-        origin = top = bottom = at
-        at += 1
-        for ahead in range(at, m):
-            if record[ahead] - record[at] <= term:
-                if close[ahead] < close[bottom]:
-                    bottom = ahead
-                if close[ahead] > close[top]:
-                    top = ahead
-                continue
-            if record[top] == record[bottom]:
-                at += 1
-                break
-            now_rising = bool(record[bottom] < record[top])
-            start, end = (bottom, top) if now_rising else (top, bottom)
-            if now_rising != rising:
-                marked[start] = True
-            elif start != origin and abs(close[start] - close[origin]) * 100.0 > min_rate * close[origin]:
-                marked[origin] = marked[start] = True
-            rising = now_rising
-            at = end
-            break
+    marked[[0, -1]] = True
+    beyond = np.searchsorted(record, record + term, side="right")
+    rising, origin = bool(close[1] >= close[0]), 0
+    while origin + 1 < len(close) and beyond[origin + 1] < len(close):
+        stretch = close[origin:beyond[origin + 1]]
+        low, high = origin + int(stretch.argmin()), origin + int(stretch.argmax())
+        if low == high:  # all equal
+            origin += 2
+            continue
+        begin, end = min(low, high), max(low, high)
+        if (end == high) != rising:
+            marked[begin] = True
+        elif begin > origin and abs(close[begin] - close[origin]) * 100.0 > min_rate * close[origin]:
+            marked[[origin, begin]] = True
+        rising, origin = end == high, end
     return marked
 
 
