@@ -165,7 +165,41 @@ THRESHOLDS = [
     ("revenue_per_head", "greaterThan", 100.0, False),
     ("profit_per_head", "greaterThan", 15.0, False),
     ("cash_to_profit", "greaterThan", 1.0, False),
-    ("gross_margin", "", 0.0, True),
+    ("revenue_growth", "greaterThan", 0.3, True),
+    ("profit_growth", "", 0.3, True),
+    ("adjusted_growth", "greaterThan", 0.3, True),
+    ("cash_growth", "greaterThan", 0.3, True),
+    ("tax_rate", "", 0.15, True),
+    ("all_fees_to_revenue", "greaterThan", 0.3, True),
+    ("wear_to_revenue", "lessThan", 0.05, True),
+    ("operating_margin", "", 0.2, True),
+    ("gross_margin", "greaterThan", 0.3, True),
+    ("net_margin", "greaterThan", 0.2, True),
+    ("return_on_equity", "greaterThan", 0.2, True),
+    ("asset_turnover", "", 0.2, True),
+    ("equity_growth", "", 0.2, True),
+    ("rnd_to_revenue", "greaterThan", 0.08, True),
+    ("capitalised_share", "greaterThan", 0.3, True),
+    ("construction_to_fixed", "greaterThan", 0.3, True),
+    ("profit_to_production", "greaterThan", 0.2, True),
+    ("goodwill_to_revenue", "", 0.2, True),
+    ("receivables_to_revenue", "greaterThan", 0.3, True),
+    ("credit_position", "greaterThan", 1.0, False),
+    ("advance_to_receivables", "", 1.0, False),
+    ("current_ratio", "greaterThan", 2.0, False),
+    ("quick_ratio", "greaterThan", 1.0, False),
+    ("cash_to_debt", "greaterThan", 1.5, False),
+    ("current_assets_to_liabilities", "greaterThan", 1.5, False),
+    ("receipts_to_revenue", "greaterThan", 1.0, False),
+    ("receivable_turnover", "greaterThan", 5.0, False),
+    ("inventory_turnover", "", 2.0, False),
+    ("profit_to_working", "", 1.0, False),
+    ("revenue_to_working", "", 2.0, False),
+    ("restored_return", "greaterThan", 0.2, True),
+    ("annualised_profit_growth", "greaterThan", 0.3, True),
+    ("annualised_market_value_growth", "greaterThan", 0.3, True),
+    ("annualised_adjusted_growth", "greaterThan", 0.3, True),
+    ("grade", "", 0.3, True),
 ]
 
 

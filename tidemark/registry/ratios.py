@@ -166,18 +166,52 @@ def _annualised(c):
     )
 
 
-GROUPS = ["ratio_per_head", "ratio_capital", "ratio_cash", "ratio_margins"]
+GROUPS = [
+    "ratio_per_head", "ratio_capital", "ratio_cash", "ratio_growth", "ratio_tax", "ratio_fees", "ratio_margins", "ratio_dupont", "ratio_rnd",
+    "ratio_assets", "ratio_receivables", "ratio_liquidity", "ratio_turnover", "ratio_working", "ratio_residual",
+]
 define("marked_ratios", "SELECT code, year, " + ", ".join(HAND_SQL[g] for g in GROUPS) + " FROM ratio_base")
 define("marks", """
-    SELECT code, year, measure, value, percent, coalesce(passed, false) AS marked FROM (
-        SELECT code, year, 'pay_to_revenue' AS measure, pay_to_revenue AS value, pay_to_revenue < 0.15 AS passed, true AS percent FROM marked_ratios UNION ALL
-        SELECT code, year, 'net_assets_ratio', net_assets_ratio, net_assets_ratio > 0.5, true FROM marked_ratios UNION ALL
-        SELECT code, year, 'return_on_assets', return_on_assets, return_on_assets > 0.1, true FROM marked_ratios UNION ALL
-        SELECT code, year, 'dividend_payout', dividend_payout, dividend_payout > 0.3, true FROM marked_ratios UNION ALL
-        SELECT code, year, 'revenue_per_head', revenue_per_head, revenue_per_head > 100, false FROM marked_ratios UNION ALL
-        SELECT code, year, 'profit_per_head', profit_per_head, profit_per_head > 15, false FROM marked_ratios UNION ALL
-        SELECT code, year, 'cash_to_profit', cash_to_profit, cash_to_profit > 1, false FROM marked_ratios UNION ALL
-        SELECT code, year, 'gross_margin', gross_margin, false, true FROM marked_ratios)""")
+    SELECT code, year, measure, value, percent, coalesce(passed, false) AS marked FROM (SELECT code, year, unnest([
+        {'measure': 'pay_to_revenue', 'value': pay_to_revenue, 'passed': pay_to_revenue < 0.15, 'percent': true},
+        {'measure': 'net_assets_ratio', 'value': net_assets_ratio, 'passed': net_assets_ratio > 0.5, 'percent': true},
+        {'measure': 'return_on_assets', 'value': return_on_assets, 'passed': return_on_assets > 0.1, 'percent': true},
+        {'measure': 'dividend_payout', 'value': dividend_payout, 'passed': dividend_payout > 0.3, 'percent': true},
+        {'measure': 'revenue_per_head', 'value': revenue_per_head, 'passed': revenue_per_head > 100, 'percent': false},
+        {'measure': 'profit_per_head', 'value': profit_per_head, 'passed': profit_per_head > 15, 'percent': false},
+        {'measure': 'cash_to_profit', 'value': cash_to_profit, 'passed': cash_to_profit > 1, 'percent': false},
+        {'measure': 'revenue_growth', 'value': revenue_growth, 'passed': revenue_growth > 0.3, 'percent': true},
+        {'measure': 'profit_growth', 'value': profit_growth, 'passed': false, 'percent': true},
+        {'measure': 'adjusted_growth', 'value': adjusted_growth, 'passed': adjusted_growth > 0.3, 'percent': true},
+        {'measure': 'cash_growth', 'value': cash_growth, 'passed': cash_growth > 0.3, 'percent': true},
+        {'measure': 'tax_rate', 'value': tax_rate, 'passed': false, 'percent': true},
+        {'measure': 'all_fees_to_revenue', 'value': all_fees_to_revenue, 'passed': all_fees_to_revenue > 0.3, 'percent': true},
+        {'measure': 'wear_to_revenue', 'value': wear_to_revenue, 'passed': wear_to_revenue < 0.05, 'percent': true},
+        {'measure': 'operating_margin', 'value': operating_margin, 'passed': false, 'percent': true},
+        {'measure': 'gross_margin', 'value': gross_margin, 'passed': gross_margin > 0.3, 'percent': true},
+        {'measure': 'net_margin', 'value': net_margin, 'passed': net_margin > 0.2, 'percent': true},
+        {'measure': 'return_on_equity', 'value': return_on_equity, 'passed': return_on_equity > 0.2, 'percent': true},
+        {'measure': 'asset_turnover', 'value': asset_turnover, 'passed': false, 'percent': true},
+        {'measure': 'equity_growth', 'value': equity_growth, 'passed': false, 'percent': true},
+        {'measure': 'rnd_to_revenue', 'value': rnd_to_revenue, 'passed': rnd_to_revenue > 0.08, 'percent': true},
+        {'measure': 'capitalised_share', 'value': capitalised_share, 'passed': capitalised_share > 0.3, 'percent': true},
+        {'measure': 'construction_to_fixed', 'value': construction_to_fixed, 'passed': construction_to_fixed > 0.3, 'percent': true},
+        {'measure': 'profit_to_production', 'value': profit_to_production, 'passed': profit_to_production > 0.2, 'percent': true},
+        {'measure': 'goodwill_to_revenue', 'value': goodwill_to_revenue, 'passed': false, 'percent': true},
+        {'measure': 'receivables_to_revenue', 'value': receivables_to_revenue, 'passed': receivables_to_revenue > 0.3, 'percent': true},
+        {'measure': 'credit_position', 'value': credit_position, 'passed': credit_position > 1, 'percent': false},
+        {'measure': 'advance_to_receivables', 'value': advance_to_receivables, 'passed': false, 'percent': false},
+        {'measure': 'current_ratio', 'value': current_ratio, 'passed': current_ratio > 2, 'percent': false},
+        {'measure': 'quick_ratio', 'value': quick_ratio, 'passed': quick_ratio > 1, 'percent': false},
+        {'measure': 'cash_to_debt', 'value': cash_to_debt, 'passed': cash_to_debt > 1.5, 'percent': false},
+        {'measure': 'current_assets_to_liabilities', 'value': current_assets_to_liabilities, 'passed': current_assets_to_liabilities > 1.5, 'percent': false},
+        {'measure': 'receipts_to_revenue', 'value': receipts_to_revenue, 'passed': receipts_to_revenue > 1, 'percent': false},
+        {'measure': 'receivable_turnover', 'value': receivable_turnover, 'passed': receivable_turnover > 5, 'percent': false},
+        {'measure': 'inventory_turnover', 'value': inventory_turnover, 'passed': false, 'percent': false},
+        {'measure': 'profit_to_working', 'value': profit_to_working, 'passed': false, 'percent': false},
+        {'measure': 'revenue_to_working', 'value': revenue_to_working, 'passed': false, 'percent': false},
+        {'measure': 'restored_return', 'value': restored_return, 'passed': restored_return > 0.2, 'percent': true}], recursive := true)
+    FROM marked_ratios)""")
 
 
 def marks(c):
