@@ -31,12 +31,12 @@ ORACLES: dict[str, str] = {
         WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
         i AS (SELECT row_number() OVER () AS item, item_id, {_WORDS} AS w FROM benchmark),
         s AS (SELECT *, least(10, len(w)) AS n FROM i WHERE len(w) > 0),
-        iw AS (SELECT item, item_id, n, k AS at, array_to_string(w[k:k + n - 1], ' ') AS win FROM s, unnest(range(1, len(w) - n + 2)) t(k)),
+        iw AS (SELECT item, item_id, n, k AS inside, array_to_string(w[k:k + n - 1], ' ') AS win FROM s, unnest(range(1, len(w) - n + 2)) t(k)),
         ns AS (SELECT DISTINCT n FROM iw),
         dw AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS win FROM d, ns, unnest(range(1, len(w) - n + 2)) t(k)),
-        m AS (SELECT r, dw.n, k, item, item_id, at FROM dw JOIN iw USING (n, win)),
+        m AS (SELECT r, dw.n, k, item, item_id, inside FROM dw JOIN iw USING (n, win)),
         h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, n, k FROM m) x, unnest(range(k, k + n)) t(p) GROUP BY r),
-        g AS (SELECT r, item, k, n, k - row_number() OVER (PARTITION BY r, item, k - at ORDER BY k) AS run, k - at AS diagonal FROM m),
+        g AS (SELECT r, item, k, n, k - row_number() OVER (PARTITION BY r, item, k - inside ORDER BY k) AS run, k - inside AS diagonal FROM m),
         l AS (SELECT r, max(len) AS longest FROM (SELECT r, max(k) - min(k) + max(n) AS len FROM g GROUP BY r, item, diagonal, run) x GROUP BY r),
         t AS (SELECT r, count(*) AS n_items, string_agg(c, ',' ORDER BY c) AS ids
               FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS c FROM m WHERE item_id IS NOT NULL) x GROUP BY r)
