@@ -51,7 +51,6 @@ ORACLES: dict[str, str] = {
                CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to, coalesce(url, '') AS url
         FROM f""",
-    "op7_substrings": _over(substrings.report, "documents"),
     "op8_line_dedup": """
         WITH s AS (SELECT doc_id, text, CASE WHEN text IS NULL OR text = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
         l AS (SELECT doc_id, unnest(range(len(lines))) AS pos, unnest(lines) AS raw FROM s),
