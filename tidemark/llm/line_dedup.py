@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import filters
+from tidemark.session import materialise
 
 MIN_WORDS = 8
 #: Bits of the filter; 2^23 are one megabyte. Each half sets two.
@@ -31,24 +32,28 @@ _BLANK = " \t\r\x0b\x0c"
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines long enough to be compared: ``doc``, ``pos``, ``line``, its order ``o`` and its two hashes."""
+    """Lines of ``MIN_WORDS`` words or more: ``doc``, ``pos``, ``line``, its order ``o`` and its two hashes."""
     rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
     rows = rows.withColumn("line", F.btrim("line", F.lit(_BLANK)))
-    rows = rows.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    # a line of fewer words is the same as its first words
+    rows = rows.where(_first_words(F.col("line"), F.lit(MIN_WORDS - 1)) != F.col("line"))
     order = F.coalesce(F.col("doc").cast("decimal(20,0)"), F.lit("99999999999999999999").cast("decimal(20,0)")) * 2147483648 + F.col("pos")
-    return rows.where(F.col("n") >= MIN_WORDS).select(
-        "doc", "pos", "line", "n", order.cast("decimal(34,0)").alias("o"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"),
+    return rows.select(
+        "doc", "pos", "line", order.cast("decimal(34,0)").alias("o"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"),
     )
 
 
+def _half(n: Column) -> Column:
+    """How many words of a line of ``n`` count as its first half: about half, the same for most neighbouring lengths."""
+    return F.when(n < 16, F.floor(n / 2)).otherwise(4 * F.floor(n / 8)).cast("int")
+
+
 def _halves(n: Column, line: Column) -> list[Column]:
-    """Hashes of the halves as ``n`` words and as ``n - 1`` words cut them: two of the front, two of the back."""
-    front, back = [], []
-    for size in (n, n - 1):
-        half = F.floor(size / 2).cast("int")
-        front.append(F.xxhash64(F.lit(0), size, _first_words(line, half)))
-        back.append(F.xxhash64(F.lit(1), size, _first_words(line, half - size)))
-    return front + back
+    """Hashes of the halves as ``n`` words and as ``n - 1`` words cut them: two of the front (null if equal), two of the back."""
+    mine, less = _half(n), _half(n - 1)
+    front = F.xxhash64(F.lit(0), _first_words(line, mine))
+    front_less = F.when(mine != less, F.xxhash64(F.lit(0), _first_words(line, less)))
+    return [front, front_less, F.xxhash64(F.lit(1), _first_words(line, mine - n)), F.xxhash64(F.lit(1), _first_words(line, less - n + 1))]
 
 
 def _first_words(line: Column, count: Column) -> Column:
@@ -56,32 +61,38 @@ def _first_words(line: Column, count: Column) -> Column:
     return F.call_function("substring_index", line, F.lit(" "), count)
 
 
+def _counted(lines: DataFrame) -> DataFrame:
+    """``n``: the number of words, one more than that of spaces."""
+    return lines.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+
+
 def shared_halves(lines: DataFrame) -> Column:
     """Filter over the halves that two different lines share."""
-    keys = lines.select("a", F.explode(F.array(*_halves(F.col("n"), F.col("line")))).alias("key"))
+    keys = _counted(lines).select("a", F.explode(F.array(*_halves(F.col("n"), F.col("line")))).alias("key")).where("key IS NOT NULL")
     shared = keys.groupBy("key").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least <> most")
     return filters.build(shared, "key", FILTER_BITS)
 
 
 def candidates(lines: DataFrame, table: Column) -> DataFrame:
     """Lines that may have a neighbour, with ``tail`` and ``head``: whether their last or first half may differ from it."""
-    front, front_less, back, back_less = _halves(F.col("n"), F.col("line"))
-    known = lambda key: filters.holds(table, key, FILTER_BITS)
-    rows = lines.withColumn("tail", known(front) | known(front_less)).withColumn("head", known(back) | known(back_less))
-    return rows.where("tail OR head")
+    keys = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(_halves(F.col("n"), F.col("line")))])
+    # a generator between keys and tests: the halves of a line are hashed once, and no test moves below it
+    keyed = _counted(lines).select("*", F.explode(F.array(keys)).alias("_k"))
+    known = lambda i: F.coalesce(filters.holds(table, F.col(f"_k.k{i}"), FILTER_BITS), F.lit(False))
+    asked = keyed.select(*lines.columns, "n", (known(0) | known(1)).alias("tail"), (known(2) | known(3)).alias("head"))
+    return asked.where("tail OR head")
 
 
 def neighbourhood(rows: DataFrame) -> DataFrame:
     """The variants of candidate lines as (key, a, o): the line without the word at a place, and with all words, per place."""
     h = F.col("_h")
-    half = F.floor((F.col("n") - 1) / 2).cast("int")
-    low = F.when(F.col("head"), F.lit(0)).otherwise(half)
-    high = F.when(F.col("tail"), F.col("n")).otherwise(half + 1)
-    rows = rows.withColumn("_h", F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w)))
+    low = F.when(F.col("head"), F.lit(0)).otherwise(_half(F.col("n") - 1))
+    high = F.when(F.col("tail"), F.col("n")).otherwise(F.greatest(_half(F.col("n")), _half(F.col("n") - 1) + 1))
+    rows = rows.withColumn("_h", F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))).withColumn("_all", F.xxhash64("_h"))
 
     def keys(j: Column) -> Column:
         without = F.concat(F.slice(h, F.lit(1), j), F.slice(h, j + 2, F.greatest(F.col("n") - j - 1, F.lit(0))))
-        return F.array(F.when(j < F.col("n"), F.xxhash64(j, without)), F.xxhash64(j, h))
+        return F.array(F.when(j < F.col("n"), F.xxhash64(j, F.xxhash64(without))), F.xxhash64(j, F.col("_all")))
 
     every = F.flatten(F.transform(F.sequence(low, high), keys))
     return rows.select("a", "o", F.explode(F.filter(every, lambda k: k.isNotNull())).alias("key"))
@@ -100,7 +111,10 @@ def one_edit_apart(x: Column, y: Column) -> Column:
 
 def near_lines(lines: DataFrame) -> DataFrame:
     """Hashes (a, b) of the lines that have a near line before their first occurrence."""
-    rows = candidates(lines, shared_halves(lines))
+    found = candidates(lines, shared_halves(lines)).groupBy("a", "b").agg(  # repeated lines stand for themselves once
+        F.min("o").alias("o"), F.min("line").alias("line"), F.min("n").alias("n"), F.min("tail").alias("tail"), F.min("head").alias("head")
+    )
+    rows = materialise(found, "line-candidates")
     variants = neighbourhood(rows).groupBy("key", "a").agg(F.min("o").alias("o"))
     earliest = variants.groupBy("key").agg(F.min("o").alias("first"), F.min("a").alias("_least"), F.max("a").alias("_most"))
     earliest = earliest.where("_least <> _most").select("key", "first")
@@ -116,7 +130,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     repeated = lines.groupBy("a", "b").agg(F.min("o").alias("first"), F.max("o").alias("_last")).where("_last > first").drop("_last")
     near = near_lines(lines).withColumn("first", F.lit(-1).cast("decimal(34,0)"))
     repeated = repeated.unionByName(near.select("a", "b", "first")).groupBy("a", "b").agg(F.min("first").alias("first"))
-    gone = lines.drop("line", "n").join(repeated, ["a", "b"]).where(F.col("o") > F.col("first"))
+    gone = lines.drop("line").join(repeated, ["a", "b"]).where(F.col("o") > F.col("first"))
     return gone.groupBy("doc").agg(F.collect_set(F.struct("pos", "a")).alias("gone"))
 
 
