@@ -112,5 +112,7 @@ def test_empty_table_nulls_and_repeats(spark):
 def test_whole_table(spark, sf_dir, library):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
-    for r in bpe.encode(docs).collect():
+    once = {r["doc_id"]: r for r in bpe.round_trip(docs).collect()}
+    for r in bpe.decode(bpe.encode(docs)).collect():
         assert r["ids"] == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r["decoded"] == texts[r["doc_id"]] and once[r["doc_id"]] == r
