@@ -7,6 +7,7 @@ document has bytes; the README says why that was given up.  What it is for, equa
    under the same hash form a *stretch* of text.  A first pass sends only the hashes and finds those of two documents or more, as a
    filter of fixed size; it only saves work, a stretch that passes it wrongly finds no partner.
 2. A second pass sends the stretches that pass to the task of their hash, where the windows are sorted and the least id of equal ones found.
+   A task holds the windows of one hash at a time, at most those of ``HOT`` documents, some 100 MB.
 3. Hashes in more than ``HOT`` documents are not gathered: their windows are aggregated one by one, combined before the shuffle, and
    joined back, in a join that Spark may split.
 4. Covered parts meet their document, where they are united and cut out.
@@ -17,7 +18,7 @@ than each other; a row without an id loses nothing and takes nothing from others
 
 from __future__ import annotations
 
-import hashlib
+import gc
 import sys
 from collections.abc import Iterator
 
@@ -27,13 +28,17 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import filters
+from tidemark.session import materialise
+
 # The functions of this module travel with the task, so workers need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH = 50
 GRAM = 16
-HOT = 5000
+HOT = 50_000
 FILTER_BITS = 1 << 26
+TOUCHED_BITS = 1 << 22
 SLICE = 1 << 20
 STRETCH = 64
 GROUP_BYTES = 8 << 20
@@ -125,7 +130,7 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def _filters(rows: DataFrame):
+def _shared_hashes(rows: DataFrame):
     """Two filters of ``FILTER_BITS`` bits: hashes of several documents, and among them those of more than ``HOT``.
 
     What comes to the driver is at most ``FILTER_BITS`` / 64 pairs of numbers, whatever the input.
@@ -156,6 +161,12 @@ def _filters(rows: DataFrame):
     return out
 
 
+def _release(rows: DataFrame) -> None:
+    """Lets Spark's cleaner see that the frames of the first pass are gone, so that its shuffle files go before the next ones come."""
+    gc.collect()
+    rows.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     bit = hashes & np.uint64(FILTER_BITS - 1)
     return (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
@@ -164,8 +175,8 @@ def _passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 _STRETCH = "hash long, hot boolean, doc long, mark long, at long, content binary"
 
 
-def _stretches(rows: DataFrame, filters) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(filters)
+def _stretches(rows: DataFrame, tables) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several, hot = shared.value
@@ -272,11 +283,12 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Byte ranges to remove: ``doc``, ``mark`` (hash of the text), ``start``, ``stop``; they may overlap."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= WIDTH))
-    filters = _filters(rows)
-    found = _stretches(rows, filters)
-    plain = found.where(~F.col("hot")) if filters[1].any() else found
+    tables = _shared_hashes(rows)
+    _release(rows)
+    found = _stretches(rows, tables)
+    plain = found.where(~F.col("hot")) if tables[1].any() else found
     out = plain.drop("hot").repartition("hash").sortWithinPartitions("hash").mapInArrow(_settle, _RANGE)
-    return out.unionByName(_settle_hot(found.where("hot"))) if filters[1].any() else out
+    return out.unionByName(_settle_hot(found.where("hot"))) if tables[1].any() else out
 
 
 def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -292,8 +304,13 @@ def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, ``n_bytes``, ``spans`` (the maximal removed runs) and ``kept``, the bytes that remain."""
     ranges = covered(docs, id_col, text_col).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    ranges = materialise(ranges, "covered")
+    # texts that lose nothing need not meet their ranges; what the filter lets through wrongly finds none
+    table = filters.build(ranges.select(F.xxhash64("doc", "mark").alias("key")), "key", TOUCHED_BITS)
     rows = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    joined = rows.join(ranges, ["doc", "mark"], "left").select("id", "text", "ranges")
+    touched = F.coalesce(filters.holds(table, F.xxhash64("doc", "mark"), TOUCHED_BITS), F.lit(False))
+    joined = rows.where(touched).join(ranges, ["doc", "mark"], "left").select("id", "text", "ranges")
+    joined = joined.unionByName(rows.where(~touched).select("id", "text", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges")))
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
