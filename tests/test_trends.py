@@ -224,3 +224,16 @@ def test_grouped_maps_travel_by_value():
     restored = cloudpickle.loads(cloudpickle.dumps(P.scan_pivots))
     assert restored(np.array([1.0, 2.0]), 3) == [(0, True), (1, None)]
     assert restored is not P.scan_pivots
+
+
+def test_minimum_change_of_a_single_code(spark, prices):
+    from tidemark.plans import trend_job as J
+
+    rows = lambda df: sorted(map(str, df.collect()))
+    settings = {"min_minor_rate": 40.0, "min_median_rate": 50.0, "min_long_rate": 90.0}
+    plain = J.trend_report(prices, "2024-02-01")
+    strict = J.trend_report(prices, "2024-02-01", settings)
+    own = [("短期趋势", "c4", 40.0), ("中期趋势", "c4", 50.0), ("长期趋势", "c4", 90.0)]
+    mixed = J.trend_report(prices, "2024-02-01", rates=spark.createDataFrame(own, "trend_name string, code string, min_rate double"))
+    assert rows(mixed.where("code <> 'c4'")) == rows(plain.where("code <> 'c4'"))
+    assert rows(mixed.where("code = 'c4'")) == rows(strict.where("code = 'c4'"))

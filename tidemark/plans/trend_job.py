@@ -10,29 +10,36 @@ from pyspark.sql import functions as F
 from tidemark.operators import pivots as P
 from tidemark.operators import series as S
 
-MEDIAN, LONG = "中期趋势", "长期趋势"
+MINOR, MEDIAN, LONG = "短期趋势", "中期趋势", "长期趋势"
 COLUMNS = [
     "code", "trend_name", "start_date", "calendar_days", "close", "end_close", "train_flag", "start_record_id",
     "trading_days", "change_rate", "direction",
 ]
 
 
-def minor_pivots(prices: DataFrame, settings: Mapping[str, float]) -> DataFrame:
+def _rated(pivots: DataFrame, rates: DataFrame | None, level: str, default: float) -> DataFrame:
+    """Pivots with the ``min_rate`` of their code at this level."""
+    if rates is None:
+        return pivots.withColumn("min_rate", F.lit(float(default)))
+    return S.with_min_rate(pivots.withColumn("trend_name", F.lit(level)), rates, {level: default}).drop("trend_name")
+
+
+def minor_pivots(prices: DataFrame, settings: Mapping[str, float], rates: DataFrame | None = None) -> DataFrame:
     """Short-term turning points: pivot scan, merge, drop weak ones, merge again."""
     found = P.find_pivots(S.with_record_id(prices), int(settings["minor_term"]))
-    merged = S.merge_trends(found.withColumn("extreme", F.lit(False)))
-    return S.merge_trends(S.drop_weak_pivots(merged, settings["min_minor_rate"]))
+    merged = _rated(S.merge_trends(found.withColumn("extreme", F.lit(False))), rates, MINOR, settings["min_minor_rate"])
+    return S.merge_trends(S.drop_weak_pivots(merged, F.col("min_rate")).drop("min_rate"))
 
 
 def level_segments(
-    minor: DataFrame, term: int, min_rate: float, overrides: DataFrame | None
+    minor: DataFrame, term: int, min_rate: float, overrides: DataFrame | None, level: str = MEDIAN, rates: DataFrame | None = None
 ) -> DataFrame:
     """Segments of one trend level from the short-term turning points."""
-    marked = P.mark_extremes(minor, term, min_rate)
+    marked = P.mark_extremes(_rated(minor, rates, level, min_rate), term, min_rate)
     if overrides is not None:
         marked = S.override_pivots(marked, overrides)
-    kept = S.drop_weak_pivots(S.merge_trends(marked), min_rate)
-    return S.trend_segments(kept, order="pivot_seq")
+    kept = S.drop_weak_pivots(_rated(S.merge_trends(marked), rates, level, min_rate), F.col("min_rate"))
+    return S.trend_segments(kept.drop("min_rate"), order="pivot_seq")
 
 
 def trend_report(
@@ -40,15 +47,17 @@ def trend_report(
     as_of: str,
     settings: Mapping[str, float] | None = None,
     overrides: DataFrame | None = None,
+    rates: DataFrame | None = None,
 ) -> DataFrame:
     """Median and long trends of every code.
 
-    ``prices`` is a daily series (code, trade_date, close); ``as_of`` stands for the day of the run.
+    ``prices`` is a daily series (code, trade_date, close); ``as_of`` stands for the day of the run; ``rates`` holds minimum changes of
+    single codes (trend_name, code, min_rate) that replace those of the settings.
     """
     cfg = {**S.TREND_SETTINGS, **(settings or {})}
-    minor = minor_pivots(prices, cfg)
-    median = level_segments(minor, int(cfg["median_term"]), cfg["min_median_rate"], overrides)
-    long = level_segments(minor, int(cfg["long_term"]), cfg["min_long_rate"], overrides)
+    minor = minor_pivots(prices, cfg, rates)
+    median = level_segments(minor, int(cfg["median_term"]), cfg["min_median_rate"], overrides, MEDIAN, rates)
+    long = level_segments(minor, int(cfg["long_term"]), cfg["min_long_rate"], overrides, LONG, rates)
     averages = S.moving_averages(prices, {"long_ma": int(cfg["long_average"])})
     ended = long.withColumn("end_date", F.expr("date_add(start_date, cast(calendar_days as int))"))
     fixed = P.fix_recent_long_trends(
