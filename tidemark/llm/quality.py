@@ -183,7 +183,9 @@ def assess(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the documents the verdict rejects; all columns as they are."""
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return _assessed(rows, model).where("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    # the verdict passes through a generator, below which no filter moves: else its hashes would be made again for every use
+    judged = _assessed(rows, model).select("_row", F.explode(F.array("kept")).alias("_kept"))
+    return judged.where("_kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
