@@ -115,3 +115,12 @@ def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in M.report(docs).collect()), key=str) == model(rows)
+
+
+def test_pairs_of_a_template_that_meet_in_hot_buckets_only(spark):
+    # 450 shared shingles, 10 of the pair, 38 of their own: 460 / 536 = 0.858 within a pair, 450 / 546 = 0.824 between pairs
+    template = " ".join(f"t{i}" for i in range(454))
+    own = lambda name, n: " ".join(f"{name}_{i}" for i in range(n))
+    rows = [(2 * k + side, f"{template} {own(f'p{k}', 10)} {own(f'o{k}_{side}', 38)}") for k in range(200) for side in (0, 1)]
+    df = spark.createDataFrame([(i, t, "k", "c", "i") for i, t in rows], SCHEMA)
+    assert {r["doc_id"]: r["component_id"] for r in M.report(df).collect()} == {i: i - i % 2 for i, _ in rows}

@@ -10,6 +10,9 @@ A document is the set of its 5-word shingles.  Register i of its sketch is ``flo
 3. The likelihood of the registers above, below and equal, given both set sizes, is maximised over the similarity; pairs estimated from
    ``LEAST_ESTIMATE`` on (some 4.5 standard deviations below the threshold) stay.
 4. These are confirmed on the full sets, and linked classes are joined to components.
+5. Pivots can miss a pair whose common bands are all in large buckets.  Classes of such buckets that are not yet in one component are
+   compared by their rarest shingles: two linked sets share one among the first few of both, and what a template gives to all of its
+   documents is not among them.
 
 No bucket, class or component is gathered in one task or in the driver.  Intermediate tables are written to the shared folder.
 
@@ -49,6 +52,9 @@ CHUNK = 1 << 17
 KNOWN_WORDS = 400_000
 #: Of the filter that keeps texts without a candidate from being shuffled; 2^22 bits are half a megabyte.
 FILTER_BITS = 1 << 22
+#: Of the filter over rare shingles, and how many counters tell rare shingles from common ones; sharing a counter costs time, not results.
+RARE_BITS = 1 << 24
+COUNTERS = 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -193,8 +199,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "x long, y long, estimate double")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (x, y) of classes with their estimates; each pair once."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x, y) of classes with their estimates, each pair once; and (band, rep) of the large buckets."""
     rows = classes.select("rep", "copies", F.explode("bands").alias("band"))
     order = F.struct(F.col("copies"), -F.col("rep"))
     buckets = rows.groupBy("band").agg(
@@ -213,7 +219,76 @@ def candidates(classes: DataFrame) -> DataFrame:
         more = hot.select("band", "rep").join(middle, "band").where("rep <> pivot").select(*_pairs("rep", "pivot")).distinct()
         more = more.join(known.select("x", "y"), ["x", "y"], "left_anti")
         known = materialise(known.union(_estimated(more, classes)), "estimates")
-    return known
+    return known, hot.select("band", "rep")
+
+
+def _set_of(text: str | None, known: _Numbers) -> np.ndarray:
+    return np.unique(hashed_shingles(words_of(text), known))
+
+
+def _counters(texts: DataFrame) -> np.ndarray:
+    """About how many documents each shingle is in, by the counter it falls on; ``COUNTERS`` numbers, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = _Numbers(), np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column(1):
+                np.add.at(counts, (_set_of(text.as_py(), known) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["at", "n"])
+
+    found = texts.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _rarest(texts: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, keys): of each set its size and, rarest first, as many shingles as must hold one of any linked set."""
+    shared = texts.sparkSession.sparkContext.broadcast(_counters(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = _Numbers(), shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sizes, keys = [], []
+                for text in part.column(1):
+                    found = _set_of(text.as_py(), known)
+                    order = np.lexsort((found, counts[(found % np.uint64(COUNTERS)).astype(np.int64)]))
+                    sizes.append(len(found))
+                    keys.append(found[order[:len(found) + 1 - -(-percent * len(found) // 100)]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["rep", "n", "keys"])
+
+    return texts.mapInArrow(run, "rep long, n long, keys array<long>")
+
+
+def unmet(hot: DataFrame, links: DataFrame, known: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs (x, y) of classes of large buckets that may be linked, are in different components and not ``known``; each pair once."""
+    if hot.isEmpty():
+        return None
+    labels = components(links).withColumnRenamed("node", "rep")
+    members = hot.join(labels, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+    several = members.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("band")
+    apart = materialise(members.join(several, "band").select("rep", "component").distinct(), "apart")
+    table = filters.build(apart.select(F.xxhash64("rep").alias("key")), "key", FILTER_BITS)
+    sets = _rarest(texts.where(filters.holds(table, F.xxhash64("rep"), FILTER_BITS)), percent)
+    rare = materialise(sets.join(apart, "rep"), "rare-shingles").select("rep", "component", "n", F.posexplode("keys").alias("i", "key"))
+    # x is the smaller set; i shingles of a set are rarer than the first that both hold, so what both hold is among the n - i others
+    enough = lambda common, sizes: (100 + percent) * common >= percent * sizes
+    first = enough(F.col("n") - F.col("i"), 2 * F.col("n"))
+    keys = rare.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.bool_or(first).alias("first")).where("a < b AND first")
+    table = filters.build(keys.select("key"), "key", RARE_BITS)
+    rare = rare.where(filters.holds(table, F.col("key"), RARE_BITS))
+    side = lambda end, of: of.select("key", *[F.col(c).alias(f"{c}{end}") for c in ("rep", "component", "n", "i")])
+    sizes = F.col("nx") + F.col("ny")
+    met = (
+        F.expr("componentx <> componenty AND (nx < ny OR nx = ny AND repx < repy)") & (100 * F.col("nx") >= percent * F.col("ny"))
+        & enough(F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")), sizes) & enough(sizes - F.col("ix") - F.col("iy"), 2 * sizes)
+    )
+    x, y = side("x", rare.where(first)), side("y", rare)
+    pairs = x.join(y, (x["key"] == y["key"]) & met).select(*_pairs("repx", "repy")).distinct()
+    return pairs.join(known.select("x", "y"), ["x", "y"], "left_anti")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -244,13 +319,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.first("bands").alias("bands"),
     )
     classes = materialise(classes, "classes")
-    pairs = candidates(classes).where((F.col("estimate") >= LEAST_ESTIMATE) & (F.col("x") != F.col("y"))).select("x", "y")
-    pairs = materialise(pairs, "pairs")
-    needed = filters.build(pairs.select(F.explode(F.array(F.xxhash64("x"), F.xxhash64("y"))).alias("key")), "key", FILTER_BITS)
     # a representative's text: among rows of one id, that of the class; rows of one id are one document, so any may speak for it
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    texts = texts.where(filters.holds(needed, F.xxhash64("rep"), FILTER_BITS))
-    links = confirmed(pairs, texts, percent).select(F.col("x").alias("u"), F.col("y").alias("v"))
+
+    def linked(estimates: DataFrame) -> DataFrame:
+        pairs = estimates.where((F.col("estimate") >= LEAST_ESTIMATE) & (F.col("x") != F.col("y"))).select("x", "y")
+        pairs = materialise(pairs, "pairs")
+        needed = filters.build(pairs.select(F.explode(F.array(F.xxhash64("x"), F.xxhash64("y"))).alias("key")), "key", FILTER_BITS)
+        found = confirmed(pairs, texts.where(filters.holds(needed, F.xxhash64("rep"), FILTER_BITS)), percent)
+        return materialise(found.select(F.col("x").alias("u"), F.col("y").alias("v")), "confirmed")
+
+    known, hot = candidates(classes)
+    links = linked(known)
+    more = unmet(hot, links, known, texts, percent)
+    if more is not None:
+        links = links.union(linked(_estimated(more, classes)))
     # rows of one id with different words: their classes share the document
     ids = every.where("key IS NOT NULL AND id IS NOT NULL").select("id", "key").distinct()
     several = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
