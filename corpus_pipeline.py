@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import bpe, decontam, line_dedup, minhash, quality
 from tidemark.session import materialise
 
+#: Similarity of word shingles from which the stage takes texts for one; op1 as a query has its own.
+NEAR_PERCENT = 80
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,8 +33,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
-    return minhash.drop_near_duplicates(docs)
+    """One document of each group of near duplicates, of a similarity of ``NEAR_PERCENT`` or more, that with the smallest id."""
+    return minhash.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,3 +95,12 @@ def test_extra_and_clashing_columns(spark, folder):
     for _, stage in P.STAGES[:-1]:
         docs2 = stage(spark, docs, folder)
         assert docs2.columns == docs.columns and docs2.count() > 0
+
+
+def test_near_copies_of_eighty_percent_go(spark, folder):
+    words = [f"w{i}" for i in range(400)]
+    eight = [f"x{i}" if i in range(20, 340, 40) else w for i, w in enumerate(words)]  # 356 / 436 = 0.817
+    eleven = [f"y{i}" if i in range(30, 360, 30) else f"v{i}" for i in range(400)]
+    plain = [f"v{i}" for i in range(400)]  # 341 / 451 = 0.756
+    rows = [(k, " ".join(w), "en", None, 0) for k, w in enumerate((words, eight, plain, eleven))]
+    assert sorted(r["doc_id"] for r in P.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), folder).collect()) == [0, 2, 3]

@@ -8,7 +8,7 @@ A document is the set of its 5-word shingles.  Register i of its sketch is ``flo
    larger ones the classes meet pivots: that with the most copies, the first, a random one, and then, ``ROUNDS`` times, the one with the
    highest estimates so far, the middle of the bucket.  Pairs off the middle share buckets of their own, those of what they have in common.
 3. The likelihood of the registers above, below and equal, given both set sizes, is maximised over the similarity; pairs estimated from
-   ``LEAST_ESTIMATE`` on (some 4.5 standard deviations below the threshold) stay.
+   ``least_estimate`` on (4.7 standard deviations below the threshold) stay.
 4. These are confirmed on the full sets, and linked classes are joined to components.
 5. Pivots can miss a pair whose common bands are all in large buckets.  Classes of such buckets that are not yet in one component are
    compared by their rarest shingles: two linked sets share one among the first few of both, and what a template gives to all of its
@@ -42,12 +42,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE = 5
 PERCENT = 85
-BANDS, PER_BAND = 25, 5
-REGISTERS = BANDS * PER_BAND
+REGISTERS = 125
+#: Bands are as wide as the chance allows that a pair at the threshold meets in none.
+MISSED = 1e-6
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 ALL_PAIRS = 16
 ROUNDS = 2
-LEAST_ESTIMATE = 0.70
+DEVIATIONS = 4.7
 CHUNK = 1 << 17
 KNOWN_WORDS = 400_000
 #: Of the filter that keeps texts without a candidate from being shuffled; 2^22 bits are half a megabyte.
@@ -118,10 +119,23 @@ def registers(least: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, LIMIT + 1).astype(np.uint16)
 
 
-def band_keys(sketches: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(sketches), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(PER_BAND):
-        out = _mixed(out + sketches[:, k::PER_BAND].astype(np.uint64))
+def per_band(percent: int = PERCENT) -> int:
+    """Registers of a band: the most with which a pair at ``percent`` is missed with a chance of ``MISSED`` at most."""
+    fits = [k for k in range(1, REGISTERS + 1) if (1 - (percent / 100) ** k) ** (REGISTERS // k) <= MISSED]
+    return max(fits, default=1)
+
+
+def least_estimate(percent: int = PERCENT) -> float:
+    """The cut of the estimates, ``DEVIATIONS`` standard deviations of a share of equal registers below the threshold."""
+    j = percent / 100
+    return max(0.0, j - DEVIATIONS * (j * (1 - j) / REGISTERS) ** 0.5)
+
+
+def band_keys(sketches: np.ndarray, width: int) -> np.ndarray:
+    bands = REGISTERS // width
+    out = np.zeros((len(sketches), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(width):
+        out = _mixed(out + sketches[:, k:bands * width:width].astype(np.uint64))
     return out.view(np.int64)
 
 
@@ -143,8 +157,9 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return where
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: ``id``, ``n_shingles``, ``key`` of its words, ``sketch`` and ``bands``; the last three null for an empty set."""
+    width = per_band(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Numbers()
@@ -168,7 +183,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 if sets:
                     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
                     found = registers(minima(np.concatenate(sets), starts))
-                    for i, r, b in zip(np.flatnonzero(full), found, band_keys(found)):
+                    for i, r, b in zip(np.flatnonzero(full), found, band_keys(found, width)):
                         rows[i], bands[i] = r.tobytes(), b
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(begin, len(keys)), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary()),
@@ -199,7 +214,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "x long, y long, estimate double")
 
 
-def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(classes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Pairs (x, y) of classes with their estimates, each pair once; and (band, rep) of the large buckets."""
     rows = classes.select("rep", "copies", F.explode("bands").alias("band"))
     order = F.struct(F.col("copies"), -F.col("rep"))
@@ -214,7 +229,7 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = materialise(_estimated(close.union(met).distinct(), classes), "estimates")
     for _ in range(ROUNDS):
         both = known.select("x", "y", "estimate").union(known.select("y", "x", "estimate"))
-        height = both.groupBy(F.col("x").alias("rep")).agg(F.max("estimate").alias("_top"), F.count(F.when(F.col("estimate") >= LEAST_ESTIMATE, 1)).alias("near"))
+        height = both.groupBy(F.col("x").alias("rep")).agg(F.max("estimate").alias("_top"), F.count(F.when(F.col("estimate") >= least_estimate(percent), 1)).alias("near"))
         middle = hot.select("band", "rep").join(height, "rep").groupBy("band").agg(F.max_by("rep", F.struct("near", "_top", "rep")).alias("pivot"))
         more = hot.select("band", "rep").join(middle, "band").where("rep <> pivot").select(*_pairs("rep", "pivot")).distinct()
         more = more.join(known.select("x", "y"), ["x", "y"], "left_anti")
@@ -313,7 +328,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: its id, ``n_shingles``, ``component_id`` and ``kept``."""
-    every = materialise(sketch(docs, id_col, text_col), "sketches")
+    every = materialise(sketch(docs, id_col, text_col, percent), "sketches")
     classes = every.where("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"),
@@ -323,13 +338,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("text IS NOT NULL")
 
     def linked(estimates: DataFrame) -> DataFrame:
-        pairs = estimates.where((F.col("estimate") >= LEAST_ESTIMATE) & (F.col("x") != F.col("y"))).select("x", "y")
+        pairs = estimates.where((F.col("estimate") >= least_estimate(percent)) & (F.col("x") != F.col("y"))).select("x", "y")
         pairs = materialise(pairs, "pairs")
         needed = filters.build(pairs.select(F.explode(F.array(F.xxhash64("x"), F.xxhash64("y"))).alias("key")), "key", FILTER_BITS)
         found = confirmed(pairs, texts.where(filters.holds(needed, F.xxhash64("rep"), FILTER_BITS)), percent)
         return materialise(found.select(F.col("x").alias("u"), F.col("y").alias("v")), "confirmed")
 
-    known, hot = candidates(classes)
+    known, hot = candidates(classes, percent)
     links = linked(known)
     more = unmet(hot, links, known, texts, percent)
     if more is not None:
@@ -350,9 +365,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents whose component has a smaller id; all columns."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, percent).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
