@@ -69,3 +69,16 @@ def test_whole_table(spark, sf_dir):
         blocks = [" ".join(unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1)>", article)]
         assert r["text"] == "\n".join(b for b in blocks if b)
         assert r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize("inner", [
+    "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</li></ul>", "<dl><dd>{}</dd></dl>", "<table><tr><td>{}</td></tr></table>", "<details><p>{}</p></details>",
+])
+def test_a_long_quote_or_list_is_not_the_whole_text(inner):
+    html = f"<body><div id=post><h2>Title</h2><p>{LONG * 3}</p>{inner.format(LONG * 18)}</div></body>"
+    assert text(html) == "\n".join(["Title", (LONG * 3).strip(), (LONG * 18).strip()])
+
+
+def test_sections_of_unequal_length_both_stay():
+    html = f"<body><div><p>{LONG * 17}</p></div><div><p>{LONG * 3}</p></div></body>"
+    assert text(html) == "\n".join([(LONG * 17).strip(), (LONG * 3).strip()])

@@ -2,8 +2,8 @@
 
 Each text node belongs to the path of tags from the root to it.  Per path the text lengths and the punctuation marks are added up and divided by
 the number of its nodes; both ratios are smoothed along the page, fused by multiplication, averaged back per path, and paths from the threshold
-on (the standard deviation of the fused ratios, at most their mean) are *content*.  The smallest container that holds most of the content
-text, widened to its article, is the root of the main text; all of its blocks are given out but those of menus, headers, footers, sidebars,
+on (the standard deviation of the fused ratios, at most their mean) are *content*.  The smallest container that holds all of the content
+text, widened to its article, is the root of the main text; a quote, list, table or ``details`` is never the root; all of its blocks are given out but those of menus, headers, footers, sidebars,
 notices, adverts, forms, comments and what is not text.
 
 A page is worked on by itself, in one pass and in memory linear in its length; pages are streamed through Arrow in small batches.
@@ -30,8 +30,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS = 64
 SMOOTH = 2
-SHARE = 0.8
-
 # A quoted value may hold ">"; one that is not closed within 4,000 characters is read as plain.
 MARK = re.compile(
     r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[^>\"'])*+>|[^>]*+>?)", re.S)
@@ -52,7 +50,7 @@ CLOSES = {t: {"p"} for t in BLOCK} | {
     "li": {"p", "li"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}, "tr": {"p", "tr", "td", "th"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"},
     "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"},
 }
-CONTAINER = frozenset("html body article main section div td table blockquote center details figure dl ul ol".split())
+CONTAINER = frozenset("html body article main section div center".split())
 NOISE_TAGS = frozenset("head nav header footer aside form button select fieldset menu dialog search label input datalist output meter progress".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion sidebar sidebars menu menus nav navbar "
@@ -223,7 +221,7 @@ def main_blocks(html: str | None) -> list[str]:
             weight[e] += size
     for e in range(len(weight) - 1, 0, -1):  # children come after their parents
         weight[page.parents[e]] += weight[e]
-    root = max((e for e in range(len(weight)) if weight[e] >= SHARE * weight[0] and (e == 0 or page.tags[e] in CONTAINER)))
+    root = max((e for e in range(len(weight)) if weight[e] == weight[0] and (e == 0 or page.tags[e] in CONTAINER)))
     up = root
     while up > 0:
         if page.tags[up] in ("article", "main"):
