@@ -82,3 +82,21 @@ def test_a_long_quote_or_list_is_not_the_whole_text(inner):
 def test_sections_of_unequal_length_both_stay():
     html = f"<body><div><p>{LONG * 17}</p></div><div><p>{LONG * 3}</p></div></body>"
     assert text(html) == "\n".join([(LONG * 17).strip(), (LONG * 3).strip()])
+
+
+@pytest.mark.parametrize("open_, close", [
+    ("<div class='content-sidebar-wrap'>", "</div>"), ("<div class='page has-sidebar'>", "</div>"), ("<div id='main' class='with-comments'>", "</div>"),
+    ("<form id='aspnetForm'>", "</form>"),
+])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_a_marked_wrapper_keeps_the_page(open_, close, tag):
+    html = (
+        f"<body>{open_}<nav>Menu</nav><{tag}><h2>Title</h2><p>{LONG * 9}</p><p>{LONG * 8}</p></{tag}>"
+        f"<div class=comments><p>{LONG * 2}</p></div><form><p>Your name</p></form><div class=sidebar><p>Aside.</p></div>{close}</body>"
+    )
+    assert text(html) == "\n".join(["Title", (LONG * 9).strip(), (LONG * 8).strip()])
+
+
+def test_a_teaser_does_not_lift_its_sidebar():
+    html = f"<body><div class=sidebar><article><p>{LONG}</p></article></div><main><p>{LONG * 9}</p></main></body>"
+    assert text(html) == (LONG * 9).strip()

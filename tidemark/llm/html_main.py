@@ -4,7 +4,8 @@ Each text node belongs to the path of tags from the root to it.  Per path the te
 the number of its nodes; both ratios are smoothed along the page, fused by multiplication, averaged back per path, and paths from the threshold
 on (the standard deviation of the fused ratios, at most their mean) are *content*.  The smallest container that holds all of the content
 text, widened to its article, is the root of the main text; a quote, list, table or ``details`` is never the root; all of its blocks are given out but those of menus, headers, footers, sidebars,
-notices, adverts, forms, comments and what is not text.
+notices, adverts, forms, comments and what is not text.  A name, role or form marks an element as boilerplate only if it does not wrap the page:
+an element that holds most of the text of all articles, or, on a page without article, ``WRAPS`` of the content text, is none.
 
 A page is worked on by itself, in one pass and in memory linear in its length; pages are streamed through Arrow in small batches.
 
@@ -30,6 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS = 64
 SMOOTH = 2
+WRAPS = 0.8
 # A quoted value may hold ">"; one that is not closed within 4,000 characters is read as plain.
 MARK = re.compile(
     r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[^>\"'])*+>|[^>]*+>?)", re.S)
@@ -59,6 +61,8 @@ NOISE_WORDS = frozenset(
     "copyright skip".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar form".split())
+#: Tags that also wrap whole pages; ``hidden`` and the other noise tags are always boilerplate.
+WRAPPERS = frozenset("form fieldset".split())
 KEPT = frozenset("html body article main".split())
 
 
@@ -72,13 +76,20 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _is_noise(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in NOISE_TAGS:
+def _always_noise(tag: str, attrs: dict[str, str]) -> bool:
+    if tag in NOISE_TAGS and tag not in WRAPPERS:
         return True
     if not attrs or tag in KEPT:
         return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style", "")))
+
+
+def _is_marked(tag: str, attrs: dict[str, str]) -> bool:
+    """Boilerplate unless it wraps the page."""
+    if tag in WRAPPERS:
         return True
+    if not attrs or tag in KEPT:
+        return False
     if attrs.get("role", "").lower() in NOISE_ROLES:
         return True
     named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
@@ -86,10 +97,10 @@ def _is_noise(tag: str, attrs: dict[str, str]) -> bool:
 
 
 class _Page:
-    """Elements (tag, parent, noise) and text nodes (element, path, block, raw text) of a page."""
+    """Elements (tag, parent, noise, mark) and text nodes (element, path, block, raw text) of a page."""
 
     def __init__(self, html: str):
-        self.tags, self.parents, self.noise, self.paths = ["#root"], [-1], [False], [0]
+        self.tags, self.parents, self.noise, self.marked, self.paths = ["#root"], [-1], [False], [False], [0]
         self.path_ids: dict[tuple[int, str], int] = {}
         self.nodes: list[tuple[int, int, str]] = []  # element, block, raw text
         self.block = 0
@@ -100,11 +111,12 @@ class _Page:
         if raw and not self.noise[self._stack[-1]]:
             self.nodes.append((self._stack[-1], self.block, raw))
 
-    def _push(self, tag: str, noise: bool) -> None:
+    def _push(self, tag: str, noise: bool, marked: bool) -> None:
         top = self._stack[-1]
         self.tags.append(tag)
         self.parents.append(top)
         self.noise.append(noise or self.noise[top])
+        self.marked.append(marked)
         self.paths.append(self.path_ids.setdefault((self.paths[top], tag), len(self.path_ids) + 1))
         self._stack.append(len(self.tags) - 1)
         self._open[tag] = self._open.get(tag, 0) + 1
@@ -165,7 +177,8 @@ class _Page:
                 self._text(" ")
             else:
                 self._close_for(tag)
-                self._push(tag, _is_noise(tag, _attributes(m[3]) if len(m[3]) > 2 else {}))
+                attrs = _attributes(m[3]) if len(m[3]) > 2 else {}
+                self._push(tag, _always_noise(tag, attrs), _is_marked(tag, attrs))
 
 
 def path_scores(paths: list[int], lengths: list[int], marks: list[int]) -> dict[int, float]:
@@ -205,22 +218,55 @@ def content_paths(scores: dict[int, float]) -> set[int]:
     return {p for p, s in scores.items() if s >= min(mean, spread)}
 
 
-def main_blocks(html: str | None) -> list[str]:
-    """Blocks of the main text, in page order."""
-    page = _Page(html or "")
-    nodes = [(e, b, raw, len(raw.strip())) for e, b, raw in page.nodes]
-    seen = [(e, raw, size) for e, _, raw, size in nodes if size]
-    if not seen:
-        return []
+def _content_weight(page: _Page, seen: list[tuple[int, str, int]]) -> list[int]:
+    """Length of the content text in each element, by the paths of the text nodes ``seen``."""
     paths = [page.paths[e] for e, _, _ in seen]
-    scores = path_scores(paths, [s for *_, s in seen], [len(PUNCTUATION.findall(raw)) for _, raw, _ in seen])
-    content = content_paths(scores)
+    content = content_paths(path_scores(paths, [s for *_, s in seen], [len(PUNCTUATION.findall(raw)) for _, raw, _ in seen]))
     weight = [0] * len(page.tags)
     for (e, _, size), p in zip(seen, paths):
         if p in content:
             weight[e] += size
+    return _with_children(page, weight)
+
+
+def _with_children(page: _Page, weight: list[int]) -> list[int]:
     for e in range(len(weight) - 1, 0, -1):  # children come after their parents
         weight[page.parents[e]] += weight[e]
+    return weight
+
+
+def _boilerplate(page: _Page, seen: list[tuple[int, str, int]]) -> list[bool]:
+    """Per element whether it is in a marked one that does not wrap the page."""
+    out = [False] * len(page.tags)
+    if not any(page.marked):
+        return out
+    within = [False] * len(page.tags)  # in an article or main
+    for e in range(1, len(page.tags)):
+        within[e] = page.tags[e] in ("article", "main") or within[page.parents[e]]
+    weight = [0] * len(page.tags)
+    for e, _, size in seen:
+        if within[e]:
+            weight[e] += size
+    weight = _with_children(page, weight)
+    share = 0.5
+    if not weight[0]:
+        weight, share = _content_weight(page, seen), WRAPS
+    for e in range(1, len(page.tags)):
+        wraps = not within[e] and weight[e] > 0 and weight[e] >= share * weight[0]
+        out[e] = out[page.parents[e]] or (page.marked[e] and not wraps)
+    return out
+
+
+def main_blocks(html: str | None) -> list[str]:
+    """Blocks of the main text, in page order."""
+    page = _Page(html or "")
+    nodes = [(e, b, raw, len(raw.strip())) for e, b, raw in page.nodes]
+    out_of_it = _boilerplate(page, [(e, raw, size) for e, _, raw, size in nodes if size])
+    nodes = [n for n in nodes if not out_of_it[n[0]]]
+    seen = [(e, raw, size) for e, _, raw, size in nodes if size]
+    if not seen:
+        return []
+    weight = _content_weight(page, seen)
     root = max((e for e in range(len(weight)) if weight[e] == weight[0] and (e == 0 or page.tags[e] in CONTAINER)))
     up = root
     while up > 0:
