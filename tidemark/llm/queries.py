@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontam, html_main, licenses, line_dedup, minhash, pii, quality, substrings, warc
+from tidemark.llm import bpe, decontam, html_main, licenses, line_dedup, minhash, negatives, pii, quality, search, substrings, urls, warc
 
 
 def _over(job, *tables: str):
@@ -21,12 +21,43 @@ JOBS = {
     "op8_line_dedup": _over(line_dedup.report, "documents"),
     "op9_licenses": _over(licenses.report, "documents"),
     "op10_quality": _over(quality.report, "documents", "labels"),
+    "op11_negatives": _over(negatives.report, "embeddings"),
+    "op12_search": _over(search.report, "documents", "benchmark"),
+    "op13_urls": _over(urls.report, "pages"),
 }
 
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                       '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
 
+_TERMS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
+
 ORACLES: dict[str, str] = {
+    "op11_negatives": """
+        WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT a.r, a.vec_id AS anchor_id, a.label, b.vec_id AS id, b.label AS other, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+              FROM e a, e b WHERE a.vec_id % 100 = 0),
+        q AS (SELECT r, anchor_id, id AS positive_id, score AS positive_score FROM p WHERE label = other AND id <> anchor_id
+              QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, id) <= 5)
+        SELECT q.anchor_id, q.positive_id, CAST(row_number() OVER (PARTITION BY r, q.positive_id ORDER BY p.score DESC, p.id) AS INTEGER) AS rank,
+               p.id AS negative_id, q.positive_score, p.score AS negative_score
+        FROM q JOIN p USING (r) WHERE p.label <> p.other AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10""",
+    "op12_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+        i AS (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS w FROM benchmark),
+        s AS (SELECT count(*) AS total, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+        q AS (SELECT item, item_id, t.term, count(*) AS times FROM i, unnest(w) t(term) GROUP BY ALL),
+        f AS (SELECT r, t.term, count(*) AS tf FROM d, unnest(w) t(term) WHERE t.term IN (SELECT term FROM q) GROUP BY ALL),
+        g AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(total) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, s GROUP BY term),
+        h AS (SELECT r, doc_id, 100 - 25 + ((25 * len(w) * total) // terms) AS m FROM d, s WHERE len(w) > 0),
+        c AS (SELECT item, item_id, h.r, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+              FROM q JOIN f USING (term) JOIN g USING (term) JOIN h ON h.r = f.r GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM c WHERE score > 0 QUALIFY rank <= 20""",
     "op3_decontam": f"""
         WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
         i AS (SELECT row_number() OVER () AS item, item_id, {_WORDS} AS w FROM benchmark),
