@@ -1,9 +1,9 @@
 """Trend steps against small plain-Python models and their invariants."""
 
+import itertools
 import random
 from datetime import date, timedelta
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,106 +31,133 @@ def frame(spark, series):
 
 
 def pivots_by_window(close, term):
-    """Pivot search by looking at whole windows: no carried extremes."""
+    """Turning points by looking at whole windows; a flat window moves the point behind it."""
     n = len(close)
     if n < 2:
         return []
-    pivots = [0]
-    while pivots[-1] + term < n:
-        at = pivots[-1]
-        window = range(at, at + term)
+
+    def turn(at, window):
         top = max(window, key=lambda i: (close[i], -i))
         bottom = min(window, key=lambda i: (close[i], i))
-        assert top != bottom, "flat windows are tested apart"
-        first, second = sorted((top, bottom))
-        pivots.append(second if first == at else first)
-    at = pivots[-1]
-    window = range(at, n)
-    top = max(window, key=lambda i: (close[i], -i))
-    bottom = min(window, key=lambda i: (close[i], i))
-    if top != bottom:
         first, second = sorted((top, bottom))
-        pivots.append(second if first == at else first)
-    if pivots[-1] != n - 1:
-        pivots.append(n - 1)
+        return second if first == at else first
+
+    pivots = [0]
+    while pivots[-1] + term < n:
+        at = pivots[-1]
+        found = turn(at, range(at, at + term))
+        if found == at:
+            pivots[-1] = at + term
+        else:
+            pivots.append(found)
+    found = turn(pivots[-1], range(pivots[-1], n))
+    for last in (found, n - 1):
+        if last != pivots[-1]:
+            pivots.append(last)
     return pivots
 
 
-def test_pivot_scan_equals_window_search():
+def extremes_by_stretch(record, close, term, min_rate):
+    """Numbers of the marked points, by walking the list."""
+    n, marked = len(close), {0, len(close) - 1}
+    rising, at = close[1] >= close[0], 0
+    while at + 1 < n and record[at + 1] + term < record[-1]:
+        stretch = [i for i in range(at, n) if record[i] <= record[at + 1] + term]
+        low = min(stretch, key=lambda i: (close[i], i))
+        high = max(stretch, key=lambda i: (close[i], -i))
+        if low == high:
+            at += 2
+            continue
+        begin, end, up = min(low, high), max(low, high), high > low
+        if up != rising:
+            marked.add(begin)
+        elif begin > at and abs(close[begin] - close[at]) * 100 > min_rate * close[at]:
+            marked |= {at, begin}
+        rising, at = up, end
+    return marked
+
+
+def stepped(rng, n):
+    """A walk with flat stretches and repeated values."""
+    out, close = [], 50.0
+    while len(out) < n:
+        close = max(1.0, close + rng.choice([-3, -2, -1, 0, 0, 1, 2, 3]))
+        out += [close] * rng.choice([1, 1, 1, 2, 9])
+    return out[:n]
+
+
+def test_turning_points_equal_window_search(spark):
     rng = random.Random(3)
-    for _ in range(300):
-        close = walk(rng, rng.randint(2, 200))
-        if len(set(close)) < len(close):
-            close = [c + i * 1e-6 for i, c in enumerate(close)]
-        term = rng.randint(3, 20)
-        found = P.scan_pivots(np.array(close), term)
-        assert [p for p, _ in found] == pivots_by_window(close, term)
-        for (a, up), (b, _) in zip(found, found[1:]):
-            assert up == (close[b] > close[a])
-
-
-def test_pivot_scan_edges():
-    assert P.scan_pivots(np.array([5.0]), 3) == []
-    assert P.scan_pivots(np.array([5.0, 6.0]), 3) == [(0, True), (1, None)]
-    assert P.scan_pivots(np.array([6.0, 5.0]), 3) == [(0, False), (1, None)]
-    flat = P.scan_pivots(np.array([5.0] * 8), 3)
-    assert flat[-1][0] == 7
-    rising = P.scan_pivots(np.arange(1.0, 11.0), 4)
-    assert all(up in (True, None) for _, up in rising) and rising[-1][0] == 9
-
-
-def test_pivot_scan_alternating_saw():
-    close = np.array([10, 12, 11, 13, 12, 14, 9, 8, 7, 11, 15, 16.0])
-    found = P.scan_pivots(close, 5)
-    assert found[0] == (0, True)
-    assert [p for p, _ in found][-1] == 11
-
-
-def test_extremes():
-    record = np.array([0, 10, 20, 30, 40, 90, 140])
-    close = np.array([10, 14, 12, 18, 11, 16, 9.0])
-    marked = P.mark_extremes_of(record, close, 36, 7.3)
-    assert marked[0] and marked[-1]
-    assert marked[3], "the top before the long fall is a reversal"
-    assert not marked[1] and not marked[2]
-    assert not P.mark_extremes_of(record[:1], close[:1], 36, 7.3).any()
-
-
-def test_extremes_always_end_marked_and_terminate():
+    for term in (3, 7, 14):
+        series = {f"w{i}": walk(rng, rng.randint(1, 200)) for i in range(25)} | {f"s{i}": stepped(rng, rng.randint(1, 150)) for i in range(25)}
+        series |= {"flat": [5.0] * 8, "pair": [5.0, 6.0], "fall": [6.0, 5.0], "one": [5.0], "rise": [float(x) for x in range(1, 11)]}
+        rows = P.find_pivots(frame(spark, series), term).orderBy("code", "pivot_seq").collect()
+        for code, close in series.items():
+            mine = [r for r in rows if r["code"] == code]
+            want = pivots_by_window(close, term)
+            assert [r["record_id"] for r in mine] == want, (code, term, close)
+            assert [r["pivot_seq"] for r in mine] == list(range(len(want)))
+            assert [r["ascending"] for r in mine] == [close[b] >= close[a] for a, b in zip(want, want[1:])] + [None] * bool(want)
+
+
+def test_extremes_equal_stretches(spark):
     rng = random.Random(5)
-    for _ in range(200):
+    lists = {"short": ([0, 10, 20, 30, 40, 90, 140], [10, 14, 12, 18, 11, 16, 9.0]), "two": ([0, 5], [1.0, 2.0])}
+    for i in range(60):
         m = rng.randint(2, 60)
-        record = np.cumsum([rng.randint(1, 30) for _ in range(m)])
-        marked = P.mark_extremes_of(record, np.array(walk(rng, m)), rng.choice([20, 36, 100]), 7.3)
-        assert marked[0] and marked[-1] and len(marked) == m
+        record = list(itertools.accumulate([0] + [rng.randint(1, 30) for _ in range(m - 1)]))
+        lists[f"c{i}"] = (record, walk(rng, m) if i % 2 else stepped(rng, m))
+    rows = [(c, k, r, date(2020, 1, 1) + timedelta(days=r), float(x), True) for c, (rec, val) in lists.items() for k, (r, x) in enumerate(zip(rec, val))]
+    df = spark.createDataFrame(rows, "code string, pivot_seq long, record_id long, trade_date date, close double, ascending boolean")
+    df = df.withColumn("close", F.col("close").cast("decimal(18,4)"))
+    for term in (20, 36, 400):
+        got = {(r["code"], r["pivot_seq"]) for r in P.mark_extremes(df, term, 7.3).where("extreme").collect()}
+        assert got == {(c, k) for c, (rec, val) in lists.items() for k in extremes_by_stretch(rec, val, term, 7.3)}
+    one = P.mark_extremes(df.where("code = 'two' AND pivot_seq = 0"), 36, 7.3).collect()
+    assert [r["extreme"] for r in one] == [False]
+
+
+def fold(spark, rows):
+    """Segments (day, close, end close, direction, average) of one code; those from day 100 on are recent."""
+    data = [
+        ("a", date(2020, 1, 1) + timedelta(days=d), 10, float(c), float(e), 1, d, 10, 0.0, way, None if ma is None else float(ma))
+        for d, c, e, way, ma in rows
+    ]
+    df = spark.createDataFrame(
+        data, "code string, start_date date, calendar_days long, close double, end_close double, train_flag long, "
+        "start_record_id long, trading_days long, change_rate double, direction string, end_ma double")
+    for c, kind in (("close", "decimal(18,4)"), ("end_close", "decimal(18,4)"), ("change_rate", "decimal(18,2)"), ("end_ma", "decimal(18,2)")):
+        df = df.withColumn(c, F.col(c).cast(kind))
+    out = P.fix_recent_long_trends(df, "2020-07-19", 100, S.UP, S.DOWN)
+    assert "end_ma" not in out.columns and "recent" not in out.columns
+    return out.orderBy("start_record_id").collect()
 
 
-def seg(day, close, end, direction, recent, ma=None, days=10):
-    return {
-        "code": "a", "start_date": day, "calendar_days": days, "close": close, "end_close": end, "train_flag": 1,
-        "start_record_id": day, "trading_days": days, "change_rate": 0.0, "direction": direction, "end_ma": ma,
-        "recent": recent,
-    }
+def test_recent_long_trends_fold(spark):
+    out = fold(spark, [
+        (1, 10, 20, S.UP, None), (2, 20, 15, S.DOWN, None), (103, 15, 22, S.UP, None),
+        (104, 22, 21, S.DOWN, 18),  # still above the average: joins the rise
+        (105, 21, 17, S.DOWN, 18),  # below it: the trend has turned
+        (106, 17, 17.5, S.UP, 18),  # still below: joins the fall
+    ])
+    assert [r["start_record_id"] for r in out] == [1, 2, 103, 105]
+    assert out[2]["end_close"] == 21 and out[2]["trading_days"] == 20 and float(out[2]["change_rate"]) == 0.4
+    assert out[3]["end_close"] == 17.5 and out[3]["direction"] == S.DOWN and out[3]["calendar_days"] == 20
 
 
-def test_recent_long_trends_fold():
-    rows = [
-        seg(1, 10, 20, S.UP, False),
-        seg(2, 20, 15, S.DOWN, False),
-        seg(3, 15, 22, S.UP, True),
-        seg(4, 22, 21, S.DOWN, True, ma=18),  # still above the average: joins the rise
-        seg(5, 21, 17, S.DOWN, True, ma=18),  # below it: the trend has turned
-        seg(6, 17, 17.5, S.UP, True, ma=18),  # still below: joins the fall
-    ]
-    out = P.fold_recent(rows, S.UP, S.DOWN)
-    assert [r["start_date"] for r in out] == [1, 2, 3, 5]
-    assert out[2]["end_close"] == 21 and out[2]["trading_days"] == 20 and out[2]["change_rate"] == 0.4
-    assert out[3]["end_close"] == 17.5 and out[3]["direction"] == S.DOWN
+def test_long_trend_without_average_stays_apart(spark):
+    assert len(fold(spark, [(101, 10, 12, S.UP, None), (102, 12, 11, S.DOWN, None)])) == 2
 
 
-def test_long_trend_without_average_stays_apart():
-    rows = [seg(1, 10, 12, S.UP, True), seg(2, 12, 11, S.DOWN, True, ma=None)]
-    assert len(P.fold_recent(rows, S.UP, S.DOWN)) == 2
+def test_report_is_one_exchange_by_code_without_python(spark, sf_dir):
+    from tidemark.sources.catalog import Catalog
+
+    daily = Catalog(spark, sf_dir).price_listed()
+    report = trend_job.trend_report(daily, as_of="2001-08-01")
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the daily closes, and their series by code
+    for node in ("Python", "Pandas", "Arrow", "Window", "Join"):
+        assert node not in plan, node
 
 
 @pytest.fixture(scope="module")
@@ -212,20 +239,6 @@ def test_as_of_average_on_missing_day(spark):
     assert float(got[5]) == 1.0 and float(got[6]) == 2.0 and got[1] is None
 
 
-def test_grouped_maps_travel_by_value():
-    """Workers must not need the package: the pickled function names no module of it."""
-    import pickletools
-
-    from pyspark import cloudpickle
-
-    sent = cloudpickle.dumps(lambda close: P.scan_pivots(close, 14))
-    modules = [arg for op, arg, _ in pickletools.genops(sent) if isinstance(arg, str)]
-    assert "scan_pivots" in modules
-    restored = cloudpickle.loads(cloudpickle.dumps(P.scan_pivots))
-    assert restored(np.array([1.0, 2.0]), 3) == [(0, True), (1, None)]
-    assert restored is not P.scan_pivots
-
-
 def test_minimum_change_of_a_single_code(spark, prices):
     from tidemark.plans import trend_job as J
 

@@ -1,188 +1,48 @@
-"""Trend steps whose state is truly sequential, as grouped maps over one daily series each.
+"""Trend steps over point lists in rows: each gathers a code's rows in one array, applies a rule of ``turns`` and deals the rows out again.
 
-A search restarts from the pivot it has just found and reads rows again, which no window frame can
-say.  The groups are daily series (at most one row per calendar day and code), never raw ticks, so
-a group stays small whatever the number of ticks behind it.  Work is parallel across codes.
+The arrays hold daily series or less, so they are bounded by the calendar; work is parallel across codes and stays in the JVM.  A chain of
+steps keeps the distribution by ``code``.
 """
 
 from __future__ import annotations
 
-import sys
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The functions of this module travel with the task, so workers need not have the package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from tidemark.operators import turns as T
 
-PIVOT_SCHEMA = "code string, pivot_seq long, record_id long, trade_date date, close double, ascending boolean"
-MARK_SCHEMA = PIVOT_SCHEMA + ", extreme boolean"
+POINT_COLUMNS = ["pivot_seq", "record_id", "trade_date", "close", "ascending", "extreme"]
 
 
-def scan_pivots(close: np.ndarray, term: int) -> list[tuple[int, bool | None]]:
-    """Turning points of one series as (position, direction that leaves it).
+def daily_arrays(prices: DataFrame, *others: str) -> DataFrame:
+    """One row per code with ``series``, its rows in date order."""
+    rows = F.struct("trade_date", F.col("close").cast("decimal(18,4)").alias("close"))
+    return prices.groupBy("code", *others).agg(F.array_sort(F.collect_list(rows)).alias("series"))
 
-    Highest and lowest row since the last pivot are tracked until the window of ``term`` rows
-    closes.  The earlier of the two then decides the direction: if it is the pivot itself the
-    other extreme becomes the next pivot, else it does.  The scan goes on from the new pivot.
-    """
-    n = len(close)
-    if n < 2:
-        return []
-    where, leaves = [0], [None]
-    top = bottom = 0
-
-    def turn(first: int, second: int, rising: bool) -> int:
-        """Place the next pivot for extremes met in the order first, second; returns it."""
-        here = where[-1]
-        if first == here:
-            leaves[-1] = rising
-            where.append(second)
-            leaves.append(None)
-        else:
-            leaves[-1] = bool(close[first] > close[here])
-            where.append(first)
-            leaves.append(rising)
-        return where[-1]
-
-    row = 1
-    while row < n:
-        if row - where[-1] < term:
-            if close[row] < close[bottom]:
-                bottom = row
-            if close[row] > close[top]:
-                top = row
-        elif top == bottom:
-            # nothing moved in the whole window: the pivot slides to the current row
-            where[-1], leaves[-1] = row, None
-        else:
-            rising = bottom < top
-            here = where[-1]
-            row = turn(min(top, bottom), max(top, bottom), rising)
-            if min(top, bottom) == here:
-                top = bottom = row
-        row += 1
-
-    if top != bottom:
-        turn(min(top, bottom), max(top, bottom), bottom < top)
-    if where[-1] != n - 1:
-        leaves[-1] = bool(close[n - 1] >= close[where[-1]])
-        where.append(n - 1)
-        leaves.append(None)
-    return list(zip(where, leaves))
-
-
-def mark_extremes_of(record: np.ndarray, close: np.ndarray, term: int, min_rate: float) -> np.ndarray:
-    """Flags the reversal points of a pivot list.
-
-    From a pivot the list is read up to the first one more than ``term`` records past its successor.  The lowest and the highest of that
-    stretch, in their order, are a move.  A move against the one before marks where it begins; one that goes on after a gap above
-    ``min_rate`` percent marks both ends of the gap.  The next stretch begins where the move ends.  Both ends of the list are marked.
-    """
-    marked = np.zeros(len(close), dtype=bool)
-    if len(close) < 2:
-        return marked
-    marked[[0, -1]] = True
-    beyond = np.searchsorted(record, record + term, side="right")
-    rising, origin = bool(close[1] >= close[0]), 0
-    while origin + 1 < len(close) and beyond[origin + 1] < len(close):
-        stretch = close[origin:beyond[origin + 1]]
-        low, high = origin + int(stretch.argmin()), origin + int(stretch.argmax())
-        if low == high:  # all equal
-            origin += 2
-            continue
-        begin, end = min(low, high), max(low, high)
-        if (end == high) != rising:
-            marked[begin] = True
-        elif begin > origin and abs(close[begin] - close[origin]) * 100.0 > min_rate * close[origin]:
-            marked[[origin, begin]] = True
-        rising, origin = end == high, end
-    return marked
+
+def point_arrays(pivots: DataFrame, *others: str) -> DataFrame:
+    """One row per code with ``points``, its point list in order."""
+    close = F.col("close").cast("decimal(18,4)").alias("close")
+    extreme = F.col("extreme") if "extreme" in pivots.columns else F.lit(False)
+    fields = F.struct(
+        F.col("pivot_seq").cast("bigint").alias("pivot_seq"), F.col("record_id").cast("bigint").alias("record_id"), "trade_date", close, "ascending",
+        extreme.alias("extreme"),
+    )
+    return pivots.groupBy("code", *others).agg(F.array_sort(F.collect_list(fields)).alias("points"))
 
 
 def find_pivots(prices: DataFrame, term: int) -> DataFrame:
-    """Pivot list per code from a daily series with ``record_id``."""
-
-    def per_code(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date", kind="stable")
-        close = pdf["close"].to_numpy(dtype="float64")
-        found = scan_pivots(close, term)
-        at = [p for p, _ in found]
-        return pd.DataFrame(
-            {
-                "code": pdf["code"].to_numpy()[at],
-                "pivot_seq": np.arange(len(at), dtype="int64"),
-                "record_id": pdf["record_id"].to_numpy()[at],
-                "trade_date": pdf["trade_date"].to_numpy()[at],
-                "close": close[at],
-                "ascending": pd.array([d for _, d in found], dtype="boolean"),
-            }
-        )
-
-    slim = prices.select("code", "record_id", "trade_date", F.col("close").cast("double").alias("close"))
-    out = slim.groupBy("code").applyInPandas(per_code, PIVOT_SCHEMA)
-    return out.withColumn("close", F.col("close").cast("decimal(18,4)"))
+    """Turning points per code of a daily series (code, trade_date, close)."""
+    found = daily_arrays(prices).select("code", F.inline(T.turning_points(F.col("series"), term)))
+    return found.select("code", *POINT_COLUMNS[:-1])
 
 
 def mark_extremes(pivots: DataFrame, term: int, min_rate: float) -> DataFrame:
     """Adds ``extreme`` to a pivot list; ``min_rate`` is overridden by a column of that name."""
     own = "min_rate" in pivots.columns
-
-    def per_code(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pivot_seq", kind="stable")
-        limit = float(pdf["min_rate"].iloc[0]) if own else min_rate
-        pdf["extreme"] = mark_extremes_of(
-            pdf["record_id"].to_numpy(), pdf["close"].to_numpy(dtype="float64"), term, limit
-        )
-        return pdf[["code", "pivot_seq", "record_id", "trade_date", "close", "ascending", "extreme"]]
-
-    cols = ["code", "pivot_seq", "record_id", "trade_date", F.col("close").cast("double").alias("close"), "ascending"]
-    slim = pivots.select(*cols, *(["min_rate"] if own else []))
-    out = slim.groupBy("code").applyInPandas(per_code, MARK_SCHEMA)
-    return out.withColumn("close", F.col("close").cast("decimal(18,4)"))
-
-
-SEGMENT_SCHEMA = (
-    "code string, start_date date, calendar_days long, close double, end_close double, train_flag long, "
-    "start_record_id long, trading_days long, change_rate double, direction string"
-)
-
-
-def fold_recent(rows: list[dict], up: str, down: str) -> list[dict]:
-    """Merges recent segments into the one before while the close stays on its side of the average.
-
-    ``rows`` are the segments of one code in order; those with ``recent`` false pass unchanged.
-    """
-    out: list[dict] = []
-    held: str | None = None
-    for seg in rows:
-        seg = dict(seg)
-        if not seg.pop("recent"):
-            seg.pop("end_ma")
-            out.append(seg)
-            continue
-        average = seg.pop("end_ma")
-        if held is None:
-            held = seg["direction"]
-            out.append(seg)
-            continue
-        keeps = average is not None and (
-            seg["end_close"] >= average if held == up else seg["end_close"] <= average
-        )
-        if not keeps:
-            held = down if held == up else up
-            out.append(seg)
-            continue
-        base = out[-1]
-        base["end_close"] = seg["end_close"]
-        base["trading_days"] += seg["trading_days"]
-        base["calendar_days"] += seg["calendar_days"]
-        move = base["end_close"] - base["close"]
-        base["change_rate"] = round(move / base["close"], 2) if base["close"] else None
-    return out
+    lists = point_arrays(pivots, *(["min_rate"] if own else []))
+    limit: Column = F.col("min_rate") if own else F.lit(float(min_rate))
+    return lists.select("code", F.inline(T.with_extremes(F.col("points"), term, limit))).select("code", *POINT_COLUMNS)
 
 
 def fix_recent_long_trends(segments: DataFrame, as_of: str, horizon_days: int, up: str, down: str) -> DataFrame:
@@ -190,30 +50,13 @@ def fix_recent_long_trends(segments: DataFrame, as_of: str, horizon_days: int, u
 
     Expects ``end_ma``, the long average in force at the segment's end.
     """
-    fields = [f.strip().split(" ")[0] for f in SEGMENT_SCHEMA.split(",")]
-    prepared = segments.select(
-        "code",
-        "start_date",
-        "calendar_days",
-        F.col("close").cast("double").alias("close"),
-        F.col("end_close").cast("double").alias("end_close"),
-        "train_flag",
-        "start_record_id",
-        "trading_days",
-        F.col("change_rate").cast("double").alias("change_rate"),
-        "direction",
-        F.col("end_ma").cast("double").alias("end_ma"),
-        (F.date_diff(F.lit(as_of).cast("date"), F.col("start_date")) <= horizon_days).alias("recent"),
-    )
-
-    def per_code(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_record_id", kind="stable").astype({"end_ma": object})
-        pdf["end_ma"] = pdf["end_ma"].where(pdf["end_ma"].notna(), None)
-        return pd.DataFrame(fold_recent(pdf.to_dict("records"), up, down), columns=fields)
-
-    out = prepared.groupBy("code").applyInPandas(per_code, SEGMENT_SCHEMA)
-    return (
-        out.withColumn("close", F.col("close").cast("decimal(18,4)"))
-        .withColumn("end_close", F.col("end_close").cast("decimal(18,4)"))
-        .withColumn("change_rate", F.col("change_rate").cast("decimal(18,2)"))
+    recent = F.date_diff(F.lit(as_of).cast("date"), F.col("start_date")) <= horizon_days
+    fields = F.struct(
+        "start_record_id", "start_date", "calendar_days", "close", "end_close", "train_flag", "trading_days", "change_rate", "direction",
+        F.lit(None).cast("bigint").alias("end_record_id"), F.col("end_ma").cast("decimal(18,2)").alias("end_ma"), recent.alias("recent"),
     )
+    names = [f.split(":")[0] for f in T.RECENT[7:-1].replace("decimal(18,4)", "d").replace("decimal(18,2)", "d").split(",")]
+    lists = segments.groupBy("code").agg(F.array_sort(F.collect_list(fields)).alias("_list"))
+    ordered = F.transform("_list", lambda x: F.struct(*[x[n].alias(n) for n in names])).cast(f"array<{T.RECENT}>")
+    out = lists.select("code", F.inline(T.with_recent_joined(ordered, up, down)))
+    return out.drop("end_record_id", "end_ma", "recent")

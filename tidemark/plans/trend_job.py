@@ -1,14 +1,19 @@
-"""Trend report over all codes at once: averages, pivots, extremes, segments, long-trend fix."""
+"""Trend report over all codes at once: turning points, extremes, segments, long-trend fix.
+
+The daily series are dealt by code once; every step after that is a rule of ``operators.turns`` on the arrays of one code, and the rows of the
+report are dealt out at the end.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import pivots as P
 from tidemark.operators import series as S
+from tidemark.operators import turns as T
 
 MINOR, MEDIAN, LONG = "短期趋势", "中期趋势", "长期趋势"
 COLUMNS = [
@@ -17,29 +22,39 @@ COLUMNS = [
 ]
 
 
-def _rated(pivots: DataFrame, rates: DataFrame | None, level: str, default: float) -> DataFrame:
-    """Pivots with the ``min_rate`` of their code at this level."""
-    if rates is None:
-        return pivots.withColumn("min_rate", F.lit(float(default)))
-    return S.with_min_rate(pivots.withColumn("trend_name", F.lit(level)), rates, {level: default}).drop("trend_name")
+def _series(prices: DataFrame, cfg: Mapping[str, float], rates: DataFrame | None, overrides: DataFrame | None) -> DataFrame:
+    """One row per code: ``series``, the minimum change of each level, ``fixes`` of its points."""
+    rows = P.daily_arrays(prices)
+    defaults = {MINOR: cfg["min_minor_rate"], MEDIAN: cfg["min_median_rate"], LONG: cfg["min_long_rate"]}
+    own = [F.max(F.when(F.col("trend_name") == level, F.col("min_rate").cast("double"))).alias(level) for level in defaults]
+    if rates is not None:
+        rows = rows.join(rates.groupBy("code").agg(*own), "code", "left")
+    rows = rows.withColumns({
+        level: F.coalesce(F.col(level), F.lit(float(rate))) if rates is not None else F.lit(float(rate)) for level, rate in defaults.items()
+    })
+    if overrides is not None:
+        fixes = overrides.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("trade_date", "extreme"))).alias("fixes"))
+        return rows.join(fixes, "code", "left")
+    return rows.withColumn("fixes", F.lit(None).cast("array<struct<trade_date:date,extreme:boolean>>"))
 
 
-def minor_pivots(prices: DataFrame, settings: Mapping[str, float], rates: DataFrame | None = None) -> DataFrame:
-    """Short-term turning points: pivot scan, merge, drop weak ones, merge again."""
-    found = P.find_pivots(S.with_record_id(prices), int(settings["minor_term"]))
-    merged = _rated(S.merge_trends(found.withColumn("extreme", F.lit(False))), rates, MINOR, settings["min_minor_rate"])
-    return S.merge_trends(S.drop_weak_pivots(merged, F.col("min_rate")).drop("min_rate"))
+def _minor(cfg: Mapping[str, float]) -> Column:
+    """Short-term turning points: search, merge, drop weak ones, merge again."""
+    found = T.turning_points(F.col("series"), int(cfg["minor_term"]))
+    return T.merged(T.without_weak(T.merged(found), F.col(MINOR)))
 
 
-def level_segments(
-    minor: DataFrame, term: int, min_rate: float, overrides: DataFrame | None, level: str = MEDIAN, rates: DataFrame | None = None
-) -> DataFrame:
+def _level(points: Column, level: str, term: float) -> Column:
     """Segments of one trend level from the short-term turning points."""
-    marked = P.mark_extremes(_rated(minor, rates, level, min_rate), term, min_rate)
-    if overrides is not None:
-        marked = S.override_pivots(marked, overrides)
-    kept = S.drop_weak_pivots(_rated(S.merge_trends(marked), rates, level, min_rate), F.col("min_rate"))
-    return S.trend_segments(kept.drop("min_rate"), order="pivot_seq")
+    marked = T.with_extremes(points, int(term), F.col(level))
+    fixed = F.when(F.col("fixes").isNull(), marked).otherwise(T.with_overrides(marked, F.col("fixes")))
+    return T.segments(T.without_weak(T.merged(fixed), F.col(level)), S.UP, S.DOWN)
+
+
+def minor_pivots(prices: DataFrame, settings: Mapping[str, float], rates: DataFrame | None = None) -> DataFrame:
+    """Rows of the short-term turning points."""
+    cfg = {**S.TREND_SETTINGS, **settings}
+    return _series(prices, cfg, rates, None).select("code", F.inline(_minor(cfg))).select("code", *P.POINT_COLUMNS)
 
 
 def trend_report(
@@ -51,20 +66,24 @@ def trend_report(
 ) -> DataFrame:
     """Median and long trends of every code.
 
-    ``prices`` is a daily series (code, trade_date, close); ``as_of`` stands for the day of the run; ``rates`` holds minimum changes of
-    single codes (trend_name, code, min_rate) that replace those of the settings.
+    ``prices`` is a daily series (code, trade_date, close); ``as_of`` stands for the day of the run; ``overrides`` (code, trade_date, extreme)
+    replaces marks; ``rates`` holds minimum changes of single codes (trend_name, code, min_rate) that replace those of the settings.
     """
     cfg = {**S.TREND_SETTINGS, **(settings or {})}
-    minor = minor_pivots(prices, cfg, rates)
-    median = level_segments(minor, int(cfg["median_term"]), cfg["min_median_rate"], overrides, MEDIAN, rates)
-    long = level_segments(minor, int(cfg["long_term"]), cfg["min_long_rate"], overrides, LONG, rates)
-    averages = S.moving_averages(prices, {"long_ma": int(cfg["long_average"])})
-    ended = long.withColumn("end_date", F.expr("date_add(start_date, cast(calendar_days as int))"))
-    fixed = P.fix_recent_long_trends(
-        S.averages_at_segment_end(ended, averages), as_of, int(cfg["long_horizon_days"]), S.UP, S.DOWN
-    )
-    return (
-        median.withColumn("trend_name", F.lit(MEDIAN))
-        .select(*COLUMNS)
-        .unionByName(fixed.withColumn("trend_name", F.lit(LONG)).select(*COLUMNS))
-    )
+    horizon, average = int(cfg["long_horizon_days"]), int(cfg["long_average"])
+
+    def judged(s: Column) -> Column:
+        recent = F.date_diff(F.lit(as_of).cast("date"), s["start_date"]) <= horizon
+        return s.withField("end_ma", T.average_at(F.col("series"), s["end_record_id"], average)).withField("recent", recent)
+
+    def named(segments: Column, level: str) -> Column:
+        fields = COLUMNS[2:]
+        return F.transform(segments, lambda s: F.struct(F.lit(level).alias("trend_name"), *[s[f].alias(f) for f in fields]))
+
+    def levels(points: Column) -> Column:
+        median = _level(points, MEDIAN, cfg["median_term"])
+        long = F.transform(_level(points, LONG, cfg["long_term"]), judged).cast(f"array<{T.RECENT}>")
+        return F.concat(named(median, MEDIAN), named(T.with_recent_joined(long, S.UP, S.DOWN), LONG))
+
+    lists = _series(prices, cfg, rates, overrides)
+    return lists.select("code", F.inline(T.let(_minor(cfg), levels))).select(*COLUMNS)

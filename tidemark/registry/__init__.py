@@ -16,7 +16,7 @@ JOBS: dict[str, Job] = {}
 ORACLES: dict[str, str] = {}
 
 _MODULES = (
-    "market", "landing", "selection", "joining", "summaries", "ordering", "scalars_text", "scalars_time",
+    "market", "trends", "landing", "selection", "joining", "summaries", "ordering", "scalars_text", "scalars_time",
     "reports", "pages", "ratios", "learning", "streams",
 )
 

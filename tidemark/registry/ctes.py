@@ -16,6 +16,11 @@ CTES: dict[str, str] = {
         SELECT o_orderpriority AS code, CAST(o_orderdate AS DATE) AS trade_date,
                CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DECIMAL(18,4)) AS close
         FROM orders GROUP BY 1, 2""",
+    "price_listed": """
+        SELECT code, trade_date, CAST(sum(value) AS DECIMAL(18,4)) AS close
+        FROM (SELECT unnest([o_orderpriority, lpad(CAST(o_custkey AS VARCHAR), 6, '0')]) AS code, CAST(o_orderdate AS DATE) AS trade_date,
+                     CAST(o_totalprice AS DECIMAL(18,4)) AS value FROM orders)
+        GROUP BY code, trade_date""",
     "securities": """
         SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS code,
                '客户' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS name,

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import pivots as P
 from tidemark.operators import series as S
-from tidemark.plans import trend_job
 from tidemark.registry import job
 from tidemark.registry.ctes import define
 from tidemark.registry.present import present
@@ -83,39 +81,6 @@ def _tiny_trends(c):
     return present(df, "code", "trade_date", "record_id", "ascending")
 
 
-define("pivot_series", """
-    SELECT code, list(cents ORDER BY record_id) AS arr, list(trade_date ORDER BY record_id) AS days, count(*) AS n FROM pxl GROUP BY code""")
-
-
-# The search is told by whole windows: from a pivot, the earlier of the extremes of the next 14 rows.
-@job("pivots_minor", """
-    WITH RECURSIVE walk AS (
-      SELECT code, n, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS at_ FROM pivot_series WHERE n >= 2
-      UNION ALL
-      SELECT code, n, seq + 1, at_ + CASE WHEN least(hi, lo) = 0 THEN greatest(hi, lo) ELSE least(hi, lo) END
-      FROM (SELECT code, n, seq, at_, list_position(s, list_max(s)) - 1 AS hi, list_position(s, list_min(s)) - 1 AS lo
-            FROM (SELECT walk.code, walk.n, seq, at_, arr[at_ + 1 : at_ + 14] AS s
-                  FROM walk JOIN pivot_series p ON p.code = walk.code WHERE at_ + 14 < walk.n))),
-    tails AS (
-      SELECT code, n, seq, at_, list_position(s, list_max(s)) - 1 AS hi, list_position(s, list_min(s)) - 1 AS lo
-      FROM (SELECT w.code, w.n, seq, at_, arr[at_ + 1 : w.n] AS s,
-                   row_number() OVER (PARTITION BY w.code ORDER BY seq DESC) AS rn
-            FROM walk w JOIN pivot_series p ON p.code = w.code) WHERE rn = 1),
-    turned AS (
-      SELECT code, n, seq, at_ FROM walk
-      UNION ALL SELECT code, n, seq + 1, at_ + CASE WHEN least(hi, lo) = 0 THEN greatest(hi, lo) ELSE least(hi, lo) END
-      FROM tails WHERE hi <> lo),
-    ended AS (
-      SELECT code, seq, at_ FROM turned
-      UNION ALL SELECT code, max(seq) + 1, max(n) - 1 FROM turned GROUP BY code HAVING arg_max(at_, seq) <> max(n) - 1),
-    placed AS (SELECT e.code, seq, at_, arr[at_ + 1] AS cents, days[at_ + 1] AS day FROM ended e JOIN pivot_series p ON p.code = e.code)
-    SELECT code, seq AS pivot_seq, at_ AS record_id, CAST(day AS VARCHAR) AS trade_date, cents / 100.0 AS close,
-           CAST(lead(cents) OVER (PARTITION BY code ORDER BY seq) > cents AS BIGINT) AS ascending FROM placed""")
-def _pivots_minor(c):
-    df = P.find_pivots(S.with_record_id(c.price_long()), 14)
-    return present(df.withColumn("ascending", F.col("ascending").cast("bigint")))
-
-
 define("outgoing", """
     SELECT *, lead(cents) OVER (PARTITION BY code ORDER BY record_id) >= cents AS ascending FROM px""")
 
@@ -140,13 +105,6 @@ def _drop_weak(c):
     return present(S.drop_weak_pivots(listed, 7.3), "code", "trade_date", "record_id")
 
 
-@job("mark_extremes")
-def _mark_extremes(c):
-    minor = trend_job.minor_pivots(c.price_long(), S.TREND_SETTINGS)
-    df = P.mark_extremes(minor, 36, 7.3)
-    return present(df.withColumn("ascending", F.col("ascending").cast("bigint")))
-
-
 @job("pivot_overrides", """
     SELECT p.code, CAST(p.trade_date AS VARCHAR) AS trade_date, coalesce(o.extreme, p.record_id % 2 = 0) AS extreme
     FROM px p LEFT JOIN (
@@ -204,24 +162,6 @@ def _trend_end_ma(c):
     return present(S.averages_at_segment_end(segs, averages), "code", "start_date", "start_record_id", "end_ma")
 
 
-@job("long_trend_fix")
-def _long_trend_fix(c):
-    prices = c.price_long()
-    listed = S.drop_weak_pivots(
-        P.mark_extremes(trend_job.minor_pivots(prices, S.TREND_SETTINGS), 36, 7.3), 7.3
-    )
-    segs = S.trend_segments(listed, order="pivot_seq").withColumn(
-        "end_date", F.expr("date_add(start_date, cast(calendar_days as int))")
-    )
-    with_ma = S.averages_at_segment_end(segs, S.moving_averages(prices, {"long_ma": 250}))
-    return present(P.fix_recent_long_trends(with_ma, "2001-08-01", 560, S.UP, S.DOWN))
-
-
-@job("index_trend_report")
-def _index_trend_report(c):
-    return present(trend_job.trend_report(c.price_long(), as_of="2001-08-01"))
-
-
 @job("occurrence_suffix", """
     SELECT doc_id, row_idx, CASE WHEN n > 1 THEN c0 || (n - 1) ELSE c0 END AS numbered
     FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, c0 ORDER BY row_idx) AS n FROM report_rows)""")

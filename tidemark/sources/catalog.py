@@ -82,6 +82,23 @@ class Catalog:
             .agg(F.sum(F.col("o_totalprice").cast("decimal(18,4)")).cast("decimal(18,4)").alias("close"))
         )
 
+    def price_listed(self) -> DataFrame:
+        """Daily series of the indices (order priorities) and of every company (customer): summed order value per day.
+
+        The number of series grows with the customers.
+        """
+        company = F.lpad(F.col("o_custkey").cast("string"), 6, "0")
+        return (
+            self.table("orders")
+            .select(
+                F.explode(F.array("o_orderpriority", company)).alias("code"),
+                F.col("o_orderdate").cast("date").alias("trade_date"),
+                F.col("o_totalprice").cast("decimal(18,4)").alias("value"),
+            )
+            .groupBy("code", "trade_date")
+            .agg(F.sum("value").cast("decimal(18,4)").alias("close"))
+        )
+
     # ---- dimensions --------------------------------------------------------------------
 
     def securities(self) -> DataFrame:
