@@ -173,10 +173,10 @@ def fit(labelled: DataFrame, limit: int = LABELLED, trees: int = TREES, depth: i
 
 def judge(pages: DataFrame, rules: dict[str, str] = RULES, id_col: str = "page_id", url_col: str = "url", limit: int = LABELLED) -> DataFrame:
     """Per page its host, path, rule, verdict and the trees' score."""
-    rows = with_parts(pages.select(F.col(id_col), F.col(url_col).alias("url"))).withColumn("rule", rule_of(rules))
+    rows = with_parts(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"))).withColumn("rule", rule_of(rules))
     known = rows.where("rule IS NOT NULL").select("url", (verdict_of(rules) == "block").alias("blocked"))
     out = fit(known, limit).judge(rows)
-    return out.select(id_col, "host", "path", "rule", F.coalesce(verdict_of(rules), "judged").alias("verdict"), "score")
+    return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce(verdict_of(rules), "judged").alias("verdict"), "score")
 
 
 def report(pages: DataFrame) -> DataFrame:
