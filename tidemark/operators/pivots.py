@@ -42,7 +42,7 @@ def mark_extremes(pivots: DataFrame, term: int, min_rate: float) -> DataFrame:
     own = "min_rate" in pivots.columns
     lists = point_arrays(pivots, *(["min_rate"] if own else []))
     limit: Column = F.col("min_rate") if own else F.lit(float(min_rate))
-    return lists.select("code", F.inline(T.with_extremes(F.col("points"), term, limit))).select("code", *POINT_COLUMNS)
+    return lists.select("code", F.inline(T.with_extremes(F.col("points"), F.lit(term), limit))).select("code", *POINT_COLUMNS)
 
 
 def fix_recent_long_trends(segments: DataFrame, as_of: str, horizon_days: int, up: str, down: str) -> DataFrame:

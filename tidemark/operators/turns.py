@@ -131,7 +131,7 @@ def without_weak(points: Column, min_rate: Column) -> Column:
     return _where(points, lambda p, x, i: x["extreme"] | large_move(x["close"], _ahead(p, i)["close"], min_rate))
 
 
-def with_extremes(points: Column, term: int, min_rate: Column) -> Column:
+def with_extremes(points: Column, term: Column, min_rate: Column) -> Column:
     """Point list with the reversal points marked.
 
     From a point the list is read up to the last one within ``term`` records of its successor.  The lowest and the highest of that stretch, in
@@ -146,8 +146,8 @@ def with_extremes(points: Column, term: int, min_rate: Column) -> Column:
         def move(x: Column, i: Column) -> Column:
             limit = _ahead(p, i)["record_id"] + term
             inside = lambda y: F.get(p, F.abs(y))["record_id"] <= limit
-            low = F.array_min(F.filter(F.slice(lows, i + 1, F.lit(term + 2)), lambda y: inside(y["at"])))["at"]
-            high = -F.array_max(F.filter(F.slice(highs, i + 1, F.lit(term + 2)), lambda y: inside(y["back"])))["back"]
+            low = F.array_min(F.filter(F.slice(lows, i + 1, term + 2), lambda y: inside(y["at"])))["at"]
+            high = -F.array_max(F.filter(F.slice(highs, i + 1, term + 2), lambda y: inside(y["back"])))["back"]
             ends = F.when(limit < last, F.struct(low.alias("low"), high.alias("high")))
 
             def told(e: Column) -> Column:
@@ -246,12 +246,10 @@ def with_recent_joined(recent: Column, up: str, down: str) -> Column:
 
     def grown(base: Column, x: Column) -> Column:
         move = F.try_divide(x["end_close"] - base["close"], base["close"])
-        return F.struct(*[
-            {"end_close": x["end_close"], "calendar_days": base["calendar_days"] + x["calendar_days"],
-             "trading_days": base["trading_days"] + x["trading_days"], "change_rate": F.round(move, 2).cast("decimal(18,2)")}
-            .get(name, base[name]).alias(name)
-            for name in (f.split(":")[0] for f in RECENT[7:-1].replace("decimal(18,4)", "d").replace("decimal(18,2)", "d").split(","))
-        ])
+        return (
+            base.withField("end_close", x["end_close"]).withField("calendar_days", base["calendar_days"] + x["calendar_days"])
+            .withField("trading_days", base["trading_days"] + x["trading_days"]).withField("change_rate", F.round(move, 2).cast("decimal(18,2)"))
+        )
 
     def step(acc: Column, x: Column) -> Column:
         added = F.concat(acc["out"], F.array(x))

@@ -35,7 +35,7 @@ def _series(prices: DataFrame, cfg: Mapping[str, float], rates: DataFrame | None
     if overrides is not None:
         fixes = overrides.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("trade_date", "extreme"))).alias("fixes"))
         return rows.join(fixes, "code", "left")
-    return rows.withColumn("fixes", F.lit(None).cast("array<struct<trade_date:date,extreme:boolean>>"))
+    return rows
 
 
 def _minor(cfg: Mapping[str, float]) -> Column:
@@ -44,11 +44,15 @@ def _minor(cfg: Mapping[str, float]) -> Column:
     return T.merged(T.without_weak(T.merged(found), F.col(MINOR)))
 
 
-def _level(points: Column, level: str, term: float) -> Column:
-    """Segments of one trend level from the short-term turning points."""
-    marked = T.with_extremes(points, int(term), F.col(level))
-    fixed = F.when(F.col("fixes").isNull(), marked).otherwise(T.with_overrides(marked, F.col("fixes")))
-    return T.segments(T.without_weak(T.merged(fixed), F.col(level)), S.UP, S.DOWN)
+def _levels(lists: DataFrame, terms: Mapping[str, int]) -> DataFrame:
+    """A row per code and level, with ``segments`` from the ``points`` of the code."""
+    levels = [F.struct(F.lit(level).alias("trend_name"), F.lit(term).alias("term"), F.col(level).alias("min_rate")) for level, term in terms.items()]
+    rows = lists.select(*[c for c in lists.columns if c not in terms], F.inline(F.array(*levels)))
+    marked = T.with_extremes(F.col("points"), F.col("term"), F.col("min_rate"))
+    if "fixes" in lists.columns:
+        marked = F.when(F.col("fixes").isNull(), marked).otherwise(T.with_overrides(marked, F.col("fixes")))
+    kept = T.without_weak(T.merged(marked), F.col("min_rate"))
+    return rows.withColumn("segments", T.segments(kept, S.UP, S.DOWN))
 
 
 def minor_pivots(prices: DataFrame, settings: Mapping[str, float], rates: DataFrame | None = None) -> DataFrame:
@@ -70,20 +74,21 @@ def trend_report(
     replaces marks; ``rates`` holds minimum changes of single codes (trend_name, code, min_rate) that replace those of the settings.
     """
     cfg = {**S.TREND_SETTINGS, **(settings or {})}
-    horizon, average = int(cfg["long_horizon_days"]), int(cfg["long_average"])
+    lists = _series(prices, cfg, rates, overrides)
+    lists = lists.withColumn("points", _minor(cfg)).drop(MINOR)
+    levels = _levels(lists, {MEDIAN: int(cfg["median_term"]), LONG: int(cfg["long_term"])})
+    oldest = F.date_sub(F.lit(as_of).cast("date"), int(cfg["long_horizon_days"]))
 
     def judged(s: Column) -> Column:
-        recent = F.date_diff(F.lit(as_of).cast("date"), s["start_date"]) <= horizon
-        return s.withField("end_ma", T.average_at(F.col("series"), s["end_record_id"], average)).withField("recent", recent)
+        recent = (F.col("trend_name") == LONG) & (s["start_date"] >= oldest)
+        average = T.average_at(F.col("series"), s["end_record_id"], int(cfg["long_average"]))
+        return s.withField("end_ma", F.when(recent, average)).withField("recent", recent)
 
-    def named(segments: Column, level: str) -> Column:
-        fields = COLUMNS[2:]
-        return F.transform(segments, lambda s: F.struct(F.lit(level).alias("trend_name"), *[s[f].alias(f) for f in fields]))
+    segments = F.transform("segments", judged).cast(f"array<{T.RECENT}>")
+    return levels.select("code", "trend_name", F.inline(T.with_recent_joined(segments, S.UP, S.DOWN))).select(*COLUMNS)
 
-    def levels(points: Column) -> Column:
-        median = _level(points, MEDIAN, cfg["median_term"])
-        long = F.transform(_level(points, LONG, cfg["long_term"]), judged).cast(f"array<{T.RECENT}>")
-        return F.concat(named(median, MEDIAN), named(T.with_recent_joined(long, S.UP, S.DOWN), LONG))
 
-    lists = _series(prices, cfg, rates, overrides)
-    return lists.select("code", F.inline(T.let(_minor(cfg), levels))).select(*COLUMNS)
+def level_segments(minor: DataFrame, level: str, term: int, min_rate: float) -> DataFrame:
+    """Segments of one trend level from the rows of the short-term turning points."""
+    lists = P.point_arrays(minor).withColumn(level, F.lit(float(min_rate)))
+    return _levels(lists, {level: term}).select("code", F.inline("segments")).drop("end_record_id")

@@ -155,5 +155,5 @@ def _score_batch(c):
 @job("trend_direction")
 def _direction(c):
     minor = trend_job.minor_pivots(c.price_long(), S.TREND_SETTINGS)
-    segments = trend_job.level_segments(minor, 36, 7.3, None)
+    segments = trend_job.level_segments(minor, trend_job.MEDIAN, 36, 7.3)
     return present(P.trend_direction(segments))
