@@ -137,8 +137,8 @@ def test_offsets_over_levels(spark):
     for k, w in sorted(rows):
         want[k] = total
         total += w
-    assert {r["k"]: r["offset"] for r in N.with_offset(df, "k", "w", bits=4).collect()} == want
-    position = {r["k"]: r["position"] for r in N.with_position(df, "k", bits=3).collect()}
+    assert {r["k"]: r["offset"] for r in N.with_offset(df, "k", "w").collect()} == want
+    position = {r["k"]: r["position"] for r in N.with_position(df, "k").collect()}
     assert position == {k: i for i, k in enumerate(sorted(keys))}
     ranks = [r["rank"] for r in N.with_shuffled_rank(df, "k", 7).collect()]
     assert sorted(ranks) == list(range(400))
@@ -263,3 +263,30 @@ def test_positions_of_sparse_and_negative_keys(spark):
     got = {r["k"]: r["position"] for r in with_position(df, "k").collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
     assert sorted(r["rank"] for r in with_shuffled_rank(df, "k", 3).collect()) == list(range(len(keys)))
+
+
+def test_random_order_is_that_of_the_digests(spark, monkeypatch):
+    import hashlib
+
+    df = spark.range(-300, 900).withColumnRenamed("id", "k")
+    want = sorted(range(-300, 900), key=lambda k: hashlib.md5(f"5:{k}".encode()).hexdigest())
+    for rows in (1 << 16, 50, 1):
+        monkeypatch.setattr(N, "BUCKET_ROWS", rows)
+        got = {r["rank"]: r["k"] for r in N.with_shuffled_rank(df, "k", 5).collect()}
+        assert [got[i] for i in range(1200)] == want
+
+
+def test_folds_of_sparse_numbers_and_few_rows(spark):
+    numbers = [-(2**63), -7, 0, 1, 10, 11, 5000, 2**62, 2**63 - 1]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    got = {r["n"]: (r["fold"], r["role"]) for r in M.assign_folds(df, "n", 4, 1).collect()}
+    assert got == {n: (i // 2, "valid" if i // 2 == 1 else "train") for i, n in enumerate(sorted(numbers)[:8])}
+    assert M.assign_folds(df, "n", 10, 1).count() == 0 and M.assign_folds(df.limit(0), "n", 2, 1).count() == 0
+
+
+def test_texts_do_not_move_for_their_places(spark):
+    """Beside the ranges of the keys, only the windows themselves are dealt out."""
+    df = spark.createDataFrame([(i, "abcdefghij" * i) for i in range(1, 6)], "doc_id long, text string")
+    plan = M.random_windows(df, 7, 4, seed=3)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan, "ranges are stored tables"
+    assert "SinglePartition" not in plan.split("Window")[0]

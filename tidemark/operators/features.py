@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import char_vocabulary, code_points
-from tidemark.operators.numbering import with_offset, with_position, with_shuffled_rank
+from tidemark.operators.numbering import in_ranges, with_position, with_shuffled_rank
+from tidemark.session import materialise
 
 
 @dataclass(frozen=True)
@@ -83,14 +84,20 @@ def pad_sequences(
 
 
 def assign_folds(table: DataFrame, number: str, folds: int, validation: int) -> DataFrame:
-    """Contiguous folds of equal size in order of the unique number; the remainder is dropped."""
-    placed = with_position(table, number, "_pos")
-    size = F.floor(table.agg(F.count(F.lit(1))).scalar() / folds)
+    """Contiguous folds of equal size in order of the unique number; the remainder is dropped.
+
+    Only the numbers are put in order; a row finds its fold among the first numbers of the folds, without a shuffle.
+    """
+    order = in_ranges(table, number, F.lit(1))
+    size = order.total() // folds
+    firsts = order.offsets("_pos").where((F.col("_pos") % max(size, 1) == 0) & (F.col("_pos") <= size * folds)).agg(F.array_sort(F.collect_list(number)))
+    fold = F.size(F.filter(F.col("_firsts"), lambda first: first <= F.col(number))) - 1
     return (
-        placed.withColumn("fold", F.floor(F.col("_pos") / size))
-        .where(F.col("fold") < folds)
+        table.withColumn("_firsts", firsts.scalar())
+        .withColumn("fold", fold.cast("bigint"))
+        .where((F.col("fold") < folds) & F.lit(size > 0))
         .withColumn("role", F.when(F.col("fold") == validation, "valid").otherwise("train"))
-        .drop("_pos")
+        .drop("_firsts")
     )
 
 
@@ -100,11 +107,16 @@ def assign_folds(table: DataFrame, number: str, folds: int, validation: int) ->
 # and cuts the windows it holds itself.
 
 
-def corpus(table: DataFrame, number: str = "doc_id", text: str = "text") -> DataFrame:
-    """Texts with their place in the corpus: (number, text, chars, offset, total)."""
-    sized = table.select(number, F.col(text).alias("text"), F.length(text).cast("bigint").alias("chars"))
-    total = sized.agg(F.sum("chars")).scalar()
-    return with_offset(sized, number, "chars", bits=8).where(F.col("chars") > 0).withColumn("total", total)
+def corpus(table: DataFrame, number: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, int]:
+    """Texts with their place in the corpus (number, text, chars, offset, total); the same without the texts; the size of the corpus.
+
+    The texts are dealt by number once, for all that is cut from them.
+    """
+    order = in_ranges(table, number, F.length(text))
+    total = order.total()
+    places = order.offsets("offset", "chars").where("chars > 0").withColumn("total", F.lit(total).cast("bigint"))
+    places = materialise(places, "places")
+    return table.select(number, F.col(text).alias("text")).repartition(number).join(places, number), places, total
 
 
 def _lane_parts(texts: DataFrame, steps: int, lanes: int) -> DataFrame:
@@ -185,26 +197,24 @@ def random_windows(table: DataFrame, steps: int, batch_size: int, seed: int, num
 
     (batch, slot, x, y); windows beyond the last full batch are left out.
     """
-    texts = corpus(table.select(number, "text"), number)
-    examples = corpus_windows(texts, steps, 1)
+    texts, places, total = corpus(table.select(number, "text"), number)
     # window ids follow from offsets alone: each belongs to the text its first character is in
     last = F.least(F.floor((F.col("offset") + F.col("chars") - 1) / steps), F.floor((F.col("total") - 1) / steps) - 1)
     from_, to = F.ceil(F.col("offset") / steps), last
-    ids = texts.where(to >= from_).select(F.explode(F.sequence(from_, to)).alias("step"))
-    ranked = with_shuffled_rank(examples, "step", seed, keys=ids)
-    total = table.agg(F.sum(F.length("text"))).scalar()
-    batches = F.floor(F.floor((total - 1) / steps) / batch_size)
+    ids = places.where(to >= from_).select(F.explode(F.sequence(from_, to)).alias("step"))
+    count = max(total - 1, 0) // steps
+    ranked = with_shuffled_rank(corpus_windows(texts, steps, 1), "step", seed, keys=ids, rows=count)
     return _targets(
         ranked.withColumn("batch", F.floor(F.col("rank") / batch_size))
         .withColumn("slot", F.col("rank") % batch_size)
-        .where(F.col("batch") < batches),
+        .where(F.col("batch") < count // batch_size),
         steps, "batch", "slot",
     )
 
 
 def consecutive_windows(table: DataFrame, steps: int, lanes: int, number: str = "doc_id") -> DataFrame:
     """Windows of ``lanes`` parallel lanes of the corpus, step after step: (step, lane, x, y)."""
-    return _targets(corpus_windows(corpus(table, number), steps, lanes), steps, "step", "lane")
+    return _targets(corpus_windows(corpus(table, number)[0], steps, lanes), steps, "step", "lane")
 
 
 def encode_chars(table: DataFrame, number: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,74 +1,82 @@
-"""Exact running totals and positions over a whole table, without gathering it in one task."""
+"""Exact running totals and positions over a whole table, without gathering it in one task.
+
+Only keys and weights are put in order: dealt into ranges by sampled bounds, so the ranges are of even size however sparse or crowded the keys
+are, and stored, so that a task run again finds the same ranges.  Each range's total is one row; a scan of these few rows gives what lies before a
+range, a window inside the range does the rest.  The table itself moves once, when the answer is joined to it by key, or not at all
+where Spark finds the answer small enough to send around.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BITS = 16
+from tidemark.session import materialise
 
+#: Rows of one bucket of a random order, about.
+BUCKET_ROWS = 1 << 13
 
-def _starts(rows: DataFrame, levels: list[str], weight: str, start: str) -> DataFrame:
-    """Sum of ``weight`` before each group of the finest of ``levels`` (finest first, each decided by the one before).
 
-    Totals go up level by level and offsets come down again, so a window holds the children of one group; only the groups of the coarsest
-    level, few by construction, are read in one ordered pass.
-    """
-    before = (Window.unboundedPreceding, -1)
-    totals = [rows.groupBy(*levels).agg(F.sum(weight).alias("_t"))]
-    for k in range(1, len(levels)):
-        totals.append(totals[-1].groupBy(*levels[k:]).agg(F.sum("_t").alias("_t")))
-    top = levels[-1]
-    offsets = totals[-1].select(top, F.coalesce(F.sum("_t").over(Window.orderBy(top).rowsBetween(*before)), F.lit(0)).alias(start))
-    for k in range(len(levels) - 2, -1, -1):
-        inner = F.sum("_t").over(Window.partitionBy(levels[k + 1]).orderBy(levels[k]).rowsBetween(*before))
-        offsets = totals[k].join(offsets, levels[k + 1]).select(*levels[k:k + 1], (F.col(start) + F.coalesce(inner, F.lit(0))).alias(start))
-    return offsets
-
-
-def with_offset(table: DataFrame, key: str, weight: Column | str, name: str = "offset", bits: int = BITS) -> DataFrame:
-    """Adds the sum of ``weight`` over all rows with a smaller ``key`` (a unique whole number of up to 64 bits).
-
-    Key ranges of 2^bits keys carry the totals, ranges of ranges above them up to the full width of a key, so the coarsest level is small
-    however sparse the keys are.  Ranges are cut by key value, so a task run again after a loss finds the same ranges.
+@dataclass(frozen=True)
+class Ranges:
+    """Stored rows (key, _w, _range): the number of a range ascends with the key, a key stands in one range."""
+
+    rows: DataFrame
+    key: str
+
+    def total(self) -> int:
+        return self.rows.agg(F.coalesce(F.sum("_w"), F.lit(0))).first()[0]
+
+    def offsets(self, name: str, weight: str = "_w") -> DataFrame:
+        """(key, name, weight): the sum of the weights of all smaller keys, and the key's own."""
+        before = (Window.unboundedPreceding, -1)
+        totals = self.rows.groupBy("_range").agg(F.sum("_w").alias("_t"))
+        starts = totals.select("_range", F.coalesce(F.sum("_t").over(Window.orderBy("_range").rowsBetween(*before)), F.lit(0)).alias("_start"))
+        inside = F.sum("_w").over(Window.partitionBy("_range").orderBy(self.key).rowsBetween(*before))
+        # one row per shuffle partition
+        placed = self.rows.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(starts), "_range")
+        return placed.select(self.key, (F.col("_start") + F.col("_inside")).cast("bigint").alias(name), F.col("_w").alias(weight))
+
+
+def in_ranges(table: DataFrame, key: str, weight: Column) -> Ranges:
+    """Keys (unique) and weights of a table, dealt by sampled bounds and stored.
+
+    They are stored once before, too, so that drawing the sample does not read the table a second time.
     """
+    slim = materialise(table.select(key, F.coalesce(weight.cast("bigint"), F.lit(0)).alias("_w")), "keys")
+    return Ranges(materialise(slim.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranges"), key)
+
+
+def with_offset(table: DataFrame, key: str, weight: Column | str, name: str = "offset") -> DataFrame:
+    """Adds the sum of ``weight`` over all rows with a smaller ``key`` (unique)."""
     amount = F.expr(weight) if isinstance(weight, str) else weight
-    shifts = range(bits, 64, bits)
-    levels = [f"_b{i}" for i in range(1, len(shifts) + 1)]
-    key_long = F.col(key).cast("bigint")
-    rows = table.withColumns({"_w": amount.cast("bigint")} | {b: F.shiftright(key_long, s) for b, s in zip(levels, shifts)})
-    own = F.sum("_w").over(Window.partitionBy("_b1").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        rows.drop(*levels[1:])
-        .join(_starts(rows, levels, "_w", "_o1"), "_b1")
-        .withColumn(name, (F.col("_o1") + F.coalesce(own, F.lit(0))).cast("bigint"))
-        .drop("_w", "_b1", "_o1")
-    )
-
-
-def with_position(table: DataFrame, key: str, name: str = "position", bits: int = BITS) -> DataFrame:
-    """Adds the position, from 0, in ascending order of a unique whole-number key."""
-    return with_offset(table, key, F.lit(1), name, bits)
-
-
-def with_shuffled_rank(
-    table: DataFrame, key: str, seed: int, name: str = "rank", keys: DataFrame | None = None
-) -> DataFrame:
+    return table.join(in_ranges(table, key, amount).offsets(name).drop("_w"), key)
+
+
+def with_position(table: DataFrame, key: str, name: str = "position") -> DataFrame:
+    """Adds the position, from 0, in ascending order of a unique key."""
+    return with_offset(table, key, F.lit(1), name)
+
+
+def with_shuffled_rank(table: DataFrame, key: str, seed: int, name: str = "rank", keys: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """Adds the position of each row in a seeded random order.
 
-    The order is that of a digest of seed and key.  Its first eight hex digits cut even buckets, a few hundred rows each at 10^12 rows; its
-    first four cut 65,536 groups of these.  ``keys`` may hold the same keys in a form that is cheaper to read than the table.
+    The order is that of a digest of seed and key.  Its first 32 bits cut even buckets of some ``BUCKET_ROWS`` rows; the table is dealt by bucket once
+    and numbered inside.  ``keys`` may hold the same keys in a form that is cheaper to read than the table, ``rows`` their number.
     """
+    slim = (table if keys is None else keys).select(key)
+    n = slim.count() if rows is None else rows
+    buckets = min(max(1, -(-n // BUCKET_ROWS)), (1 << 31) - 1)
 
     def bucketed(df: DataFrame) -> DataFrame:
         digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-        return df.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, 8))
+        df = df.withColumn("_digest", digest)
+        return df.withColumn("_bucket", F.shiftright(F.conv(F.substring("_digest", 1, 8), 16, 10).cast("bigint") * buckets, 32))
 
-    rows = bucketed(table)
-    counts = bucketed(table if keys is None else keys).select("_bucket", F.substring("_bucket", 1, 4).alias("_group"), F.lit(1).alias("_w"))
+    counts = bucketed(slim).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    starts = in_ranges(counts, "_bucket", F.col("_n")).offsets("_first")
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", key)) - 1
-    return (
-        rows.join(_starts(counts, ["_bucket", "_group"], "_w", "_start"), "_bucket")
-        .withColumn(name, (F.col("_start") + inside).cast("bigint"))
-        .drop("_digest", "_bucket", "_start")
-    )
+    placed = bucketed(table).withColumn("_inside", inside).join(starts, "_bucket")
+    return placed.withColumn(name, (F.col("_first") + F.col("_inside")).cast("bigint")).drop("_digest", "_bucket", "_first", "_inside", "_w")
