@@ -65,6 +65,39 @@ def turns_ahead(series: Column, term: int) -> Column:
     return let(_lowest_first(series), lambda lows: let(_highest_first(series), lambda highs: search(lows, highs)))
 
 
+def steps_of(turns: Column, term: int, rows: Column, first: Column) -> Column:
+    """(at, turn, next, whole) per row of a piece that begins at row ``first`` of a series of ``rows``.
+
+    ``next`` is where the search goes on, behind the window where all its rows are equal; it is ``whole`` if the series goes on behind the window.
+    """
+
+    def step(turn: Column, i: Column) -> Column:
+        flat = turn == i
+        return F.struct(
+            i.alias("at"), turn.alias("turn"), F.when(flat, i + term).otherwise(turn).alias("next"), flat.alias("flat"), (first + i + term < rows).alias("whole"),
+        )
+
+    return F.transform(turns, step)
+
+
+def followed(steps: Column, entry: Column) -> Column:
+    """Numbers of the points met from ``entry`` on; one in front of equal rows moves behind them and is not kept."""
+    start = F.struct(entry.cast("int").alias("next"), _empty("int").alias("seen"))
+
+    def step(acc: Column, x: Column) -> Column:
+        seen = F.when(x["whole"] & x["flat"], acc["seen"]).otherwise(F.concat(acc["seen"], F.array(x["at"])))
+        return F.when(x["at"] != acc["next"], acc).otherwise(F.struct(F.when(x["whole"], x["next"]).otherwise(-1).alias("next"), seen.alias("seen")))
+
+    return F.aggregate(steps, start, step, lambda acc: acc["seen"])
+
+
+def closed(seen: Column, turns: Column, last: Column) -> Column:
+    """Points of a series that ends with row ``last``: the search from the last point takes what rows there are, and the last row is a point."""
+    end = lambda p: F.get(p, F.size(p) - 1)
+    with_turn = let(F.get(turns, end(seen)), lambda t: F.when(t == end(seen), seen).otherwise(F.concat(seen, F.array(t))))
+    return let(with_turn, lambda p: F.when(end(p) == last, p).otherwise(F.concat(p, F.array(last))))
+
+
 def turning_points(series: Column, term: int) -> Column:
     """Point list of the turns from the first row on, closed by the last row.
 
@@ -74,21 +107,7 @@ def turning_points(series: Column, term: int) -> Column:
 
     def path(turns: Column) -> Column:
         n = F.size(turns)
-        steps = F.transform(turns, lambda t, i: F.struct(i.alias("at"), t.alias("turn"), (i + term < n).alias("whole")))
-        start = F.struct(F.lit(0).alias("next"), _empty("int").alias("seen"))
-
-        def step(acc: Column, x: Column) -> Column:
-            seen = F.concat(acc["seen"], F.array(x["at"]))
-            flat = F.struct((x["at"] + term).alias("next"), acc["seen"].alias("seen"))
-            turned = F.struct(F.when(x["whole"], x["turn"]).otherwise(-1).alias("next"), seen.alias("seen"))
-            return F.when(x["at"] != acc["next"], acc).when(x["whole"] & (x["turn"] == x["at"]), flat).otherwise(turned)
-
-        def closed(seen: Column) -> Column:
-            # the search from the last point ends with the series
-            with_turn = let(F.get(turns, F.element_at(seen, -1)), lambda t: F.when(t == F.element_at(seen, -1), seen).otherwise(F.concat(seen, F.array(t))))
-            return let(with_turn, lambda p: F.when(F.element_at(p, -1) == n - 1, p).otherwise(F.concat(p, F.array(n - 1))))
-
-        return let(F.aggregate(steps, start, step, lambda acc: acc["seen"]), closed)
+        return let(followed(steps_of(turns, term, n, F.lit(0)), F.lit(0)), lambda seen: closed(seen, turns, n - 1))
 
     def points(at: Column) -> Column:
         def point(i: Column, k: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import long_series as L
 from tidemark.operators import pivots as P
 from tidemark.operators import series as S
 from tidemark.plans import trend_job
@@ -184,3 +185,37 @@ def _long_trend_fix(c):
     SELECT * FROM found""")
 def _index_trend_report(c):
     return present(trend_job.trend_report(c.price_listed(), as_of="2001-08-01"))
+
+
+# ---- one series of all ticks -------------------------------------------------------------
+
+define("pxt", """
+    SELECT 'all' AS code, ts AS trade_date, event_id, CAST(close * 100 AS BIGINT) AS cents, row_number() OVER (ORDER BY ts, event_id) - 1 AS record_id
+    FROM ticks""")
+_define_minor("xt", "pxt")
+define("tick_sums", "SELECT *, CAST(sum(cents) OVER (ORDER BY record_id) AS BIGINT) AS run FROM pxt")
+
+
+def _one_series(c):
+    return c.ticks().withColumn("code", F.lit("all"))
+
+
+@job("moving_averages_long", """
+    SELECT CAST(event_id AS BIGINT) AS event_id, CAST(record_id AS BIGINT) AS record_id, run / 100.0 AS running_sum,
+           CASE WHEN record_id < 30 THEN 0 ELSE (2 * (run - lag(run, 30) OVER w) + 30) // 60 END / 100.0 AS short_ma,
+           CASE WHEN record_id < 250 THEN 0 ELSE (2 * (run - lag(run, 250) OVER w) + 250) // 500 END / 100.0 AS long_ma
+    FROM tick_sums WINDOW w AS (ORDER BY record_id)""")
+def _moving_averages_long(c):
+    """Running sum and averages of a series that holds all rows of the table."""
+    df = L.moving_averages(_one_series(c), {"short_ma": 30, "long_ma": 250}, ["ts", "event_id"])
+    return present(df, "event_id", "record_id", "running_sum", "short_ma", "long_ma")
+
+
+@job("pivots_long", """
+    WITH RECURSIVE found AS (
+      SELECT seq AS pivot_seq, at_ AS record_id, cents / 100.0 AS close, CAST(ascending AS BIGINT) AS ascending FROM xt_points)
+    SELECT * FROM found""")
+def _pivots_long(c):
+    """Turning points of a series that holds all rows of the table."""
+    df = L.find_pivots(_one_series(c), TERM, ["ts", "event_id"])
+    return present(df.withColumn("ascending", F.col("ascending").cast("bigint")), "pivot_seq", "record_id", "close", "ascending")
