@@ -213,3 +213,61 @@ def test_no_private_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared_dir(Session(), "x")
+
+
+def test_batches_are_merged_and_may_run_again(spark, tmp_path):
+    from tidemark.streaming import folders as D
+
+    root = str(tmp_path / "store")
+    I.seed_store(spark.createDataFrame([tick("a", 1, 0, 0, 0.0)], TICK), root, "code", "ts")
+    write = I.append_batch(root, "code", "ts", "event_id", every=3)
+    for n in range(20):
+        batch = spark.createDataFrame([tick("a", n + 2, 1, n + 1, 1.0), tick("b", n + 2, 1, 100 + n, 1.0)], TICK)
+        write(batch, n)
+        if n % 4 == 0:
+            write(batch, n)  # run again after a failure
+        assert sorted(r[0] for r in I.read_store(spark, root).select("event_id").collect()) == [*range(n + 2), *range(100, 101 + n)]
+    names = sorted(p.name for p in (tmp_path / "store" / "rows").iterdir() if p.is_dir())
+    assert names == ["batch=0-8", "batch=18", "batch=19", "batch=9-17", "batch=seed"]
+    assert len([p for p in (tmp_path / "store" / "marks").iterdir() if p.is_dir()]) == 2
+    # a wider folder counts once it is finished, whatever narrower ones still lie there
+    spark.read.parquet(f"{root}/rows/batch=0-8").write.parquet(f"{root}/rows/batch=4")
+    (tmp_path / "store" / "rows" / "batch=0-17").mkdir()
+    assert I.read_store(spark, root).count() == 41
+    assert D.covering(["batch=0", "batch=1", "batch=0-1", "batch=2", "batch=seed", "other", "batch=x"]) == ["batch=seed", "batch=0-1", "batch=2"]
+
+
+def test_keyed_rewrite_leaves_other_partitions(spark, tmp_path):
+    root = str(tmp_path / "table")
+    stored = spark.createDataFrame([(f"c{i}", d, float(i), 0) for i in range(60) for d in (1, 2)], "code string, day int, close double, batch_no int")
+    batch = spark.createDataFrame([("c3", 2, 9.0, 1), ("c3", 5, 9.0, 1), ("new", 1, 9.0, 1)], stored.schema)
+    K.store_buckets(stored, root, "code", 16)
+
+    def files():
+        return {str(p): p.stat().st_mtime_ns for p in (tmp_path / "table" / "rows").rglob("*.parquet")}
+
+    before = files()
+    for _ in range(2):
+        K.upsert_buckets(spark, root, batch, 7, ["code", "day"], 16)
+    want = sorted(map(tuple, K.upsert_by_keyset(stored, batch, ["code", "day"], exact=True).collect()))
+    assert sorted(map(tuple, K.read_buckets(spark, root).collect())) == want
+    after = files()
+    touched = {r[0] for r in batch.select(K.bucket_of("code", 16)).collect()}
+    left = {p for p in before if not any(f"_bucket={b}/" in p for b in touched)}
+    assert left and all(after.get(p) == before[p] for p in left) and not set(after) & (set(before) - left)
+
+
+def test_keyed_rewrite_goes_on_from_its_stage(spark, tmp_path):
+    import shutil
+
+    root = str(tmp_path / "table")
+    stored = spark.createDataFrame([("a", 1), ("b", 1)], "code string, v int")
+    batch = spark.createDataFrame([("a", 2)], "code string, v int")
+    K.store_buckets(stored, root, "code", 4)
+    K.upsert_buckets(spark, root, batch, 1, ["code"], 4)
+    # as if the run had been cut off while it replaced the partition
+    bucket = batch.select(K.bucket_of("code", 4)).first()[0]
+    shutil.rmtree(f"{root}/applied")
+    shutil.rmtree(f"{root}/rows/_bucket={bucket}")
+    K.upsert_buckets(spark, root, batch, 1, ["code"], 4)
+    assert rows(K.read_buckets(spark, root), "code", "v") == [("a", 2), ("b", 1)]

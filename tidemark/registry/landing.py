@@ -15,10 +15,8 @@ define("stored_ticks", "SELECT * FROM ticks WHERE ts < TIMESTAMP '2024-01-20 00:
 define("batch_ticks", "SELECT * FROM ticks WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'")
 define("stored_price", "SELECT code, CAST(trade_date AS VARCHAR) AS trade_date, CAST(close AS DOUBLE) AS close, "
                        "0 AS batch_no FROM price WHERE trade_date < DATE '2024-01-20'")
-define("batch_price", """
-    SELECT CAST(user_id AS VARCHAR) AS code, CAST(CAST(ts AS DATE) AS VARCHAR) AS trade_date, value AS close, 1 AS batch_no
-    FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-15 00:00:00'
-    QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) = 1""")
+define("batch_price", "SELECT code, CAST(trade_date AS VARCHAR) AS trade_date, CAST(close AS DOUBLE) AS close, "
+                      "1 AS batch_no FROM price WHERE trade_date >= DATE '2024-01-15'")
 
 
 def stored_price(c):
@@ -26,9 +24,8 @@ def stored_price(c):
 
 
 def batch_price(c):
-    """Closing purchases of the overlapping second half of the month."""
-    bought = c.price("purchase")
-    return bought.where(F.col("trade_date") >= F.lit("2024-01-15").cast("date")).withColumn("batch_no", F.lit(1))
+    """Daily closes of all events of the overlapping second half of the month."""
+    return c.price().where(F.col("trade_date") >= F.lit("2024-01-15").cast("date")).withColumn("batch_no", F.lit(1))
 
 
 @job("scan_prices", """
@@ -196,6 +193,18 @@ def _upsert_exact(c):
     return present(K.upsert_by_keyset(stored_price(c), batch_price(c), ["code", "trade_date"], exact=True))
 
 
+@job("upsert_stored", """
+    SELECT code, trade_date, close, CAST(batch_no AS BIGINT) AS batch_no FROM stored_price s
+    WHERE NOT EXISTS (SELECT 1 FROM batch_price b WHERE b.code = s.code AND b.trade_date = s.trade_date)
+    UNION ALL SELECT code, trade_date, close, batch_no FROM batch_price""")
+def _upsert_stored(c):
+    """The exact upsert into a stored table, of which only the partitions with keys of the batch are written anew."""
+    root = shared_dir(c.spark, "price-buckets")
+    K.store_buckets(stored_price(c), root, "code", 16)
+    K.upsert_buckets(c.spark, root, batch_price(c), 0, ["code", "trade_date"], 16)
+    return present(K.read_buckets(c.spark, root))
+
+
 @job("incremental_append", """
     SELECT b.code, b.event_id, CAST(b.close AS DOUBLE) AS close FROM batch_ticks b
     LEFT JOIN (SELECT code, max(ts) AS mark FROM stored_ticks GROUP BY code) m ON m.code = b.code

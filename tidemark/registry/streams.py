@@ -40,6 +40,28 @@ def _incremental(c):
     return present(I.read_store(c.spark, root), "code", "event_id", "close")
 
 
+_DAYS = ("2024-01-15", "2024-01-17", "2024-01-20", "2024-01-21", "2024-01-24", "2024-01-26", "2024-01-29", "2024-02-02", "2100-01-01")
+
+
+@job("stream_batches", """
+    SELECT code, event_id, CAST(close AS DOUBLE) AS close FROM stored_ticks
+    UNION ALL
+    SELECT b.code, b.event_id, CAST(b.close AS DOUBLE) FROM batch_ticks b
+    LEFT JOIN (SELECT code, max(ts) AS mark FROM stored_ticks GROUP BY code) m ON m.code = b.code
+    WHERE mark IS NULL OR b.ts > mark""")
+def _batches(c):
+    """The feed in many batches, older ones merged: the ticks of a few days land as one file after the other."""
+    root, landed = shared_dir(c.spark, "tick-store"), shared_dir(c.spark, "landed-ticks")
+    ticks = c.ticks().withColumn("ts", F.col("ts").cast("timestamp"))
+    I.seed_store(ticks.where(F.col("ts") < F.lit("2024-01-20").cast("timestamp")), root, "code", "ts")
+    for since, until in zip(_DAYS, _DAYS[1:]):
+        part = ticks.where((F.col("ts") >= F.lit(since).cast("timestamp")) & (F.col("ts") < F.lit(until).cast("timestamp")))
+        part.coalesce(1).write.mode("append").parquet(landed)
+    arriving = c.spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    I.run_incremental(arriving, root, "code", "ts", "event_id", every=3).awaitTermination()
+    return present(I.read_store(c.spark, root), "code", "event_id", "close")
+
+
 @job("stream_moving_avg", """
     SELECT code, CAST(trade_date AS VARCHAR) AS trade_date, CAST(sum(total) OVER w AS DOUBLE) / CAST(sum(n) OVER w AS DOUBLE) AS average,
            CAST(sum(n) OVER w AS BIGINT) AS n

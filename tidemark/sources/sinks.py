@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.readers import existing_paths
+
 
 def upsert_by_keyset(stored: DataFrame, batch: DataFrame, keys: Sequence[str], exact: bool = False) -> DataFrame:
     """Stored rows without the batch's keys, plus the batch.
@@ -143,3 +145,37 @@ def write_version(table: DataFrame, root: str, version: int, partitions: Sequenc
     path = f"{root.rstrip('/')}/version={version:08d}"
     _writer(table, "overwrite", partitions).parquet(path)
     return path
+
+
+# ---- keyed rewrite -----------------------------------------------------------------------
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def store_buckets(table: DataFrame, root: str, key: str, buckets: int) -> None:
+    """Stores a table in ``buckets`` partitions by a digest of its key."""
+    replace_partitions(table.withColumn("_bucket", bucket_of(key, buckets)).hint("rebalance", "_bucket"), f"{root}/rows", ["_bucket"])
+
+
+def upsert_buckets(spark: SparkSession, root: str, batch: DataFrame, batch_id: int, keys: Sequence[str], buckets: int, exact: bool = True) -> None:
+    """``upsert_by_keyset`` into a table of ``store_buckets``; only partitions that the batch has keys of are read and written.
+
+    The first key tells the partition.  New partitions are staged before any old one is replaced, so a run that was cut off is completed from the stage
+    by running it again, and one that was completed does nothing.
+    """
+    staged, applied = f"{root}/staged/batch={batch_id}", f"{root}/applied/batch={batch_id}"
+    if existing_paths(spark, [f"{applied}/_SUCCESS"]):
+        return
+    if not existing_paths(spark, [f"{staged}/_SUCCESS"]):
+        batch = batch.withColumn("_bucket", bucket_of(keys[0], buckets))
+        touched = [r[0] for r in batch.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+        stored = spark.read.parquet(f"{root}/rows").where(F.col("_bucket").isin(touched))
+        upsert_by_keyset(stored, batch, keys, exact).write.mode("overwrite").parquet(staged)
+    replace_partitions(spark.read.parquet(staged).hint("rebalance", "_bucket"), f"{root}/rows", ["_bucket"])
+    spark.range(1).write.mode("overwrite").parquet(applied)
+
+
+def read_buckets(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/rows").drop("_bucket")

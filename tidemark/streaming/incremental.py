@@ -2,7 +2,8 @@
 
 Each micro-batch writes its own folder, ``rows/batch=N`` and ``marks/batch=N``, with overwrite.  A
 batch run again after a failure replaces exactly what it wrote before, and only the marks of the
-batch before it are read, so the cost of a batch does not grow with the table.
+batch before it are read, so the cost of a batch does not grow with the table.  Older row folders are
+merged, older marks deleted, once no batch can need them any more (see ``folders``).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.sources.readers import existing_paths
 from tidemark.sources.sinks import append_newer
+from tidemark.streaming import folders
 
 SEED = "seed"
 
@@ -30,7 +32,7 @@ def _marks_before(spark: SparkSession, root: str, batch_id: int) -> str:
     return f"{root}/marks/batch={name}"
 
 
-def append_batch(root: str, key: str, stamp: str, unique: str | None = None):
+def append_batch(root: str, key: str, stamp: str, unique: str | None = None, every: int = folders.EVERY):
     """``foreachBatch`` writer for the feed.
 
     Rows repeated within a batch are dropped here; one repeated in a later batch is not newer than the mark of its key.
@@ -53,12 +55,16 @@ def append_batch(root: str, key: str, stamp: str, unique: str | None = None):
         landed = spark.read.parquet(rows).groupBy(key).agg(F.max(stamp).alias(stamp))
         merged = landed if not known else spark.read.parquet(before).unionByName(landed).groupBy(key).agg(F.max(stamp).alias(stamp))
         merged.write.mode("overwrite").parquet(f"{root}/marks/batch={batch_id}")
+        # this batch may run again, with the marks of the one before; what is older is final
+        folders.merge(spark, f"{root}/rows", batch_id - 1, every)
+        folders.drop_before(spark, f"{root}/marks", batch_id - 1)
 
     return write
 
 
 def run_incremental(
-    feed: DataFrame, root: str, key: str, stamp: str, unique: str, delay: str | None = None, event_time: str | None = None
+    feed: DataFrame, root: str, key: str, stamp: str, unique: str, delay: str | None = None, event_time: str | None = None,
+    every: int = folders.EVERY,
 ) -> StreamingQuery:
     """Starts the feed.
 
@@ -69,7 +75,7 @@ def run_incremental(
     if delay is not None:
         clean = feed.withWatermark(event_time or stamp, delay).dropDuplicatesWithinWatermark([unique])
     return (
-        clean.writeStream.foreachBatch(append_batch(root, key, stamp, unique))
+        clean.writeStream.foreachBatch(append_batch(root, key, stamp, unique, every))
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()
@@ -77,5 +83,5 @@ def run_incremental(
 
 
 def read_store(spark: SparkSession, root: str) -> DataFrame:
-    """All stored rows; the folder name is a file column, not data."""
-    return spark.read.option("basePath", f"{root}/rows").parquet(f"{root}/rows").drop("batch")
+    """All stored rows."""
+    return folders.read(spark, f"{root}/rows")

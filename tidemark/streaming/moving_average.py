@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.streaming import folders
+
 
 def sliding_average(feed: DataFrame, span: str = "30 days", step: str = "1 day", delay: str = "1 day") -> DataFrame:
     """Average close per code over sliding time windows, for append sinks.
@@ -35,11 +37,18 @@ def daily_totals(feed: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
-def store_daily(feed: DataFrame, root: str, delay: str = "1 day") -> StreamingQuery:
-    """Keeps daily totals up to date; each micro-batch stores the days it changed."""
+def newest(rows: DataFrame) -> DataFrame:
+    """The row of the newest batch per code and day."""
+    picked = rows.groupBy("code", "trade_date").agg(F.max_by(F.struct("total", "n"), "seq").alias("_row"), F.max("seq").alias("seq"))
+    return picked.select("code", "trade_date", "_row.total", "_row.n", "seq")
+
+
+def store_daily(feed: DataFrame, root: str, delay: str = "1 day", every: int = folders.EVERY) -> StreamingQuery:
+    """Keeps daily totals up to date; each micro-batch stores the days it changed, older batches are merged to the newest rows."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/days/batch={batch_id}")
+        batch.withColumn("seq", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{root}/days/batch={batch_id}")
+        folders.merge(batch.sparkSession, f"{root}/days", batch_id - 1, every, newest)
 
     return (
         daily_totals(feed, delay)
@@ -53,10 +62,7 @@ def store_daily(feed: DataFrame, root: str, delay: str = "1 day") -> StreamingQu
 
 def current_days(spark: SparkSession, root: str) -> DataFrame:
     """Latest totals per code and day."""
-    stored = spark.read.option("basePath", f"{root}/days").parquet(f"{root}/days")
-    return stored.groupBy("code", "trade_date").agg(
-        F.max_by("total", "batch").alias("total"), F.max_by("n", "batch").alias("n")
-    )
+    return newest(folders.read(spark, f"{root}/days")).drop("seq")
 
 
 def moving_average(days: DataFrame, span_days: int) -> DataFrame:
