@@ -271,3 +271,36 @@ def test_keyed_rewrite_goes_on_from_its_stage(spark, tmp_path):
     shutil.rmtree(f"{root}/rows/_bucket={bucket}")
     K.upsert_buckets(spark, root, batch, 1, ["code"], 4)
     assert rows(K.read_buckets(spark, root), "code", "v") == [("a", 2), ("b", 1)]
+
+
+def test_row_averages_of_many_batches_equal_one(spark, tmp_path):
+    from decimal import Decimal
+
+    from tidemark.operators import series as S
+    from tidemark.streaming import row_average as B
+
+    schema = "code string, trade_date date, close decimal(18,4)"
+    closes = [(c, dt.date(2024, 1, 1) + dt.timedelta(days=i), Decimal(i * 37 % 101) / 4) for c in "ab" for i in range(40 if c == "a" else 7)]
+    late = [("a", dt.date(2024, 1, 3), Decimal(99))]
+    columns = ("code", "trade_date", "close", "record_id", "x", "y")
+    want = rows(S.moving_averages(spark.createDataFrame(closes, schema), {"x": 3, "y": 12}), *columns)
+    for name, cuts in (("one", [0, 40]), ("many", [0, 1, 2, 10, 11, 40])):
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = [r for r in closes if lo <= (r[1] - dt.date(2024, 1, 1)).days < hi] + (late if lo == 11 else [])
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+        B.store_averages(feed, f"{tmp_path}/store-{name}", {"x": 3, "y": 12}, every=2).awaitTermination()
+        assert rows(B.read_averages(spark, f"{tmp_path}/store-{name}"), *columns) == want
+
+
+def test_row_average_state_expires_in_the_time_of_the_feed(spark, tmp_path):
+    from tidemark.streaming import row_average as B
+
+    schema = "code string, trade_date date, close double"
+    for part in ([("a", dt.date(2024, 1, 1), 1.0)], [("b", dt.date(2024, 6, 1), 1.0)], [("b", dt.date(2024, 6, 2), 1.0)], [("a", dt.date(2024, 6, 3), 3.0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = B.row_averages(feed, {"x": 1}, ttl_days=30)
+    out.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert rows(got, "code", "record_id") == [("a", 0), ("a", 0), ("b", 0), ("b", 1)]

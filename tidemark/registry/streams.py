@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tidemark.registry import job
 from tidemark.registry.present import present
-from tidemark.session import shared_dir
+from tidemark.session import materialise, shared_dir
 from tidemark.streaming import incremental as I
 from tidemark.streaming import moving_average as A
+from tidemark.streaming import row_average as B
 
 
 def feed(c):
@@ -71,3 +72,18 @@ def _moving(c):
     root = shared_dir(c.spark, "tick-days")
     A.store_daily(feed(c), root).awaitTermination()
     return present(A.moving_average(A.current_days(c.spark, root), 7))
+
+
+@job("stream_row_average", """
+    SELECT code, CAST(trade_date AS VARCHAR) AS trade_date, CAST(record_id AS BIGINT) AS record_id, CAST(close AS DOUBLE) AS close,
+           short_c / 100.0 AS short_ma, median_c / 100.0 AS median_ma, long_c / 100.0 AS long_ma FROM avg_long""")
+def _row_average(c):
+    """Averages by rows on a feed: the daily closes of a year land as one file after the other."""
+    root, landed = shared_dir(c.spark, "row-averages"), shared_dir(c.spark, "landed-closes")
+    prices = materialise(c.price_long(), "closes")
+    years = prices.agg(F.min(F.year("trade_date")).alias("a"), F.max(F.year("trade_date")).alias("b")).first()
+    for year in range(years["a"], years["b"] + 1):
+        prices.where(F.year("trade_date") == year).coalesce(1).write.mode("append").parquet(landed)
+    arriving = c.spark.readStream.schema(prices.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    B.store_averages(arriving, root, {"short_ma": 30, "median_ma": 150, "long_ma": 250}, every=3).awaitTermination()
+    return present(B.read_averages(c.spark, root))
