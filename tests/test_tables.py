@@ -290,3 +290,19 @@ def test_texts_do_not_move_for_their_places(spark):
     plan = M.random_windows(df, 7, 4, seed=3)._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan, "ranges are stored tables"
     assert "SinglePartition" not in plan.split("Window")[0]
+
+
+def test_many_invalid_rows_merge_in_linear_time(spark):
+    import time
+
+    rows = [(1, 0, ["项目", "2015年"])] + [(1, i, ["", "None"]) for i in range(1, 50001)] + [(1, 50001, ["营业收入", "1"])]
+    df = spark.createDataFrame(rows, "doc_id long, row_idx long, cells array<string>")
+    start = time.time()
+    assert [r["cells"] for r in T.merge_headers(df, SPEC).orderBy("row_idx").collect()] == [["项目", "2015年"], ["营业收入", "1"]]
+    assert time.time() - start < 60
+
+
+def test_header_labels_over_several_columns(spark):
+    df = table(spark, ["项目", "本期", "金额", "上期金额"], ["a", "1", "None", "5"], ["b", "2", "3", "6"])
+    got = cells(T.merge_header_labels(df, ["项目", "本期金额", "上期金额"]))
+    assert got == [["项目", "本期金额", "上期金额"], ["a", "1", "5"], ["b", "23", "6"]]

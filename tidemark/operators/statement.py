@@ -20,7 +20,11 @@ from tidemark.functions import text as X
 
 @dataclass(frozen=True)
 class TableSpec:
-    """Configuration of one report table; ``discard`` holds label words to be found and dropped."""
+    """Configuration of one report table; ``discard`` holds label words to be found and dropped.
+
+    The last four switch steps on: ``second_header`` cuts what stands before the second header, ``header_labels`` are header texts broken over
+    several columns, ``sections`` are headings among the labels that become columns, ``known`` the numbered labels that stay.
+    """
 
     header_words: Sequence[str]
     header_pattern: str
@@ -28,6 +32,10 @@ class TableSpec:
     label_pattern: str = ""
     label_aliases: Mapping[str, str] = field(default_factory=dict)
     discard: Sequence[str] = ()
+    second_header: bool = False
+    header_labels: Sequence[str] = ()
+    sections: Sequence[str] = ()
+    known: Sequence[str] = ()
 
 
 def rows_from_nested(tables: DataFrame, table: str = "table") -> DataFrame:
@@ -134,7 +142,6 @@ def merge_headers(rows: DataFrame, spec: TableSpec) -> DataFrame:
     w = _doc()
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
     leads = is_header(cells, spec) & ~all_invalid(cells)
     df = rows.withColumn("_kind", _row_kind(cells, spec)).withColumn("_led", F.max(leads.cast("int")).over(upto))
     df = df.where(F.col("_led") == 1)
@@ -142,32 +149,29 @@ def merge_headers(rows: DataFrame, spec: TableSpec) -> DataFrame:
     df = df.withColumn("_before", F.last(valid, ignorenulls=True).over(before))
     starts = (F.col("_kind") == "B") | ((F.col("_kind") == "H") & ~F.col("_before").eqNullSafe(F.lit("H")))
     df = df.withColumn("_group", F.sum(starts.cast("int")).over(upto))
-    df = df.withColumn("_body_after", F.coalesce(F.max((F.col("_kind") == "B").cast("int")).over(after), F.lit(0)))
-    group = Window.partitionBy("doc_id", "_group").orderBy("row_idx")
-    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = df.withColumns(
-        {
-            "_head": F.first("_kind").over(group) == "H",
-            "_place": F.row_number().over(group),
-            "_rows": F.when(F.col("_kind") != "B", F.collect_list("cells").over(whole)),
-        }
-    )
-    collapse = F.col("_head") & (F.col("_body_after") == 1)
-    merged = fold_rows(F.col("_rows"))
-    return (
-        df.where(~collapse | (F.col("_place") == 1))
-        .withColumn("cells", F.when(collapse, merged).otherwise(cells))
-        .select(*rows.columns)
+    last_body = F.max(F.when(F.col("_kind") == "B", F.col("row_idx"))).over(Window.partitionBy("doc_id"))
+    df = df.withColumn("_body_after", F.coalesce(last_body > F.col("row_idx"), F.lit(False)))
+    df = df.withColumn("_head", F.first("_kind").over(Window.partitionBy("doc_id", "_group").orderBy("row_idx")) == "H")
+    collapse = F.col("_head") & F.col("_body_after")
+    others = [c for c in rows.columns if c not in ("doc_id", "row_idx", "cells")]
+    groups = df.where(collapse).groupBy("doc_id", "_group").agg(
+        F.sort_array(F.collect_list(F.struct("row_idx", "cells"))).alias("_list"), *[F.min_by(c, "row_idx").alias(c) for c in others]
     )
+    folded = groups.select("doc_id", F.col("_list")[0]["row_idx"].alias("row_idx"), _merged_cells(F.col("_list")).alias("cells"), *others)
+    return df.where(~collapse).select(*rows.columns).unionByName(folded.select(*rows.columns))
+
+
+def _merged_cells(listed: Column) -> Column:
+    """``fold_rows`` of an ordered list of (row_idx, cells)."""
+    return fold_rows(F.transform(listed, lambda r: r["cells"]))
 
 
 def fold_rows(listed: Column) -> Column:
-    """Rows of a list merged cell by cell, top down."""
-    return F.aggregate(
-        F.slice(listed, 2, F.greatest(F.size(listed) - 1, F.lit(0))),
-        F.element_at(listed, 1),
-        lambda acc, row: F.zip_with(acc, row, lambda a, b: X.merge_cells(a, b)),
-    )
+    """Rows of a list merged cell by cell, top down: valid cells of a column run together.  One row stays as it is."""
+    width = F.array_max(F.transform(listed, F.size))
+    column = lambda i: F.transform(listed, lambda row: F.get(row, i))
+    merged = F.transform(F.sequence(F.lit(0), width - 1), lambda i: X.merge_all(column(i)))
+    return F.when(F.size(listed) == 1, F.element_at(listed, 1)).otherwise(merged)
 
 
 def label_years(rows: DataFrame) -> DataFrame:
@@ -280,15 +284,12 @@ def merge_labels(rows: DataFrame, labels: Sequence[str], skip_first: bool = Fals
         "_group", F.sum(begins.cast("int")).over(by_row.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
     relabelled = F.concat(F.array("_label"), rest(F.col("cells")))
-    parts = F.sort_array(F.collect_list(F.struct("row_idx", relabelled.alias("cells"))))
-    merged = fold_rows(F.transform(parts, lambda s: s["cells"]))
-    return events.groupBy("doc_id", "_group").agg(F.min("row_idx").alias("row_idx"), merged.alias("cells")).select(
-        "doc_id", "row_idx", "cells"
-    )
+    groups = events.groupBy("doc_id", "_group").agg(F.sort_array(F.collect_list(F.struct("row_idx", relabelled.alias("cells")))).alias("_list"))
+    return groups.select("doc_id", F.col("_list")[0]["row_idx"].alias("row_idx"), _merged_cells(F.col("_list")).alias("cells"))
 
 
 def merge_header_labels(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Header labels broken over several columns become one: ``merge_labels`` on the transposed table."""
+    """Header labels broken over several columns become one: ``merge_labels`` on the transposed table.  Rows are numbered anew, from 0."""
     return transpose(merge_labels(transpose(rows), labels))
 
 
@@ -338,13 +339,13 @@ def keep_known_labels(rows: DataFrame, schema: DataFrame, label: str = "numbered
     return rows.join(schema.select(F.col("field").alias(label)), label, "left_semi")
 
 
-def section_columns(rows: DataFrame, headings: Sequence[str], label: str = "label") -> DataFrame:
+def section_columns(rows: DataFrame, headings: Sequence[str], label: str = "label", table: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Headings among row labels become columns.
 
     A row between two headings carries its label in the first heading's column and '' in the
-    others; heading rows go, except the first row of the table.
+    others; heading rows go, except the first row of the table.  ``table`` names the columns that tell tables apart.
     """
-    w = _doc()
+    w = Window.partitionBy(*table).orderBy("row_idx")
     is_heading = F.col(label).isin(*headings)
     section = F.last(F.when(is_heading, F.col(label)), ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -17,17 +17,24 @@ def usable(rows: DataFrame) -> DataFrame:
 
 
 def clean_statement(rows: DataFrame, spec: T.TableSpec, year: Column) -> DataFrame:
-    """(doc_id, row_idx, label, report_time, period, raw, value) of every table.
+    """(doc_id, row_idx, label, report_time, period, raw, value) of every table, and a column per section heading.
 
     ``year`` is the report year, an expression over ``doc_id``.
     """
+    rows = T.from_second_header(rows, spec) if spec.second_header else rows
     merged = T.drop_body_headers(T.label_years(T.merge_headers(T.preclean(rows, spec), spec)), spec)
+    if spec.header_labels:
+        merged = T.merge_header_labels(usable(merged), [*spec.header_words, *spec.header_labels])
     labelled = T.merge_labels(usable(merged), [*spec.labels, *spec.label_aliases, *spec.discard, *spec.header_words])
     facts = T.tidy(usable(labelled))
-    known = T.alias_labels(T.discard_labels(facts, spec.discard), spec.label_pattern, spec.label_aliases)
-    numbered = S.occurrence_suffix(known, ["doc_id", "period_idx"], "label", "row_idx")
+    named = T.alias_labels(T.discard_labels(facts, spec.discard), spec.label_pattern, spec.label_aliases)
+    if spec.sections:
+        named = T.section_columns(named, spec.sections, table=("doc_id", "period_idx"))
+    numbered = S.occurrence_suffix(named, ["doc_id", "period_idx"], "label", "row_idx")
+    if spec.known:
+        numbered = numbered.where(F.col("numbered").isin(*spec.known))
     cleaned = C.final_clean(F.col("value"))
     return T.with_period(numbered, year).select(
         "doc_id", "row_idx", F.col("numbered").alias("label"), "report_time", "period",
-        cleaned.alias("raw"), C.to_decimal(F.col("value")).alias("value"),
+        cleaned.alias("raw"), C.to_decimal(F.col("value")).alias("value"), *spec.sections,
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import series as S
@@ -190,41 +192,109 @@ define("st_rows", f"""
                  count(*) OVER (PARTITION BY c.doc_id) AS total, is_header
           FROM clean_cells c JOIN row_flags f USING (doc_id, row_idx))
     WHERE total > 2 AND (row_idx = 0 OR NOT is_header)""")
-define("st_starts", """
-    SELECT doc_id, list_sum(gaps[1:i]) + coalesce(list_sum(lens[1:i - 1]), 0) AS s
-    FROM (SELECT doc_id, list_transform(string_split_regex(t, r), lambda x: length(x)) AS gaps,
-                 list_transform(regexp_extract_all(t, r), lambda x: length(x)) AS lens
-          FROM (SELECT doc_id, string_agg(c0, '' ORDER BY row_idx) AS t,
-                       '净利润（元）|其中：研发|一、总资产|营业收入|负债合计|备注|项目' AS r FROM st_rows GROUP BY doc_id)),
-         LATERAL (SELECT unnest(range(1, len(lens) + 1)) AS i)""")
-define("st_groups", """
-    SELECT *, sum(CASE WHEN (opens AND NOT coalesce(opened, false)) OR coalesce(below > upto_prev, false) THEN 1 ELSE 0 END)
-                OVER (PARTITION BY doc_id ORDER BY row_idx) AS g
-    FROM (SELECT *, bool_or(opens) OVER (PARTITION BY doc_id, at_ ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened,
-                 lag(upto) OVER (PARTITION BY doc_id ORDER BY row_idx) AS upto_prev
-          FROM (SELECT r.*, hit AND (n > 0 OR (c1 <> 'None' AND c2 <> 'None')) AS opens, upto, below
-                FROM st_rows r JOIN (
-                  SELECT r.doc_id, r.row_idx, count(s) FILTER (s <= at_) AS upto, count(s) FILTER (s < at_) AS below,
-                         coalesce(bool_or(s = at_), false) AS hit
-                  FROM st_rows r LEFT JOIN st_starts l ON l.doc_id = r.doc_id GROUP BY 1, 2) x
-                  ON x.doc_id = r.doc_id AND x.row_idx = r.row_idx))""")
-define("st_merged", f"""
-    SELECT doc_id, min(row_idx) AS row_idx, string_agg(c0, '' ORDER BY row_idx) AS label,
-           CASE WHEN count(*) = 1 THEN any_value(c1) ELSE string_agg({_VALID.format('c1')}, '' ORDER BY row_idx) END AS v1,
-           CASE WHEN count(*) = 1 THEN any_value(c2) ELSE string_agg({_VALID.format('c2')}, '' ORDER BY row_idx) END AS v2
-    FROM st_groups GROUP BY doc_id, g""")
-define("st_facts", """
-    SELECT *, row_number() OVER (PARTITION BY doc_id, period, label ORDER BY row_idx) AS k FROM (
-      SELECT doc_id, row_idx, CASE l WHEN '净利润（元）' THEN '净利润' WHEN '一、总资产' THEN '总资产' ELSE l END AS label,
-             unnest(['2015年（调整后）', '2014年']) AS period, unnest([2015, 2014]) AS report_time, unnest([v1, v2]) AS v
-      FROM (SELECT *, nullif(regexp_extract(label, '[\\x{4E00}-\\x{9FA5}].*'), '') AS l, min(row_idx) OVER (PARTITION BY doc_id) AS f FROM st_merged)
-      WHERE row_idx > f AND l IS NOT NULL AND NOT contains(label, '备注'))""")
-
-
-@job("statement_clean", """
+
+def _define_statement(name: str, periods: list[str], values: list[str]) -> None:
+    """CTE ``{name}_facts`` from ``{name}_rows``: labels merged, named, one row per period; ``values`` are columns of ``{name}_merged``."""
+    define(f"{name}_starts", f"""
+        SELECT doc_id, list_sum(gaps[1:i]) + coalesce(list_sum(lens[1:i - 1]), 0) AS s
+        FROM (SELECT doc_id, list_transform(string_split_regex(t, r), lambda x: length(x)) AS gaps,
+                     list_transform(regexp_extract_all(t, r), lambda x: length(x)) AS lens
+              FROM (SELECT doc_id, string_agg(c0, '' ORDER BY row_idx) AS t,
+                           '净利润（元）|其中：研发|一、总资产|营业收入|负债合计|备注|项目' AS r FROM {name}_rows GROUP BY doc_id)),
+             LATERAL (SELECT unnest(range(1, len(lens) + 1)) AS i)""")
+    define(f"{name}_groups", f"""
+        SELECT *, sum(CASE WHEN (opens AND NOT coalesce(opened, false)) OR coalesce(below > upto_prev, false) THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY doc_id ORDER BY row_idx) AS g
+        FROM (SELECT *, bool_or(opens) OVER (PARTITION BY doc_id, at_ ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened,
+                     lag(upto) OVER (PARTITION BY doc_id ORDER BY row_idx) AS upto_prev
+              FROM (SELECT r.*, hit AND (n > 0 OR (c1 <> 'None' AND c2 <> 'None')) AS opens, upto, below
+                    FROM {name}_rows r JOIN (
+                      SELECT r.doc_id, r.row_idx, count(s) FILTER (s <= at_) AS upto, count(s) FILTER (s < at_) AS below,
+                             coalesce(bool_or(s = at_), false) AS hit
+                      FROM {name}_rows r LEFT JOIN {name}_starts l ON l.doc_id = r.doc_id GROUP BY 1, 2) x
+                      ON x.doc_id = r.doc_id AND x.row_idx = r.row_idx))""")
+    define(f"{name}_merged", f"""
+        SELECT doc_id, min(row_idx) AS row_idx, string_agg(c0, '' ORDER BY row_idx) AS label,
+               CASE WHEN count(*) = 1 THEN any_value(c1) ELSE string_agg({_VALID.format('c1')}, '' ORDER BY row_idx) END AS v1,
+               CASE WHEN count(*) = 1 THEN any_value(c2) ELSE string_agg({_VALID.format('c2')}, '' ORDER BY row_idx) END AS v2
+        FROM {name}_groups GROUP BY doc_id, g""")
+    years = [2015 - i for i in range(len(periods))]
+    define(f"{name}_named", f"""
+        SELECT doc_id, row_idx, CASE l WHEN '净利润（元）' THEN '净利润' WHEN '一、总资产' THEN '总资产' ELSE l END AS label,
+               unnest({periods}) AS period, unnest({years}) AS report_time, unnest([{', '.join(values)}]) AS v
+        FROM (SELECT *, nullif(regexp_extract(label, '[\\x{{4E00}}-\\x{{9FA5}}].*'), '') AS l, min(row_idx) OVER (PARTITION BY doc_id) AS f FROM {name}_merged)
+        WHERE row_idx > f AND l IS NOT NULL AND NOT contains(label, '备注')""")
+    define(f"{name}_facts", f"SELECT *, row_number() OVER (PARTITION BY doc_id, period, label ORDER BY row_idx) AS k FROM {name}_named")
+
+
+def _cleaned(facts: str, *more: str) -> str:
+    columns = "".join(f', "{c}"' for c in more)
+    return f"""
     SELECT doc_id, row_idx, CASE WHEN k > 1 THEN label || (k - 1) ELSE label END AS label, CAST(report_time AS BIGINT) AS report_time, period,
-           r AS raw, CAST(TRY_CAST(replace(r, ',', '') AS DECIMAL(38,4)) AS DOUBLE) AS value
+           r AS raw, CAST(TRY_CAST(replace(r, ',', '') AS DECIMAL(38,4)) AS DOUBLE) AS value{columns}
     FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(replace(v, 'None', ''), '/', ''), '（([0-9.,]+)）', '-\\1', 'g'),
-                                   '[（）]', '', 'g'), '.*-$', '') AS r FROM st_facts)""")
+                                   '[（）]', '', 'g'), '.*-$', '') AS r FROM {facts})"""
+
+
+_define_statement("st", ["2015年（调整后）", "2014年"], ["v1", "v2"])
+
+
+@job("statement_clean", _cleaned("st_facts"))
 def _statement(c):
     return present(clean_statement(c.report_rows(), SPEC, F.lit(2015)))
+
+
+define("sh_rows", """
+    SELECT doc_id, row_idx, c0, c1, c2, length(c0) AS n,
+           coalesce(sum(length(c0)) OVER (PARTITION BY doc_id ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_
+    FROM (SELECT c.doc_id, c.row_idx, c.c0, CASE WHEN row_idx = s THEN '2015年' ELSE replace(p1, ' ', '') END AS c1,
+                 CASE WHEN row_idx = s THEN '2014年' ELSE replace(p2, ' ', '') END AS c2, is_header, s,
+                 count(*) FILTER (row_idx = s OR NOT is_header) OVER (PARTITION BY c.doc_id) AS total
+          FROM clean_cells c JOIN row_flags f USING (doc_id, row_idx) JOIN (
+            SELECT doc_id, min(row_idx) AS s FROM (
+              SELECT *, bool_or(NOT is_header AND NOT all_invalid) OVER (PARTITION BY doc_id ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
+              FROM row_flags) WHERE is_header AND b GROUP BY doc_id) x USING (doc_id)
+          WHERE row_idx >= s)
+    WHERE total > 1 AND (row_idx = s OR NOT is_header)""")
+_define_statement("sh", ["2015年", "2014年"], ["v1", "v2"])
+
+
+@job("statement_second_header", _cleaned("sh_facts"))
+def _statement_second(c):
+    """The job on tables cut before their second header."""
+    return present(clean_statement(c.report_rows(), replace(SPEC, second_header=True), F.lit(2015)))
+
+
+KNOWN = ("净利润", "净利润1", "总资产", "营业收入", "营业收入2", "其中：研发")
+
+
+@job("statement_known", f"SELECT * FROM ({_cleaned('st_facts')}) WHERE label IN {KNOWN}")
+def _statement_known(c):
+    """The job with a list of the numbered labels that stay."""
+    return present(clean_statement(c.report_rows(), replace(SPEC, known=KNOWN), F.lit(2015)))
+
+
+define("st_sections", """
+    SELECT *, CASE WHEN s = '总资产' THEN label ELSE '' END AS "总资产", CASE WHEN s = '净利润' THEN label ELSE '' END AS "净利润",
+           row_number() OVER (PARTITION BY doc_id, period, label ORDER BY row_idx) AS k
+    FROM (SELECT *, last_value(h IGNORE NULLS) OVER w AS s, lag(row_idx) OVER w AS before
+          FROM (SELECT *, CASE WHEN label IN ('总资产', '净利润') THEN label END AS h FROM st_named) WINDOW w AS (PARTITION BY doc_id, period ORDER BY row_idx))
+    WHERE h IS NULL OR before IS NULL""")
+
+
+@job("statement_sections", _cleaned("st_sections", "总资产", "净利润"))
+def _statement_sections(c):
+    """The job with headings among the labels that become columns."""
+    return present(clean_statement(c.report_rows(), replace(SPEC, sections=("总资产", "净利润")), F.lit(2015)))
+
+
+define("sw_rows", f"""
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY row_idx) - 1 AS row_idx, c0,
+           {_VALID.format('c1')} || {_VALID.format('c2')} AS c1, '' AS c2, n, at_ FROM st_rows""")
+_define_statement("sw", ["2015年（调整后）2014年"], ["v1"])
+
+
+@job("statement_wide_header", _cleaned("sw_facts"))
+def _statement_wide(c):
+    """The job with a header text broken over two columns, found on the transposed table."""
+    return present(clean_statement(c.report_rows(), replace(SPEC, header_labels=["2015年（调整后）2014年"]), F.lit(2015)))
