@@ -144,6 +144,32 @@ def test_page_snippets(spark):
     assert tuple(K.reference_pairs(page).first()) == (1, "603027", "千禾味业")
 
 
+def test_units_behind_numbers_dashes_and_companies(spark):
+    page = lines(
+        spark, "研发支出总额46,982.65万元", "在职员工的数量合计（人） 2731", "在职员工的数量合计 -", "在职员工的数量合计 21,056",
+        "编制单位：深圳华侨城股份有限公司", "研发投入金额（元） 8,555,951,000.00", "公司办公地址 中国安徽省芜湖市文化路39号",
+    )
+    words = {
+        "研发支出总额": ("spent", "number"), "在职员工的数量合计": ("staff", "number"), "编制单位：": ("company", "company"),
+        "研发投入金额": ("research", "number"), "公司办公地址": ("office", "place"),
+    }
+    hits = {(r["fact"], r["value"], r["unit"]) for r in K.keyword_hits(page, words).collect()}
+    assert ("spent", "46,982.65", "万元") in hits and ("research", "8,555,951,000.00", "元") in hits and ("staff", "", None) in hits
+    facts = {r["fact"]: r["value"] for r in K.settle_facts(K.keyword_hits(page, words)).collect()}
+    assert facts == {
+        "spent": "46,982.65", "staff": "21,056", "company": "深圳华侨城股份有限公司", "research": "8,555,951,000.00", "office": "中国安徽省芜湖市",
+    }
+
+
+@pytest.mark.parametrize("text, want", [
+    ("公司代码：603027 公司简称：千禾味业", ("603027", "千禾味业")), ("股票简称 亿纬锂能 股票代码 300014", ("300014", "亿纬锂能")),
+    ("股票代码 600801 900933 股票简称 华新水泥 华新B股", ("600801", "华新水泥")), ("公司代码：603027", None), ("--现金 --非现金资产的公允价值", None),
+])
+def test_reference_forms(spark, text, want):
+    got = K.reference_pairs(lines(spark, text)).first()
+    assert (None if got is None else (got["code"], got["name"])) == want
+
+
 def test_title_and_unit(spark):
     page = lines(spark, "千千禾味业股份有限公司 二〇一九 年 年度报告", "单位：万元 币种：人民币", "x", "单位：元")
     title = K.title_facts(page).first()

@@ -190,6 +190,12 @@ def test_links_in_any_spelling(spark):
     assert [(r["href"], r["label"]) for r in got] == [("/a", "one two"), ("/b", "c"), ("/d", "e\nf")]
 
 
+def test_links_with_brackets_in_quoted_attributes(spark):
+    html = "<a title='a > b' href=\"/x\">one</a><a data-x=\"</a>\" href='/y?q=>'>two</a>"
+    got = R.page_links(spark.createDataFrame([(1, html)], "page_id long, html string"), "^/").collect()
+    assert [(r["href"], r["label"]) for r in got] == [("/x", "one"), ("/y?q=>", "two")]
+
+
 def test_a_lagging_key_keeps_its_rows_and_marks_must_be_there(spark, tmp_path):
     root = str(tmp_path / "store")
     schema = "code string, ts timestamp, event_id long"

@@ -15,6 +15,7 @@ from tidemark.functions import text as X
 NUMBER = "[0-9][0-9,]*(?:[.][0-9]{1,4})?"
 UNIT = "[（(]?(元|千元|万元|百万元|千万元|亿元)[）)]?"
 COMPANY = "[\\u4E00-\\u9FA5]+[0-9A-Z]*[\\u4E00-\\u9FA5]*(?:股份有限公司|有限责任公司)"
+UNIT_AFTER = "(元|千元|万元|百万元|千万元|亿元)"
 PLACE = "[\\u4E00-\\u9FA5]+?(?:省|市|自治区)(?:[\\u4E00-\\u9FA5]+?市)?"
 
 
@@ -146,6 +147,19 @@ def stitch_pages(pages: DataFrame) -> DataFrame:
     return df.withColumn("_last", last).where(F.col("_island") == F.col("_last")).select("doc_id", "page", "score", "ended")
 
 
+def stitched_rows(pages: DataFrame, rows: DataFrame) -> DataFrame:
+    """The table of each document: rows of the fragments picked on the pages that make it up, run together.
+
+    ``rows`` are (doc_id, page, frag, row_idx, cells); the result is (doc_id, row_idx, page, cells), rows numbered anew.  A document's table is bounded by
+    its text.
+    """
+    chosen = stitch_pages(pages).join(pages.select("doc_id", "page", "picked"), ["doc_id", "page"])
+    parts = chosen.select("doc_id", "page", F.explode("picked").alias("frag"))
+    found = rows.join(parts, ["doc_id", "page", "frag"])
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "frag", "row_idx")) - 1
+    return found.select("doc_id", place.cast("bigint").alias("row_idx"), "page", "cells")
+
+
 def drop_long_edges(rows: DataFrame, keys: Sequence[str], longest: int, slack: int) -> DataFrame:
     """First and last row of a fragment whose label is longer than any known one, plus slack."""
     w = Window.partitionBy(*keys)
@@ -167,14 +181,16 @@ def _named(fact: str):
 def keyword_hits(lines: DataFrame, keywords: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Every hit of every keyword: (doc_id, page, pos, ord, fact, value, unit).
 
-    ``keywords`` maps a keyword to (fact, kind of value).  The list is short configuration; each
-    line is read once and only hits leave the projection.
+    ``keywords`` maps a keyword to (fact, kind of value).  A unit may stand before a number or after it; a dash in place of the value
+    is a hit without one.  The list is short configuration; each line is read once and only hits leave the projection.
     """
     found = []
     for keyword, (fact, kind) in keywords.items():
-        pattern = f"\\Q{keyword}\\E(?:{UNIT})?\\s*({VALUE_PATTERNS[kind]})"
+        after = f"(?:\\s*{UNIT_AFTER})?" if kind == "number" else "()"
+        pattern = f"\\Q{keyword}\\E(?:{UNIT})?\\s*(?:({VALUE_PATTERNS[kind]}){after}|[-－—])"
         values = F.regexp_extract_all("text", F.lit(pattern), F.lit(2))
-        units = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
+        before, behind = (F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in (1, 3))
+        units = F.zip_with(before, behind, lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b))
         found.append(F.transform(F.arrays_zip(values.alias("value"), units.alias("unit")), _named(fact)))
     hits = lines.select("doc_id", "page", "pos", F.posexplode(F.concat(*found)).alias("ord", "h"))
     return hits.select("doc_id", "page", "pos", "ord", "h.fact", "h.value", F.nullif(F.col("h.unit"), F.lit("")).alias("unit"))
@@ -183,6 +199,7 @@ def keyword_hits(lines: DataFrame, keywords: Mapping[str, tuple[str, str]]) -> D
 def settle_facts(hits: DataFrame, unit_overrides: bool = False) -> DataFrame:
     """One value per fact: the first hit; with ``unit_overrides``, the last hit qualified by a unit, else the first hit."""
     place = F.struct("page", "pos", "ord")
+    hits = hits.where(F.col("value") != "")  # a dash leaves the fact open
     if not unit_overrides:
         return hits.groupBy("doc_id", "fact").agg(F.min_by("value", place).alias("value"))
     qualified = F.col("unit").isNotNull()
@@ -200,13 +217,19 @@ def invalidate_before(hits: DataFrame, tables: DataFrame, facts: Sequence[str])
     return known.where(~stale).drop("table_pos")
 
 
+# The words before a company's code and before its short name.
+CODE_WORDS, NAME_WORDS = "(?:公司代码|股票代码|证券代码)[：:]?", "(?:公司简称|股票简称|证券简称)[：:]?"
+
+
 def reference_pairs(lines: DataFrame) -> DataFrame:
-    """First ``公司代码：x 公司简称：y`` of each document."""
-    pattern = "公司代码：\\s*([0-9]+)\\s+公司简称：\\s*(\\S+)"
-    hit = lines.select(
-        "doc_id", "page", "pos", N.first_match(pattern, F.col("text"), 1).alias("code"),
-        N.first_match(pattern, F.col("text"), 2).alias("name"),
-    ).where(F.col("code").isNotNull())
+    """First code and short name of each document: ``公司代码：x 公司简称：y``, the two in the other order, or two codes and then two names, of which
+    the first of each count."""
+    text = F.col("text")
+    forward = f"{CODE_WORDS}\\s*([0-9]+)(?:\\s+[0-9]+)?\\s+{NAME_WORDS}\\s*(\\S+)"
+    backward = f"{NAME_WORDS}\\s*(\\S+)\\s+{CODE_WORDS}\\s*([0-9]+)"
+    code = F.coalesce(N.first_match(forward, text, 1), N.first_match(backward, text, 2))
+    name = F.coalesce(N.first_match(forward, text, 2), N.first_match(backward, text, 1))
+    hit = lines.select("doc_id", "page", "pos", code.alias("code"), name.alias("name")).where(F.col("code").isNotNull())
     return hit.groupBy("doc_id").agg(F.min_by(F.struct("code", "name"), F.struct("page", "pos")).alias("r")).select("doc_id", "r.*")
 
 

@@ -88,3 +88,48 @@ def trend_direction(segments: DataFrame, weights: Sequence[float] = (1.0, 5.0, 1
         "code", "start_record_id", "train_flag", "days", "days_hat", "change", "change_hat", "rising", "rising_hat",
         loss.alias("loss"),
     )
+
+
+# ---- one model per group ---------------------------------------------------------------
+
+
+def fit_by_group(features: DataFrame, group: str, inputs: Sequence[str], target: str) -> DataFrame:
+    """Least squares per group: (group, weights, intercept, n).
+
+    One aggregate gathers means and covariances, which combine before the shuffle; a group's equations are then one row, solved there.  Inputs that
+    depend on each other share their weight (least norm).
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = features.where(F.col(group).isNotNull()).na.drop("any", subset=[*inputs, target])
+    columns = [*inputs, target]
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    sums = rows.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col(c).cast("double")) for c in columns]).alias("means"),
+        F.array(*[F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in pairs]).alias("moments"),
+    )
+    k = len(inputs)
+
+    def solve(batches):
+        for batch in batches:
+            weights, intercepts = [], []
+            for means, moments in zip(batch["means"], batch["moments"]):
+                square = np.zeros((k + 1, k + 1))
+                square[np.triu_indices(k + 1)] = moments
+                square = square + np.triu(square, 1).T
+                w = np.linalg.lstsq(square[:k, :k], square[:k, k], rcond=None)[0]
+                weights.append(w.tolist())
+                intercepts.append(float(means[k] - w @ np.asarray(means[:k])))
+            yield pd.DataFrame({group: batch[group], "weights": weights, "intercept": intercepts, "n": batch["n"]})
+
+    kind = features.schema[group].dataType.simpleString()
+    return sums.mapInPandas(solve, f"{group} {kind}, weights array<double>, intercept double, n long")
+
+
+def score_by_group(models: DataFrame, features: DataFrame, group: str, inputs: Sequence[str], keys: Sequence[str], output: str = "predicted") -> DataFrame:
+    """Predictions of each row's own group model; rows with a missing input, or of a group without a model, are left out."""
+    values = F.zip_with("weights", F.array(*[F.col(c).cast("double") for c in inputs]), lambda w, x: w * x)
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    joined = features.na.drop("any", subset=list(inputs)).join(models, group)
+    return joined.select(*keys, group, (F.col("intercept") + total).alias(output))

@@ -110,9 +110,9 @@ def _corpus(c):
 
 @job("page_links", r"""
     SELECT page_id, CAST(i AS BIGINT) AS ord, hrefs[i + 1] AS href, labels_[i + 1] AS label
-    FROM (SELECT page_id, list_transform(regexp_extract_all(html, '(?is)<a(\s[^>]*)>(.*?)</a\s*>', 1),
+    FROM (SELECT page_id, list_transform(regexp_extract_all(html, '(?is)<a(\s(?:"[^"]*"|''[^'']*''|[^>"''])*)>(.*?)</a\s*>', 1),
                    lambda t: regexp_replace(regexp_extract(t, '(?is)\shref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g')) AS hrefs,
-                 list_transform(regexp_extract_all(html, '(?is)<a(\s[^>]*)>(.*?)</a\s*>', 2), lambda t: regexp_replace(t, '<[^>]*>', '', 'g')) AS labels_ FROM pages),
+                 list_transform(regexp_extract_all(html, '(?is)<a(\s(?:"[^"]*"|''[^'']*''|[^>"''])*)>(.*?)</a\s*>', 2), lambda t: regexp_replace(t, '<[^>]*>', '', 'g')) AS labels_ FROM pages),
          LATERAL (SELECT unnest(range(0, len(hrefs))) AS i)
     WHERE regexp_matches(hrefs[i + 1], '^/[a-zA-Z]+$')""")
 def _page_links(c):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import features as M
+from tidemark.operators.chain import Chain, Step
 from tidemark.operators import ordering as O
 from tidemark.operators import series as S
 from tidemark.plans import scoring as P
@@ -157,3 +158,52 @@ def _direction(c):
     minor = trend_job.minor_pivots(c.price_long(), S.TREND_SETTINGS)
     segments = trend_job.level_segments(minor, trend_job.MEDIAN, 36, 7.3)
     return present(P.trend_direction(segments))
+
+
+STEPS = [
+    Step("opening", "prior", ("close",), ("opening",), {"by": "code", "order": "trade_date"}),
+    Step("scaled", "scale", ("close", "opening"), ("close_part", "opening_part"), {"by": "code", "of": "close"}),
+    Step("whole", "fill", ("opening_part",), ("opening_part",), {"value": 0.0}),
+    Step("move", "formula", ("close_part", "opening_part"), ("move",), {"sql": "close_part - opening_part"}),
+]
+
+
+@job("transform_chain", """
+    SELECT code, CAST(trade_date AS VARCHAR) AS trade_date, close / m AS close_part, coalesce(opening / m, 0.0) AS opening_part,
+           close / m - coalesce(opening / m, 0.0) AS move
+    FROM scalable JOIN (SELECT code, max(abs(close)) AS m FROM scalable GROUP BY code) USING (code)""")
+def _chain(c):
+    """A chain fitted on the prices, stored, read back and applied to them."""
+    prices = c.price().withColumn("close", F.col("close").cast("double"))
+    path = shared_dir(c.spark, "chain")
+    Chain(STEPS).fit(prices).save(c.spark, path)
+    table = Chain.load(c.spark, path).apply(prices)
+    return present(table, "code", "trade_date", "close_part", "opening_part", "move")
+
+
+define("typed_statement", """
+    SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS code, CASE o_orderstatus WHEN 'F' THEN '年度报告' WHEN 'O' THEN '半年度报告' WHEN 'P' THEN '第三季度报告' END AS report_type,
+           CAST(year(o_orderdate) AS BIGINT) AS year, sum(revenue) / 1e6 AS y, sum(fees) / 1e6 AS a, sum(headcount) / 1e3 AS b
+    FROM orders JOIN (
+      SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS revenue,
+             sum(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2))) AS fees, sum(l_quantity) AS headcount
+      FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey GROUP BY ALL""")
+define("typed_fit", """
+    SELECT report_type, (cay * vb - cby * cab) / (va * vb - cab * cab) AS wa, (cby * va - cay * cab) / (va * vb - cab * cab) AS wb, my, ma, mb
+    FROM (SELECT report_type, covar_pop(a, y) AS cay, covar_pop(b, y) AS cby, covar_pop(a, b) AS cab, var_pop(a) AS va, var_pop(b) AS vb,
+                 avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM typed_statement GROUP BY report_type)""")
+
+
+@job("score_by_type", """
+    SELECT code, report_type, year, round(my + wa * (a - ma) + wb * (b - mb), 4) AS predicted FROM typed_statement JOIN typed_fit USING (report_type)""")
+def _score_by_type(c):
+    """Revenue (millions) from fees and headcount, one model per report type, stored partitioned by type."""
+    table = c.statement(by_type=True).select(
+        "code", "report_type", "year", (F.col("revenue").cast("double") / 1e6).alias("y"), (F.col("fees").cast("double") / 1e6).alias("a"),
+        (F.col("headcount").cast("double") / 1e3).alias("b"),
+    )
+    features = materialise(table, "typed-features")
+    models = materialise(P.fit_by_group(features, "report_type", ["a", "b"], "y"), "typed-models")
+    path = shared_dir(c.spark, "typed-scores")
+    sinks.replace_partitions(P.score_by_group(models, features, "report_type", ["a", "b"], ["code", "year"]), path, ["report_type"])
+    return present(c.spark.read.parquet(path).withColumn("predicted", F.round("predicted", 4)))

@@ -100,6 +100,18 @@ def _stitch(c):
     return present(K.stitch_pages(K.pick_fragments(scored(c))))
 
 
+@job("stitched_rows", """
+    WITH kept AS (SELECT doc_id, page, picked FROM (
+      SELECT *, max(island) OVER (PARTITION BY doc_id) AS last_ FROM (
+        SELECT *, sum(CASE WHEN NOT ended AND (score > best OR (score = best AND page - o > 1)) THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY doc_id ORDER BY page) AS island FROM stitch)) WHERE island = last_)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, frag, row_idx) - 1 AS row_idx, page, c0 AS label
+    FROM kept JOIN frag_rows USING (doc_id, page) WHERE list_contains(string_split(CAST(picked AS VARCHAR), ','), CAST(frag AS VARCHAR))""")
+def _stitched_rows(c):
+    table = K.stitched_rows(K.pick_fragments(scored(c)), fragments(c))
+    return present(table.select("doc_id", "row_idx", "page", F.col("cells")[0].alias("label")))
+
+
 @job("drop_long_edges", """
     SELECT doc_id, row_idx, c0 AS label FROM (
       SELECT *, row_idx = min(row_idx) OVER w OR row_idx = max(row_idx) OVER w AS edge FROM frag_rows WINDOW w AS (PARTITION BY doc_id, page, frag))
@@ -151,6 +163,32 @@ def _pairs(c):
     return present(K.reference_pairs(c.page_lines()))
 
 
+def _other_forms(lines):
+    """Code and name in other orders, numbers with a unit behind them or a dash in their place, by the place of the line."""
+    pair = "公司代码：([0-9]+) 公司简称：(\\S+)"
+    text = F.when(F.col("pos") % 3 == 0, F.regexp_replace("text", pair, "股票简称 $2 股票代码 $1"))
+    text = text.when(F.col("pos") % 3 == 1, F.regexp_replace("text", pair, "股票代码 $1 900$1 股票简称 $2 乙股")).otherwise(F.col("text"))
+    staff = "(在职员工的数量合计) ([0-9,]+)"
+    lines = lines.withColumn("text", text).withColumn(
+        "text", F.when(F.col("pos") % 4 == 0, F.regexp_replace("text", staff, "$1 $2 万元"))
+        .when(F.col("pos") % 4 == 1, F.regexp_replace("text", staff, "$1 - $2")).otherwise(F.col("text"))
+    )
+    return lines.withColumn("text", F.explode(F.array("text")))  # else the rewriting would be repeated in every pattern below
+
+
+@job("reference_forms", "SELECT doc_id, code, name FROM ref_pairs")
+def _reference_forms(c):
+    return present(K.reference_pairs(_other_forms(c.page_lines())))
+
+
+@job("keyword_forms", """
+    SELECT doc_id, fact, coalesce(arg_max(value, pos) FILTER (q OR (fact = 'staff' AND pos % 4 = 0)), arg_min(value, pos)) AS value
+    FROM hits WHERE NOT (fact = 'staff' AND pos % 4 = 1) GROUP BY doc_id, fact""")
+def _keyword_forms(c):
+    hits = K.keyword_hits(_other_forms(c.page_lines()), KEYWORDS)
+    return present(K.settle_facts(hits, unit_overrides=True))
+
+
 define("titles", """
     SELECT doc_id, arg_min(k, pos) AS k, arg_min(y, pos) || '年' AS year_label, arg_min(t, pos) AS report_type FROM (
       SELECT doc_id, pos, regexp_extract(text, '江江苏苏客户([0-9]+)股份有限公司', 1) AS k,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import DISCARD_WORDS
 from tidemark.operators import filters as S
 from tidemark.registry import job
 from tidemark.registry.ctes import define
@@ -92,7 +93,7 @@ def _blacklist(c):
 def _exclude(c):
     return present(
         S.drop_excluded(
-            file_names(c), "raw_name", ["（000001）客户000001：1996年年度报告.PDF"], ["摘要", "英文", "正文", "公告"]
+            file_names(c), "raw_name", ["（000001）客户000001：1996年年度报告.PDF"], DISCARD_WORDS
         )
     )
 

@@ -153,7 +153,7 @@ def _metrics(c):
         FROM (SELECT lang, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY 1, 2)) GROUP BY lang, t""")
 def _perplexity(c):
     """Unigram perplexity per language: word counts first, so each word is scored once."""
-    from tidemark.operators.learning_support import weighted_perplexity
+    from tidemark.operators.aggregates import weighted_perplexity
 
     words = c.table("documents").select("lang", F.explode(F.split("text", " ")).alias("w"))
     counts = words.groupBy("lang", "w").agg(F.count(F.lit(1)).cast("double").alias("m"))

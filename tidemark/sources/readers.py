@@ -138,7 +138,7 @@ def page_links(pages: DataFrame, pattern: str, html: str = "html") -> DataFrame:
     The whole tag is matched, its target taken from any place among the attributes, quoted either way or not at all; tags inside the
     label are stripped.
     """
-    anchor = r"(?is)<a(\s[^>]*)>(.*?)</a\s*>"
+    anchor = r"""(?is)<a(\s(?:"[^"]*"|'[^']*'|[^>"'])*)>(.*?)</a\s*>"""
     pairs = F.arrays_zip(
         F.regexp_extract_all(html, F.lit(anchor), F.lit(1)).alias("attrs"),
         F.regexp_extract_all(html, F.lit(anchor), F.lit(2)).alias("label"),
