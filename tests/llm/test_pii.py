@@ -98,3 +98,10 @@ def test_whole_table(spark, sf_dir):
     for r in pii.report(docs).collect():
         want = ",".join(f"{k}:{a}:{b}" for a, _, b, k in model(texts[r["doc_id"]]))
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_secrets_of_any_length(spark):
+    key = "aB3dE5fG7h" * 64
+    docs = spark.createDataFrame([(n, f"api_key = {key[:n]}") for n in (31, 32, 40, 256, 257, 320, 640)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    assert {n for n, spans in got.items() if f"secret:10:{10 + n}" in spans} == {32, 40, 256, 257, 320, 640}

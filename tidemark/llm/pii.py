@@ -23,7 +23,7 @@ CARD = r"[0-9]++(?:[ -][0-9]++)*+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
-SECRET = r"""(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,256}+(?![A-Za-z0-9+/_-])"""
+SECRET = r"""(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}+(?![A-Za-z0-9+/_-])"""
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "secret")
