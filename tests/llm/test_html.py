@@ -100,3 +100,15 @@ def test_a_marked_wrapper_keeps_the_page(open_, close, tag):
 def test_a_teaser_does_not_lift_its_sidebar():
     html = f"<body><div class=sidebar><article><p>{LONG}</p></article></div><main><p>{LONG * 9}</p></main></body>"
     assert text(html) == (LONG * 9).strip()
+
+
+def test_attributes_and_raw_elements_of_any_size():
+    long = "<p>a<img src=\"data:image/svg+xml," + "<x y='z'>" * 900 + "\" alt=\"x\">b</p>"
+    assert text(f"<article>{long}<p>c</p></article>") == "a b\nc"
+    assert text("<article><p>a</p><p title='" + ">" * 9000 + "'>b</p></article>") == "a\nb"
+    import time
+
+    start = time.time()
+    assert text("<article>İ" + "<script>var a = 1;</script>" * 20000 + "<p>end</p></article>") == "İ\nend"
+    assert text("<article><p>a</p>" + "<b x='" * 20000 + "</article>").startswith("a")
+    assert time.time() - start < 20

@@ -32,9 +32,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ROWS = 64
 SMOOTH = 2
 WRAPS = 0.8
-# A quoted value may hold ">"; one that is not closed within 4,000 characters is read as plain.
-MARK = re.compile(
-    r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[^>\"'])*+>|[^>]*+>?)", re.S)
+MARK = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+#: What may end a tag, or hide its end.
+EDGE = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:@][\w:.@-]*)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)|(hidden)(?=[\s/>])", re.S)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？·]")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -43,6 +43,7 @@ NAME = re.compile(r"[A-Za-z0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is no markup; none of it is text of the page.
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg math object canvas audio video".split())
+RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 BLOCK = frozenset(
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption colgroup option select legend".split()
@@ -96,6 +97,20 @@ def _is_marked(tag: str, attrs: dict[str, str]) -> bool:
     return named != " " and any(w.lower() in NOISE_WORDS for w in NAME.findall(named) + WORD.findall(named))
 
 
+def _tag_end(html: str, at: int) -> int:
+    """Where a tag ends whose name ends at ``at``: behind the first ">" outside quotes of any length, or the first at all if a quote stays open."""
+    i = at
+    while (edge := EDGE.search(html, i)) is not None:
+        if edge[0] == ">":
+            return edge.end()
+        close = html.find(edge[0], edge.end())
+        if close < 0:
+            break
+        i = close + 1
+    stop = html.find(">", at)
+    return len(html) if stop < 0 else stop + 1
+
+
 class _Page:
     """Elements (tag, parent, noise, mark) and text nodes (element, path, block, raw text) of a page."""
 
@@ -150,7 +165,7 @@ class _Page:
                 return
 
     def _read(self, html: str) -> None:
-        at, n, low = 0, len(html), None
+        at, n = 0, len(html)
         while at < n:
             m = MARK.search(html, at)
             if m is None:
@@ -164,20 +179,21 @@ class _Page:
                 at = n if stop < 0 else stop + len(end)
                 continue
             tag = m[2].lower()
+            at = _tag_end(html, m.end())
+            rest = html[m.end():at]
             if tag in BLOCK:
                 self.block += 1
             if m[1]:
                 self._close(tag)
             elif tag in RAW:
-                if not m[3].endswith("/>") or tag not in ("svg", "math"):
-                    low = html.lower() if low is None and len(html.lower()) == n else low
-                    stop = low.find(f"</{tag}", at) if low is not None else next((x.start() for x in re.finditer(f"</{tag}", html, re.I) if x.start() >= at), -1)
-                    at = n if stop < 0 else stop
+                if not rest.endswith("/>") or tag not in ("svg", "math"):
+                    stop = RAW_END[tag].search(html, at)
+                    at = n if stop is None else stop.start()
             elif tag in VOID:
                 self._text(" ")
             else:
                 self._close_for(tag)
-                attrs = _attributes(m[3]) if len(m[3]) > 2 else {}
+                attrs = _attributes(rest) if len(rest) > 2 else {}
                 self._push(tag, _always_noise(tag, attrs), _is_marked(tag, attrs))
 
 
