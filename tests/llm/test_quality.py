@@ -37,7 +37,7 @@ LABELS = "doc_id long, quality int, toxic int"
 
 def check(spark, texts):
     docs = spark.createDataFrame([(i, t, "x", None) for i, t in enumerate(texts)], SCHEMA)
-    rows = Q.assess(docs, Q.Model(16, (), float("-inf"))).collect()
+    rows = Q.assess(docs, Q.Model(16, None, float("-inf"))).collect()
     for r in rows:
         assert tuple(r[c] for c in COLUMNS) == base(texts[r["doc_id"]]), texts[r["doc_id"]]
         assert r["kept"] == (not r["base_failed"])

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 SPACE = "[ \\t-\\r]+"
 _SPACE_CHARS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -109,22 +111,22 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """``ratios[b]`` is log(target / raw) of bucket b; documents scoring below ``threshold`` are rejected."""
+    """``ratios`` is a stored table of one row, whose array holds log(target / raw) of each bucket; documents scoring below ``threshold`` are
+    rejected.  Without a target there is no such table."""
 
     buckets: int
-    ratios: tuple[float, ...]
+    ratios: DataFrame | None
     threshold: float
 
-    def score(self) -> Column:
-        """Mean log ratio over the words and pairs of ``with_hashes``; 0 for a text without words."""
-        if not self.ratios:
-            return F.lit(0.0)
-        # one literal, not one expression per bucket
-        table = F.split(F.lit(",".join(f"{r:.7g}" for r in self.ratios)), ",").cast("array<double>")
-        total = F.lit(0.0)
-        for hashes in ("_one", "_two"):
-            total = F.aggregate(hashes, total, lambda a, h: a + F.get(table, F.pmod(h, F.lit(self.buckets)).cast("int")))
-        return F.when(F.size("_one") > 0, total / (F.size("_one") + F.size("_two"))).otherwise(F.lit(0.0))
+    def scored(self, rows: DataFrame, name: str) -> DataFrame:
+        """Adds the mean log ratio over the words and pairs of ``with_hashes``; 0 for a text without words."""
+        if self.ratios is None:
+            return rows.withColumn(name, F.lit(0.0))
+        # read as a scalar, in one place: as a literal the table would fill plans and event log, used twice it would travel with the rows
+        each = lambda a, h: a + F.get(F.col("_ratios"), F.pmod(h, F.lit(self.buckets)).cast("int"))
+        total = F.aggregate(F.concat("_one", "_two"), F.lit(0.0), each)
+        mean = F.when(F.size("_one") > 0, total / (F.size("_one") + F.size("_two"))).otherwise(F.lit(0.0))
+        return rows.withColumn("_ratios", self.ratios.scalar()).withColumn(name, mean).drop("_ratios")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS,
@@ -150,14 +152,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         raw[r["_b"]], target[r["_b"]] = r["raw"], r["target"]
     n_raw, n_target = sum(raw), sum(target)
     if not n_target:
-        return Model(buckets, (), float("-inf"))
+        return Model(buckets, None, float("-inf"))
     size = SMOOTHING * buckets
-    ratios = tuple(
-        log((t + SMOOTHING) / (n_target + size)) - log((r + SMOOTHING) / (n_raw + size)) for t, r in zip(target, raw)
-    )
+    values = [log((t + SMOOTHING) / (n_target + size)) - log((r + SMOOTHING) / (n_raw + size)) for t, r in zip(target, raw)]
+    ratios = materialise(docs.sparkSession.createDataFrame([(values,)], "ratios array<double>"), "quality-ratios")
     model = Model(buckets, ratios, float("-inf"))
     scored = texts.join(marks, "_id").where((F.col("_trusted") | F.col("_poor")) & (F.col("_text") != ""))
-    scored = with_hashes(scored).select("_trusted", model.score().alias("_s"))
+    scored = model.scored(with_hashes(scored), "_s").select("_trusted", "_s")
     by = {r["_trusted"]: r for r in scored.groupBy("_trusted").agg(F.avg("_s").alias("mean"), F.stddev_pop("_s").alias("sd")).collect()}
     good, poor = by[True], by.get(False)
     if poor is not None and poor["mean"] < good["mean"]:
@@ -169,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _assessed(rows: DataFrame, model: Model) -> DataFrame:
     """``_text`` and what stands beside it, with the base measures, ``_score``, ``base_failed`` and ``kept``."""
-    out = measures(with_hashes(rows)).withColumn("_score", model.score()).withColumn("base_failed", base_failed())
+    out = model.scored(measures(with_hashes(rows)), "_score").withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("_score") >= model.threshold))
 
 
