@@ -1,8 +1,10 @@
 """Report tables, fragments, numbering and features on small fixtures."""
 
 import random
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates as A
@@ -87,6 +89,19 @@ def test_statement_end_to_end(spark):
     assert {r["doc_id"] for r in facts} == {1}
 
 
+def test_statement_parts_grow_with_the_rows(spark, monkeypatch):
+    docs = [table(spark, ["项目", "2015.12.31", "2014"], ["营业收入", "1", "2"], ["净利润", str(i), "--"], doc=i) for i in range(12)]
+    rows = reduce(DataFrame.unionByName, docs)
+    whole = clean_statement(rows, SPEC, F.lit(2016))
+    monkeypatch.setattr(T, "TASK_ROWS", 4)
+    parts = clean_statement(rows, SPEC, F.lit(2016))
+    assert T.dealt(rows).rdd.getNumPartitions() == 9
+    assert T.dealt(rows.limit(0)).rdd.getNumPartitions() == 1
+    placed = T.dealt(rows).select("doc_id", F.spark_partition_id().alias("part")).distinct()
+    assert placed.count() == 12
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect())) and parts.count() == 48
+
+
 def test_sections(spark):
     df = spark.createDataFrame(
         [(1, i, x) for i, x in enumerate(["行业", "a", "产品", "b", "c"])], "doc_id long, row_idx long, label string"
