@@ -116,3 +116,14 @@ def test_whole_table(spark, sf_dir, library):
     for r in bpe.decode(bpe.encode(docs)).collect():
         assert r["ids"] == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert r["decoded"] == texts[r["doc_id"]] and once[r["doc_id"]] == r
+
+
+def test_a_worker_keeps_few_pieces(codec):
+    """The cache of a worker, both generations, stays small beside the worker; pieces that left it are merged again, to the same ids."""
+    encoder = bpe.Encoder(codec)
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(420_000))
+    first = encoder(text)
+    size = sum(len(k) + 49 + len(v) + 33 + 100 for known in (codec.known, codec.known.old) for k, v in known.items())
+    assert size < 80 << 20 and len(codec.known) + len(codec.known.old) <= 2 * 150_000
+    again = encoder(text[:5999])  # whole words
+    assert again == first[:len(again)]

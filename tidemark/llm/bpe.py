@@ -39,7 +39,8 @@ WINDOW = 1 << 16
 #: A piece can depend on up to three characters after it, and every piece has one at least.
 GUARD = 4
 CHUNK = 512
-CACHE = 500_000
+#: Pieces of a generation of the cache; a worker holds two at most, of some 200 bytes a piece.
+CACHE = 150_000
 NONE = 1 << 60
 ROWS = 128
 
@@ -166,12 +167,13 @@ def pieces(text: str, split: regex.Pattern) -> Iterator[list[str]]:
         if end < n:
             # a piece longer than the window is found by itself
             found = found[:-GUARD] if len(found) > GUARD else [split.match(text, pos).group()]
-        pos += sum(map(len, found))
+        pos = pos + sum(map(len, found)) if end < n else n
         yield found
 
 
 class _Known(dict):
-    """Ids by piece. When full, it becomes the old generation, from which pieces still in use come back; so memory stays bounded.
+    """Ids by piece, as the bytes of an array. When full, it becomes the old generation, from which pieces still in use come back; so memory
+    stays bounded.
 
     Long pieces are streamed and not kept.
     """
@@ -179,15 +181,15 @@ class _Known(dict):
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             data = piece.encode()
-            ids = tuple(chain.from_iterable(self.codec.stream(data)))
             if len(data) > 64:
-                return ids
+                return array("i", chain.from_iterable(self.codec.stream(data))).tobytes()
+            ids = array("i", self.codec.merged(data)).tobytes()
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
@@ -211,21 +213,28 @@ class Encoder:
                 ids.append(self.special[part])
                 continue
             for found in pieces(part, self.split):
-                ids.extend(chain.from_iterable(map(self.known.__getitem__, found)))
+                ids.frombytes(b"".join(map(self.known.__getitem__, found)))
         return ids
 
 
+class _Bytes(dict):
+    """Bytes by id; an id outside the vocabulary has none."""
+
+    def __missing__(self, i: int) -> bytes:
+        return b""
+
+
 class Decoder:
     """Ids to text, chunk by chunk; bytes of an unfinished character wait for the next chunk."""
 
     def __init__(self, codec: Codec):
-        self.bytes_of = codec.bytes_of
+        self.bytes_of = _Bytes(codec.bytes_of)
 
     def __call__(self, ids) -> str:
         state = codecs.getincrementaldecoder("utf-8")("replace")
-        out, rest, get = [], iter(ids), self.bytes_of.get
+        out, rest, get = [], iter(ids), self.bytes_of.__getitem__
         while part := list(islice(rest, WINDOW)):
-            out.append(state.decode(b"".join(get(i, b"") for i in part)))
+            out.append(state.decode(b"".join(map(get, part))))
         out.append(state.decode(b"", True))
         return "".join(out)
 

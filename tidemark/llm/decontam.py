@@ -30,7 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 #: After lower-casing A-Z, every ASCII byte but digits and letters separates words.
 _TABLE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 

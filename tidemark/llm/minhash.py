@@ -50,7 +50,7 @@ ALL_PAIRS = 16
 ROUNDS = 2
 DEVIATIONS = 4.7
 CHUNK = 1 << 17
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1 << 16
 #: Of the filter that keeps texts without a candidate from being shuffled; 2^22 bits are half a megabyte.
 FILTER_BITS = 1 << 22
 #: Of the filter over rare shingles, and how many counters tell rare shingles from common ones; sharing a counter costs time, not results.
