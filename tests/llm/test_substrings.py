@@ -83,3 +83,38 @@ def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in S.report(docs).collect()), key=str) == model(rows)
+
+
+def test_what_is_sent_is_short(spark):
+    """A stretch travels with the short hash of its gram, and without a hash of its text where ids stand once."""
+    df = spark.createDataFrame([(1, "a" * 60), (2, None), (3, "b" * 60), (3, "c" * 60), (None, "d")], "doc_id long, text string")
+    marks = S.marked(df).collect()
+    assert all((r["mark"] != 0) == (r["doc"] == 3) for r in marks) and len({r["mark"] for r in marks if r["doc"] == 3}) == 2
+    assert S._STRETCH.startswith("hash int,")
+
+
+def test_equal_stretches_go_whole(spark, monkeypatch):
+    """Windows are taken apart only where different texts meet: copies cost no more than their first."""
+    import pyarrow as pa
+
+    taken = []
+    windows = S._windows
+    monkeypatch.setattr(S, "_windows", lambda contents: taken.append(len(contents)) or windows(contents))
+    text = noise(random.Random(3), 60).encode()
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7] * 40, pa.int32()), pa.array(range(40), pa.int64()), pa.array([0] * 40, pa.int64()), pa.array([5] * 40, pa.int64()), pa.array([text] * 40, pa.binary())],
+        ["hash", "doc", "mark", "at", "content"],
+    )
+    rows = [tuple(r.values()) for part in S._settle(iter([batch])) for r in part.to_pylist()]
+    assert sorted(rows) == [(d, 0, 5, 5 + len(text)) for d in range(1, 40)] and not taken
+
+
+def test_shuffles_of_a_pass_go_before_the_next(spark, monkeypatch):
+    """Which of the driver's shuffles are known after each release: none of the pass that ended, however its results were handed over."""
+    known, release = [], S._release
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    release(spark.range(1))
+    before = tracker.size()
+    monkeypatch.setattr(S, "_release", lambda rows: (release(rows), known.append(tracker.size())))
+    check(spark, corpus(7))
+    assert len(known) == 2 and max(known) <= before

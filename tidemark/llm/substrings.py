@@ -6,8 +6,9 @@ document has bytes; the README says why that was given up.  What it is for, equa
 1. Each window of ``WIDTH`` bytes is filed under the least hash of its ``GRAM``-byte grams, so equal windows are filed alike; neighbours
    under the same hash form a *stretch* of text.  A first pass sends only the hashes and finds those of two documents or more, as a
    filter of fixed size; it only saves work, a stretch that passes it wrongly finds no partner.
-2. A second pass sends the stretches that pass to the task of their hash, where the windows are sorted and the least id of equal ones found.
-   A task holds the windows of one hash at a time, at most those of ``HOT`` documents, some 100 MB.
+2. A second pass sends the stretches that pass to the task of their hash.  A stretch that stands as it is in a smaller document goes whole; the
+   windows of the others are sorted and the least id of equal ones found.  A task holds the stretches of one hash at a time, at most
+   those of ``HOT`` documents, some 100 MB.
 3. Hashes in more than ``HOT`` documents are not gathered: their windows are aggregated one by one, combined before the shuffle, and
    joined back, in a join that Spark may split.
 4. Covered parts meet their document, where they are united and cut out.
@@ -20,12 +21,15 @@ from __future__ import annotations
 
 import gc
 import sys
+import time
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import filters
@@ -39,6 +43,7 @@ GRAM = 16
 HOT = 50_000
 FILTER_BITS = 1 << 26
 TOUCHED_BITS = 1 << 22
+REPEATED_BITS = 1 << 20
 SLICE = 1 << 20
 STRETCH = 64
 GROUP_BYTES = 8 << 20
@@ -141,15 +146,15 @@ def _shared_hashes(rows: DataFrame):
             ids, texts = batch.column(0).to_pylist(), _bytes(batch.column(2))
             hashes, docs = [], []
             for k, _, found in _filed_batch(texts):
-                found = np.unique(found)
+                found = np.unique(_short(found))
                 hashes.append(found)
                 docs.append(np.full(len(found), ids[k], np.int64))
             if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(docs))], ["hash", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(docs))], ["hash", "doc"])
 
-    sent = rows.mapInArrow(run, "hash long, doc long")
+    sent = rows.mapInArrow(run, "hash int, doc long")
     several = sent.groupBy("hash").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
-    bit = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
+    bit = F.col("hash").cast("long").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
     words = several.groupBy(F.shiftrightunsigned(bit, 6).cast("int").alias("word")).agg(
         F.bit_or(one).alias("several"), F.bit_or(F.when(F.col("n") > HOT, one).otherwise(F.lit(0).cast("long"))).alias("hot")
@@ -162,9 +167,23 @@ def _shared_hashes(rows: DataFrame):
 
 
 def _release(rows: DataFrame) -> None:
-    """Lets Spark's cleaner see that the frames of the first pass are gone, so that its shuffle files go before the next ones come."""
-    gc.collect()
-    rows.sparkSession.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner see that the frames of a pass are gone, so that its shuffle files go before the next ones come.
+
+    What hands results over still holds the frame for a moment, so one collection alone frees nothing.
+    """
+    for _ in range(3):
+        gc.collect()
+        rows.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """The part of a hash that is sent: its low bits, as the high ones of a least hash say little.  More stretches meet, and change no result."""
+    return hashes.astype(np.uint32).view(np.int32)
+
+
+def _long(keys: np.ndarray) -> np.ndarray:
+    return keys.view(np.uint32).astype(np.uint64)
 
 
 def _passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -172,7 +191,7 @@ def _passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
-_STRETCH = "hash long, hot boolean, doc long, mark long, at long, content binary"
+_STRETCH = "hash int, hot boolean, doc long, mark long, at long, content binary"
 
 
 def _stretches(rows: DataFrame, tables) -> DataFrame:
@@ -187,7 +206,7 @@ def _stretches(rows: DataFrame, tables) -> DataFrame:
                 good = np.flatnonzero(_passes(several, found))
                 text = texts[k]
                 begin, end = starts[good].tolist(), (starts[good + 1] + WIDTH - 1).tolist()
-                out[0].append(found[good])
+                out[0].append(_short(found[good]))
                 out[1].append(_passes(hot, found[good]))
                 out[2] += [ids[k]] * len(good)
                 out[3] += [marks[k]] * len(good)
@@ -195,7 +214,7 @@ def _stretches(rows: DataFrame, tables) -> DataFrame:
                 out[5] += [text[a:b] for a, b in zip(begin, end)]
             if out[4]:
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(out[0]).view(np.int64)), pa.array(np.concatenate(out[1])), pa.array(out[2], pa.int64()),
+                    pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1])), pa.array(out[2], pa.int64()),
                     pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.binary()),
                 ], ["hash", "hot", "doc", "mark", "at", "content"])
 
@@ -228,18 +247,32 @@ def _covered(row: np.ndarray, place: np.ndarray, hit: np.ndarray, doc, mark, at)
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by hash: windows of the same content within a hash, covered where a smaller id has them too."""
 
-    def settled(rows: pa.Table) -> pa.RecordBatch:
-        contents = rows.column("content").to_pylist()
-        key = rows.column("hash").to_numpy().view(np.uint64)
-        doc, mark, at = (rows.column(c).to_numpy() for c in ("doc", "mark", "at"))
-        found, row, place = _windows(contents)
-        found = _mixed(found ^ key[row])
-        order = np.lexsort((doc[row], found))
-        first = np.concatenate([[True], found[order][1:] != found[order][:-1]])
-        least = doc[row][order][first][np.cumsum(first) - 1]
-        hit = np.zeros(len(row), bool)
-        hit[order] = doc[row][order] > least
-        return _covered(row, place, hit, doc, mark, at)
+    def settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        content = rows.column("content").combine_chunks()
+        key, doc, mark, at = (rows.column(c).to_numpy() for c in ("hash", "doc", "mark", "at"))
+        coded = content.dictionary_encode()
+        code = coded.indices.to_numpy()
+        least = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
+        np.minimum.at(least, code, doc)
+        whole = np.flatnonzero(doc > least[code])
+        if len(whole):
+            stop = at[whole] + pc.binary_length(content).to_numpy()[whole]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[whole], mark[whole], at[whole], stop)], ["doc", "mark", "start", "stop"])
+        # the others are the first with their content; hashes that one document has alone are done
+        left = np.flatnonzero(doc == least[code])
+        head = np.flatnonzero(np.concatenate([[True], key[left][1:] != key[left][:-1]]))
+        several = np.minimum.reduceat(doc[left], head) < np.maximum.reduceat(doc[left], head)
+        left = left[np.repeat(several, np.diff(np.append(head, len(left))))]
+        if len(left):
+            found, row, place = _windows(content.take(pa.array(left)).to_pylist())
+            found = _mixed(found ^ _long(key)[left][row])
+            of = doc[left][row]
+            order = np.argsort(found)
+            begins = np.concatenate([[True], found[order][1:] != found[order][:-1]])
+            lowest = np.minimum.reduceat(of[order], np.flatnonzero(begins))
+            hit = np.zeros(len(row), bool)
+            hit[order] = of[order] > lowest[np.cumsum(begins) - 1]
+            yield _covered(row, place, hit, doc[left], mark[left], at[left])
 
     waiting: list[pa.RecordBatch] = []
     size = 0
@@ -253,11 +286,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = table.column("hash").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))  # the last hash may go on in the next batch
             if cut:
-                yield settled(table.slice(0, cut))
+                yield from settled(table.slice(0, cut))
             waiting = table.slice(cut).to_batches()
             size = sum(b.nbytes for b in waiting) if cut else size
     if waiting:
-        yield settled(pa.Table.from_batches(waiting))
+        yield from settled(pa.Table.from_batches(waiting))
 
 
 _RANGE = "doc long, mark long, start long, stop long"
@@ -269,7 +302,7 @@ def _settle_hot(hot: DataFrame) -> DataFrame:
             found, row, place = _windows(batch.column(5).to_pylist())
             pick = lambda c: batch.column(c).to_numpy()[row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_mixed(found ^ pick(0).view(np.uint64)).view(np.int64)), pa.array(pick(2)), pa.array(pick(3)), pa.array(pick(4) + place)],
+                [pa.array(_mixed(found ^ _long(pick(0))).view(np.int64)), pa.array(pick(2)), pa.array(pick(3)), pa.array(pick(4) + place)],
                 ["window", "doc", "mark", "at"],
             )
 
@@ -279,10 +312,18 @@ def _settle_hot(hot: DataFrame) -> DataFrame:
     return hit.select("doc", "mark", F.col("at").alias("start"), (F.col("at") + WIDTH).alias("stop"))
 
 
-def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Byte ranges to remove: ``doc``, ``mark`` (hash of the text), ``start``, ``stop``; they may overlap."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    rows = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= WIDTH))
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``doc``, ``mark`` and ``text``; the mark tells rows of one id apart by the hash of the text, and is 0 for other rows."""
+    doc = F.col(id_col).cast("long")
+    twice = docs.groupBy(doc.alias("doc")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("doc").alias("key"))
+    table = filters.build(twice, "key", REPEATED_BITS)
+    mark = F.when(filters.holds(table, F.xxhash64(doc), REPEATED_BITS), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))
+    return docs.select(F.col(id_col).alias("id"), doc.alias("doc"), mark.alias("mark"), F.col(text_col).alias("text"))
+
+
+def covered(rows: DataFrame) -> DataFrame:
+    """Byte ranges to remove from ``marked`` documents: ``doc``, ``mark``, ``start``, ``stop``; they may overlap."""
+    rows = rows.select("doc", "mark", "text").where(F.col("doc").isNotNull() & (F.octet_length("text") >= WIDTH))
     tables = _shared_hashes(rows)
     _release(rows)
     found = _stretches(rows, tables)
@@ -303,11 +344,12 @@ def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, ``n_bytes``, ``spans`` (the maximal removed runs) and ``kept``, the bytes that remain."""
-    ranges = covered(docs, id_col, text_col).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    rows = marked(docs, id_col, text_col)
+    ranges = covered(rows).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     ranges = materialise(ranges, "covered")
+    _release(docs)
     # texts that lose nothing need not meet their ranges; what the filter lets through wrongly finds none
     table = filters.build(ranges.select(F.xxhash64("doc", "mark").alias("key")), "key", TOUCHED_BITS)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     touched = F.coalesce(filters.holds(table, F.xxhash64("doc", "mark"), TOUCHED_BITS), F.lit(False))
     joined = rows.where(touched).join(ranges, ["doc", "mark"], "left").select("id", "text", "ranges")
     joined = joined.unionByName(rows.where(~touched).select("id", "text", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges")))
@@ -316,8 +358,10 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
             sizes, spans, kept = [], [], []
-            for data, found in zip(_bytes(batch.column(1)), batch.column(2)):
-                cut = united([(r["start"], r["stop"]) for r in found.as_py() or []])
+            flat = batch.column(2).flatten()
+            pairs = zip(flat.field(0).to_pylist(), flat.field(1).to_pylist())
+            for data, n in zip(_bytes(batch.column(1)), pc.list_value_length(batch.column(2)).to_pylist()):
+                cut = united(list(islice(pairs, n or 0)))
                 at, parts = 0, []
                 for a, b in cut:
                     parts.append(data[at:a])
