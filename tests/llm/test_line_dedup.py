@@ -97,3 +97,21 @@ def test_plan_is_native(spark, sf_dir):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan
     assert df.agg(F.sum("n_removed")).first()[0] > 0
+
+
+def test_places_are_longs_where_ids_allow(spark):
+    rows = [(5, "x"), (-3, "y"), (None, "z")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    pick = lambda rows: spark.range(1).select(L._order(frame(rows), "doc_id")[1].alias("o")).schema["o"].dataType.simpleString()
+    assert pick(rows) == "bigint" and pick([]) == "bigint" and pick([(None, "x")]) == "bigint"
+    assert pick([(-(1 << 63), "x"), ((1 << 63) - 1, "y")]) == "decimal(34,0)"
+
+
+@pytest.mark.parametrize("ids", [(-7, -5, 0, None), (-(1 << 63), -5, 0, None), (-5, 7, (1 << 63) - 1, None), ((1 << 63) - 3, (1 << 63) - 2, (1 << 63) - 1, None)])
+def test_ids_of_any_size(spark, ids):
+    a, b, c, d = ids
+    check(spark, [(a, A), (b, A.replace("e", "x")), (c, f"\x0b{A} z\r"), (d, f"{A}\n{A}\nnew one")])
+
+
+def test_white_space_of_any_kind_is_cut(spark):
+    check(spark, [(1, A)] + [(2 + k, f"{c}{A}") for k, c in enumerate(" \t\r\x0b\x0c")] + [(9 + k, f"{A}{c}") for k, c in enumerate(" \t\r\x0b\x0c")] + [(20, " " + A), (21, " ")])

@@ -31,16 +31,34 @@ FILTER_BITS = 1 << 23
 _BLANK = " \t\r\x0b\x0c"
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _order(docs: DataFrame, id_col: str) -> tuple[Column, Column]:
+    """The place of (``doc``, ``pos``) among all lines, and a number below all places: longs, or decimals where the ids lie too far apart."""
+    number = F.col(id_col).cast("decimal(20,0)")
+    ends = docs.agg(F.min(number).alias("low"), F.max(number).alias("high")).first()
+    low, high = int(ends["low"] or 0), int(ends["high"] or 0)
+    if high - low < (1 << 32) - 1 and -(1 << 63) <= low and high < 1 << 63:
+        # a null id is one behind the last
+        since = F.coalesce(F.col("doc").cast("long") - F.lit(low).cast("long"), F.lit(high - low + 1).cast("long"))
+        return F.call_function("shiftleft", since, F.lit(31)) + F.col("pos"), F.lit(-1).cast("long")
+    order = F.coalesce(F.col("doc").cast("decimal(20,0)"), F.lit("99999999999999999999").cast("decimal(20,0)")) * 2147483648 + F.col("pos")
+    return order.cast("decimal(34,0)"), F.lit("-" + "9" * 33).cast("decimal(34,0)")
+
+
+def _trimmed(line: Column) -> Column:
+    """Without white space at the ends; ``btrim`` walks the whole line, so only lines that have some there go through it."""
+    ends = F.lit(False)
+    for c in _BLANK:
+        ends = ends | line.startswith(c) | line.endswith(c)
+    return F.when(ends, F.btrim(line, F.lit(_BLANK))).otherwise(line)
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, order: Column) -> DataFrame:
     """Lines of ``MIN_WORDS`` words or more: ``doc``, ``pos``, ``line``, its order ``o`` and its two hashes."""
     rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    rows = rows.withColumn("line", F.btrim("line", F.lit(_BLANK)))
+    rows = rows.withColumn("line", _trimmed(F.col("line")))
     # a line of fewer words is the same as its first words
     rows = rows.where(_first_words(F.col("line"), F.lit(MIN_WORDS - 1)) != F.col("line"))
-    order = F.coalesce(F.col("doc").cast("decimal(20,0)"), F.lit("99999999999999999999").cast("decimal(20,0)")) * 2147483648 + F.col("pos")
-    return rows.select(
-        "doc", "pos", "line", order.cast("decimal(34,0)").alias("o"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"),
-    )
+    return rows.select("doc", "pos", "line", order.alias("o"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"))
 
 
 def _half(n: Column) -> Column:
@@ -126,9 +144,10 @@ def near_lines(lines: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines to remove, per document: ``doc`` and ``gone``, a list of (pos, a)."""
-    lines = _lines(docs, id_col, text_col)
+    order, before = _order(docs, id_col)
+    lines = _lines(docs, id_col, text_col, order)
     repeated = lines.groupBy("a", "b").agg(F.min("o").alias("first"), F.max("o").alias("_last")).where("_last > first").drop("_last")
-    near = near_lines(lines).withColumn("first", F.lit(-1).cast("decimal(34,0)"))
+    near = near_lines(lines).withColumn("first", before)
     repeated = repeated.unionByName(near.select("a", "b", "first")).groupBy("a", "b").agg(F.min("first").alias("first"))
     gone = lines.drop("line").join(repeated, ["a", "b"]).where(F.col("o") > F.col("first"))
     return gone.groupBy("doc").agg(F.collect_set(F.struct("pos", "a")).alias("gone"))
